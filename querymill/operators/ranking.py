@@ -1,7 +1,7 @@
-"""Exact row numbers within groups of any size, without one task per group.
+"""Exact positions and running totals within groups of any size, without one task per group.
 
-Rows of a group are cut by the top bits of their random key into buckets; bucket counts (bounded by groups x buckets)
-give each bucket its offset, and a window numbers rows within (group, bucket) only.
+Rows of a group are cut by the top bits of their random key into buckets; bucket totals (bounded by groups x buckets)
+give each bucket its offset, and a window runs within (group, bucket) only.
 """
 
 from __future__ import annotations
@@ -17,20 +17,73 @@ def random_key(seed: int | str, *cols: str | Column) -> Column:
     return F.xxhash64(F.lit(f"key:{seed}"), *cols)
 
 
-def rank_in_group(df: DataFrame, group: Sequence[str], key: Column, tie: Sequence[str], out: str = "rank", bits: int = 10) -> DataFrame:
-    """df with `out`, 1.. by (key, tie) within group. key is a LONG spread evenly; tie makes the order total.
+def running_total(
+    df: DataFrame, group: Sequence[str], key: Column, tie: Sequence[str], value: Column | None = None, out: str = "rank", limit: Column | None = None, bits: int = 10
+) -> DataFrame:
+    """df with `out`, the sum of value over the rows of the group up to this one by (key, tie); value 1 gives the rank.
 
-    Null group values form a group of their own. Rows equal in key and tie get distinct numbers in no fixed order.
+    key is a LONG spread evenly; tie makes the order total. limit, a column of df that is the same within a group, drops
+    buckets that begin at or beyond it before anything is sorted (rows beyond it in the last bucket stay).
+    Null group values form a group of their own; null values count 0. An empty table gives an empty result.
     """
-    g = [F.col(f"`{c}`") for c in group]
-    keyed = df.withColumn("__k", key).withColumn("__b", F.shiftright(F.col("__k"), 64 - bits))
-    counts = keyed.groupBy(*g, F.col("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    value = F.lit(1) if value is None else F.coalesce(value, F.lit(0))
+    keyed = df.withColumn("__k", key).withColumn("__b", F.shiftright(F.col("__k"), 64 - bits)).withColumn("__v", value.cast("long"))
+    counts = keyed.groupBy(*group, "__b").agg(F.sum("__v").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(group)], F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy(*group, "__b").orderBy("__k", *tie)
-    numbered = keyed.withColumn("__r", F.row_number().over(inside))
+    offsets = counts.select(
+        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
+    )
     cond = F.col("__b") == F.col("__ob")
     for i, c in enumerate(group):
-        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"__g{i}"))
-    joined = numbered.join(offsets, cond, "left").withColumn(out, (F.col("__r") + F.col("__off")).cast("long"))
-    return joined.select(*df.columns, out)
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    placed = keyed.join(offsets, cond)
+    if limit is not None:
+        placed = placed.where(F.col("__off") < limit)
+    inside = Window.partitionBy(*group, "__b").orderBy("__k", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("__v").over(inside) + F.col("__off")
+    return placed.withColumn(out, total.cast("long")).select(*df.columns, out)
+
+
+def rank_in_group(df: DataFrame, group: Sequence[str], key: Column, tie: Sequence[str], out: str = "rank", limit: Column | None = None) -> DataFrame:
+    """df with `out`, 1.. within each group by (key, tie)."""
+    return running_total(df, group, key, tie, None, out, limit)
+
+
+def largest_remainder(weights: Sequence[float], total: int, floors: Sequence[int] | None = None, caps: Sequence[int] | None = None) -> list[int]:
+    """Integers that sum to total (as far as caps allow), in proportion to weights, each within its floor and cap.
+
+    A floor above its cap is cut to the cap. What a capped entry cannot take goes to the others by weight, then to any
+    entry with room. Ties of remainders go to the earlier entry.
+    """
+    n = len(weights)
+    caps = [total] * n if caps is None else [min(int(c), total) for c in caps]
+    floors = [0] * n if floors is None else [min(int(f), c) for f, c in zip(floors, caps)]
+    out = list(floors)
+    if sum(out) > total:  # floors alone are too much: scale them
+        return largest_remainder(floors, total, None, caps)
+    fixed: set[int] = set()
+    while True:
+        free = [i for i in range(n) if i not in fixed]
+        left = total - sum(out[i] for i in fixed)
+        w = sum(weights[i] for i in free)
+        if not free or left <= 0:
+            break
+        ideal = {i: (left * weights[i] / w if w > 0 else 0.0) for i in free}
+        low = [i for i in free if ideal[i] < floors[i]]
+        high = [i for i in free if ideal[i] > caps[i]]
+        bound = high or low
+        if not bound:
+            base = {i: int(ideal[i] + 1e-9) for i in free}
+            rest = left - sum(base.values())
+            for i in sorted(free, key=lambda i: (-(ideal[i] - base[i]), i)):
+                step = 1 if rest > 0 and base[i] < caps[i] and weights[i] > 0 else 0
+                out[i], rest = base[i] + step, rest - step
+            break
+        for i in bound:
+            out[i] = caps[i] if i in high else floors[i]
+            fixed.add(i)
+    spare = total - sum(out)
+    for i in sorted(range(n), key=lambda i: (-weights[i], i)):
+        step = max(0, min(spare, caps[i] - out[i]))
+        out[i], spare = out[i] + step, spare - step
+    return out
