@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from querymill.llm import p1_group_splits as splits
 from querymill.llm import p2_near_duplicates as near
 from querymill.llm import p3_format_duplicates as fmt
+from querymill.llm import p4_category_sample as sample
 from querymill.llm import p5_split_overlap as overlap
+from querymill.llm import p6_packing as packing
+from querymill.llm import p7_mixture as mixture
 from querymill.llm.questions import question_table
 from querymill.session import materialize
 
@@ -21,6 +25,18 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return materialize(question_table(read(spark, d, "pairs"), "pair_id", "question"), "questions")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.parted_sets(read(spark, d, "pairs"), read(spark, d, "split_targets"))
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(read(spark, d, "pairs"), read(spark, d, "split_targets"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_report(read(spark, d, "pairs"), read(spark, d, "split_targets"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.close_records(_questions(spark, d))
 
@@ -37,6 +53,18 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return fmt.collapsed(read(spark, d, "pairs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sample.unmet(read(spark, d, "pairs"), read(spark, d, "category_targets"))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sample.pairs_sample(read(spark, d, "pairs"), read(spark, d, "category_targets")).rows()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return sample.pairs_sample(read(spark, d, "pairs"), read(spark, d, "category_targets")).report_df(spark)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_pairs(read(spark, d, "pairs"))
 
@@ -45,8 +73,38 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(read(spark, d, "pairs"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_documents(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
+
+
+def p6_packs(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_report(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.short_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_report(read(spark, d, "documents"), read(spark, d, "source_targets"))
+
+
+QUERIES = (
+    p1_found, p1_splits, p1_report, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_sample, p4_report,
+    p5_found, p5_report, p6_found, p6_packs, p6_report, p7_found, p7_mix, p7_report,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_report)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
