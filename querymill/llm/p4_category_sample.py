@@ -42,12 +42,16 @@ def _along(values: np.ndarray, axis: int, ndim: int) -> np.ndarray:
     return np.asarray(values, float).reshape(shape)
 
 
+def _weights(n: int) -> np.ndarray:
+    return np.r_[np.full(n - 1, 2), 1]
+
+
 def deviation(cells: np.ndarray, needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]]) -> float:
-    """2 for each row below a category's need, 1 for each row above its quota."""
+    """4 for each row below a category's need, 2 for each row above its quota, 1 for each row of the unlisted (last) category."""
     total = 0.0
     for a in range(cells.ndim):
         s = _sums(cells, a)
-        total += 2 * np.maximum(np.asarray(needs[a]) - s, 0).sum() + np.maximum(s - np.asarray(quotas[a]), 0).sum()
+        total += 4 * np.maximum(np.asarray(needs[a]) - s, 0).sum() + (_weights(len(s)) * np.maximum(s - np.asarray(quotas[a]), 0)).sum()
     return float(total)
 
 
@@ -74,7 +78,8 @@ def fit_cells(available: np.ndarray, needs: Sequence[Sequence[int]], quotas: Seq
         gain = np.zeros((cells.size, cells.size))
         for a in range(nd):
             s, need, quota = _sums(cells, a), np.asarray(needs[a]), np.asarray(quotas[a])
-            up, down = np.where(s < need, 2, np.where(s < quota, 0, -1)), np.where(s <= need, -2, np.where(s <= quota, 0, 1))
+            w = _weights(len(s))
+            up, down = np.where(s < need, 4, np.where(s < quota, 0, -w)), np.where((s <= need) & (need > 0), -4, np.where(s <= quota, 0, w))
             gain += np.where(apart[a], up[place[a]][:, None] + down[place[a]][None, :], 0)
         gain[(cells + step > available).ravel()] = -99
         gain[:, (cells < step).ravel()] = -99
