@@ -13,6 +13,7 @@ from querymill.llm import p4_category_sample as sample
 from querymill.llm import p5_split_overlap as overlap
 from querymill.llm import p6_packing as packing
 from querymill.llm import p7_mixture as mixture
+from querymill.llm import p8_subjects as subjects
 from querymill.llm.questions import question_table
 from querymill.session import materialize
 
@@ -97,9 +98,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_report(read(spark, d, "documents"), read(spark, d, "source_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(read(spark, d, "documents"), read(spark, d, "subject_samples")).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_composition(read(spark, d, "documents"), read(spark, d, "subject_samples"), read(spark, d, "subject_areas"))
+
+
 QUERIES = (
     p1_found, p1_splits, p1_report, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_sample, p4_report,
-    p5_found, p5_report, p6_found, p6_packs, p6_report, p7_found, p7_mix, p7_report,
+    p5_found, p5_report, p6_found, p6_packs, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_composition,
 )
 
 
@@ -107,5 +116,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+P4_FOUND = """
+WITH keyed AS (
+  SELECT trim(regexp_replace(lower(regexp_replace(family, '^[\\s_-]+|[\\s_-]+$', '', 'g')), '[\\s_-]+', '_', 'g')) AS family,
+         CAST(style AS VARCHAR) AS style,
+         trim(regexp_replace(lower(regexp_replace(source, '^[\\s_-]+|[\\s_-]+$', '', 'g')), '[\\s_-]+', '_', 'g')) AS source
+  FROM pairs),
+counts AS (
+  SELECT 'family' AS field_name, family AS category, count(*) AS n FROM keyed GROUP BY ALL
+  UNION ALL SELECT 'style', style, count(*) FROM keyed GROUP BY ALL
+  UNION ALL SELECT 'source', source, count(*) FROM keyed GROUP BY ALL)
+SELECT t.field_name, t.category
+FROM category_targets t LEFT JOIN counts c
+  ON c.field_name = t.field_name
+ AND c.category = regexp_replace(lower(regexp_replace(t.category, '^[\\s_-]+|[\\s_-]+$', '', 'g')), '[\\s_-]+', '_', 'g')
+WHERE coalesce(c.n, 0) < greatest(t.min_rows, round(t.target_share * ((SELECT count(*) FROM pairs) // 10), 6))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_FOUND.replace("\\\\", "\\")}
