@@ -135,4 +135,4 @@ WHERE coalesce(c.n, 0) < greatest(t.min_rows, round(t.target_share * ((SELECT co
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND.replace("\\\\", "\\")}
+    return {"p4_found": P4_FOUND}
