@@ -2,8 +2,8 @@
 
 Every record is hashed to keys: its words in order, its sorted fields, its query in canonical form. One join of the
 evaluation keys with the training keys gives the exact overlaps; the close questions come from the near-duplicate
-operator, cut to bags that occur on both sides before records are expanded. Keys without a record on both sides are
-dropped by a partially aggregated pass before the join, so a hot query that is all training data never meets it.
+operator, cut to bags that occur on both sides before records are expanded. A hot key on one side only finds no partner
+and costs a scan of its rows; on both sides, adaptive execution splits its rows over tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ def query_text(df: DataFrame) -> Column:
     return F.coalesce(group, F.col("orig_sql"), F.col("sql"))
 
 
+def query_key(df: DataFrame) -> Column:
+    """Canonical key of a record's query; a blank statement is none."""
+    key = sql_key(query_text(df))
+    return F.when(key != "", key)
+
+
 def sides(df: DataFrame) -> DataFrame:
     """Records of the train or an evaluation split, with on_train; other splits, and null, are left out."""
     return df.where(F.col("split").isin(*TRAIN, *EVAL)).withColumn("on_train", F.col("split").isin(*TRAIN))
@@ -40,10 +46,8 @@ def exact_overlaps(table: DataFrame, queries: DataFrame) -> DataFrame:
     ]
     keys = rows[0].unionByName(rows[1]).unionByName(queries.select(F.lit("query").alias("kind"), F.col("q1").alias("k1"), F.col("q2").alias("k2"), "id", "on_train"))
     keys = keys.where("k1 is not null")
-    both = keys.groupBy("kind", "k1", "k2").agg(F.max("on_train").alias("t"), F.min("on_train").alias("e")).where("t and not e").select("kind", "k1", "k2")
-    shared = materialize(keys.join(both, ["kind", "k1", "k2"], "left_semi"), "shared-keys")
-    train = shared.where("on_train").select("kind", "k1", "k2", F.col("id").alias("t_id"))
-    held = shared.where("not on_train").select("kind", "k1", "k2", F.col("id").alias("e_id"))
+    train = keys.where("on_train").select("kind", "k1", "k2", F.col("id").alias("t_id"))
+    held = keys.where("not on_train").select("kind", "k1", "k2", F.col("id").alias("e_id"))
     return train.join(held, ["kind", "k1", "k2"]).select("t_id", "e_id", "kind")
 
 
@@ -51,9 +55,10 @@ def overlaps(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """(t_id, e_id, kind) over question, fields, query and close; a pair may come out once per kind."""
     rec = sides(df)
     table = materialize(question_table(rec, "pair_id", "question", ["on_train"]), "sided-questions")
-    q = rec.select(F.col("pair_id").alias("id"), "on_train", sql_key(query_text(rec)).alias("key"))
+    q = rec.select(F.col("pair_id").alias("id"), "on_train", query_key(rec).alias("key"))
     q1, q2 = hash_pair(F.col("key"))
-    exact = exact_overlaps(table, q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")))
+    queries = materialize(q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")).where("q1 is not null"), "sided-queries")
+    exact = exact_overlaps(table, queries)
 
     def on_both_sides(pairs: DataFrame) -> DataFrame:
         flags = table.groupBy("b1").agg(F.max("on_train").alias("t"), F.min("on_train").alias("e"))
