@@ -4,8 +4,8 @@ One-permutation hashing with optimal densification gives each bag of words one v
 texts that agree in a whole band meet in a bucket. Within a bucket texts are linked to leaders only (stars), so a bucket
 of m texts gives fewer than m links, and a link is made only when a 64-bit odd sketch, whose Hamming distance never
 exceeds the true difference of two bags, allows the pair to be close. Buckets are first combined inside each batch of a
-map task, so a hot bucket reaches its reducer as a few leaders. Members of one star are then compared with each
-other, and every surviving pair of bags is verified exactly.
+map task, so a hot bucket reaches its reducer as a few leaders. Members of one star, and of stars whose leaders are
+linked, are then compared with each other, and every surviving pair of bags is verified exactly.
 
 Copies (equal bags) are one node throughout; they are expanded only where a query asks for pairs of records.
 """
@@ -35,6 +35,7 @@ class NearDupParams:
     num: int = 4
     den: int = 5
     probes: int = 64
+    hot: int = 16  # rows of a bucket in one batch from which they are combined before the shuffle
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def _rank(node: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def map_side(p: NearDupParams):
-    """Signatures, and stars within the batch; only leaders go on to their bucket, links travel as finished rows."""
+    """Signatures, and for crowded buckets stars within the batch: their leaders go on, links travel as finished rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +141,11 @@ def map_side(p: NearDupParams):
             bucket = band.reshape(-1).view(np.int64)
             at = np.repeat(np.arange(n), p.bands)
             nodes, sizes, sketches = node[at], lengths[at].astype(np.int64), sketch[at]
-            lead, member, leaders = star_links(bucket, nodes, sizes, sketches, _rank(nodes, bucket), p)
-            for idx, led in ((leaders, None), (member, nodes[lead])):
+            _, which, count = np.unique(bucket, return_inverse=True, return_counts=True)
+            crowded = count[which] > p.hot
+            hot = np.flatnonzero(crowded)
+            lead, member, leaders = (hot[x] for x in star_links(bucket[hot], nodes[hot], sizes[hot], sketches[hot], _rank(nodes, bucket)[hot], p))
+            for idx, led in ((np.flatnonzero(~crowded), None), (leaders, None), (member, nodes[lead])):
                 yield pa.record_batch(
                     [pa.array(bucket[idx]), pa.array(nodes[idx]), pa.array(sizes[idx].astype(np.int32)), pa.array(sketches[idx].view(np.int64)), pa.nulls(len(idx), pa.int64()) if led is None else pa.array(led)],
                     schema=ROW,
@@ -195,8 +199,11 @@ def close_bags(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFram
     links = materialize(star_edges(table, p), "links")
     ends = links.select(F.col("leader").alias("b1")).unionByName(links.select(F.col("node").alias("b1"))).distinct()
     bags = materialize(table.select("b1", "n", "els").join(ends, "b1", "left_semi").dropDuplicates(["b1"]), "bags")
-    left = links.select("leader", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("sketch").alias("xk"))
-    right = links.select("leader", F.col("node").alias("y"), F.col("size").alias("ys"), F.col("sketch").alias("yk"))
+    top = links.select(F.col("leader").alias("top"), F.col("node").alias("leader"))
+    below = links.join(top, "leader").where("top <> node").select(F.col("top").alias("leader"), "node", "size", "sketch")
+    stars = links.unionByName(below).distinct()
+    left = stars.select("leader", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("sketch").alias("xk"))
+    right = stars.select("leader", F.col("node").alias("y"), F.col("size").alias("ys"), F.col("sketch").alias("yk"))
     longer = F.greatest("xs", "ys")
     most = F.col("xs") + F.col("ys") - 2 * F.ceil(longer * p.num / F.lit(p.den))
     within = left.join(right, "leader").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("xk").bitwiseXOR(F.col("yk"))) <= most))
