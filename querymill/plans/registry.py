@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+
+from pyspark.sql import DataFrame, SparkSession
+
+from querymill.plans.base import ORACLES, QUERIES
+
+MODULES = ("dialect_queries",)
+for _m in MODULES:
+    importlib.import_module(f"querymill.plans.{_m}")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return QUERIES["flagship_top_groups"](spark, d)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
