@@ -84,6 +84,7 @@ class RuleModel:
     none: float = 0.0
     significance: float = 10.0
     index: dict[str, list[tuple[frozenset[str], np.ndarray]]] = field(default_factory=dict)
+    known: dict[frozenset[str], int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         uses = Counter(t for r in self.rules for t in r)
@@ -96,6 +97,7 @@ class RuleModel:
             share = (counts[:-1] + 0.5 / k) / (total + 0.5) if gain >= self.significance else np.full(k, 1.0 / k)
             index[min(r, key=lambda t: (uses[t], t))].append((r, np.log(share / (1 - share)) + math.log(max(1, k - 1))))
         self.index = dict(index)
+        self.vocabulary = set(uses)
 
     def evidence(self, ts: set[str]) -> np.ndarray:
         """Sum of log odds (against an even spread) over the most specific matching rules, each rule's weight divided
@@ -113,12 +115,16 @@ class RuleModel:
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def subject(self, sentence: str, cache: dict | None = None) -> int:
-        """Index of the subject the sentence deals with, -1 for none."""
-        ts = terms(sentence)
-        p = self.probabilities(self.evidence(ts))
-        best = int(np.argmax(p[:-1]))
-        return best if p[best] >= 0.5 else -1
+    def subject(self, sentence: str) -> int:
+        """Index of the subject the sentence deals with, -1 for none. Results are kept by the terms that rules use."""
+        ts = frozenset(terms(sentence) & self.vocabulary)
+        if ts not in self.known:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            p = self.probabilities(self.evidence(ts))
+            best = int(np.argmax(p[:-1]))
+            self.known[ts] = best if p[best] >= 0.5 else -1
+        return self.known[ts]
 
 
 def mine(spark, rows: list[tuple[set[str], str]], subjects: list[str], p: SubjectParams) -> dict[frozenset[str], np.ndarray]:
