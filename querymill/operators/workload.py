@@ -1,0 +1,151 @@
+"""Workloads of statements as tables: histograms, features, coverage, hold-outs, candidates and their verification."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from querymill.operators.sampling import seeded
+
+# Structural hold-outs of flat statements, the first that matches counts.
+HOLDOUTS = ((("n", "3"), ("limit", "y")), (("op", "LIKE"), ("order", "y")), (("op", "LIKE"), ("op", "BETWEEN")), (("op", "LIKE"), ("op", "!="), ("table", "items")), (("op", "BETWEEN"), ("op", "!=")))
+
+
+def feature(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(kind + "="), F.coalesce(value.cast("string"), F.lit("-")))
+
+
+def yes(c: Column) -> Column:
+    return F.when(c, "y").otherwise("-")
+
+
+def atomic_features(q: DataFrame) -> Column:
+    """Features for structural hold-outs as 'kind=value' of a query_records row."""
+    ops = F.array_distinct(F.transform(F.coalesce("conds", F.array()), lambda c: F.concat(F.lit("op="), c["op"])))
+    base = F.array(
+        feature("table", q["table_name"]), feature("n", F.coalesce(F.size("conds"), F.lit(0))), feature("conn", q["conn"]), feature("order", yes(q["order_spec"].isNotNull())),
+        feature("limit", yes(q["row_limit"].isNotNull())),
+    )
+    return F.array_sort(F.concat(base, F.coalesce(ops, F.array().cast("array<string>"))))
+
+
+def limit_kind(limit: Column) -> Column:
+    return F.when(limit.isNull(), "-").when(limit == 1, "1").otherwise("n")
+
+
+def coverage_features(q: DataFrame) -> Column:
+    """Features whose pairs a workload should cover: comparisons fall together, columns and group parts are added."""
+    op = lambda c: F.when(c["op"].isin("<", ">", "<=", ">="), "cmp").otherwise(c["op"])
+    per_cond = F.flatten(F.transform(F.coalesce("conds", F.array()), lambda c: F.array(F.concat(F.lit("col="), c["col"]), F.concat(F.lit("cond="), op(c)))))
+    base = F.array(
+        feature("table", q["table_name"]), feature("kind", q["query_kind"]), feature("n", F.coalesce(F.size("conds"), F.lit(0))), feature("conn", q["conn"]),
+        feature("order", yes(q["order_spec"].isNotNull())), feature("limit", limit_kind(q["row_limit"])), feature("agg", q["aggregate"]), feature("group", q["group_key"]),
+        feature("having", q["having_spec"]["op"]),
+    )
+    return F.array_sort(F.array_distinct(F.concat(base, F.coalesce(per_cond, F.array().cast("array<string>")))))
+
+
+def pair_counts(df: DataFrame, features: str) -> DataFrame:
+    """(a, b, n): rows that have both features, a < b. Bounded by the square of distinct features, counted map-side first."""
+    pairs = F.flatten(F.transform(features, lambda x: F.transform(F.filter(features, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def short_pairs(counts: DataFrame, floor: int) -> DataFrame:
+    return counts.where(F.col("n") < floor).withColumn("missing", F.lit(floor) - F.col("n"))
+
+
+def first_holdout(features: Column, combos: Sequence[Sequence[tuple[str, str]]] = HOLDOUTS) -> Column:
+    """Index of the first combination contained in the features, null for none."""
+    tests = [F.when(F.size(F.array_except(F.array(*[F.lit(f"{k}={v}") for k, v in combo]), features)) == 0, F.lit(i)) for i, combo in enumerate(combos)]
+    return F.coalesce(*tests)
+
+
+def dimension_counts(q: DataFrame) -> DataFrame:
+    """(dimension, value, n) over tables, kinds, condition counts, connectors, ordering, limits, families and operators."""
+    dims = {
+        "table": q["table_name"], "kind": q["query_kind"], "conds": F.coalesce(F.size("conds"), F.lit(0)), "conn": q["conn"], "order": yes(q["order_spec"].isNotNull()),
+        "limit": limit_kind(q["row_limit"]), "family": q["family"],
+    }
+    own = F.array(*[F.struct(F.lit(k).alias("dimension"), F.coalesce(v.cast("string"), F.lit("-")).alias("value")) for k, v in dims.items()])
+    ops = F.transform(F.coalesce("conds", F.array()), lambda c: F.struct(F.lit("op").alias("dimension"), c["op"].alias("value")))
+    return q.select(F.explode(F.concat(own, ops)).alias("s")).groupBy("s.dimension", "s.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cap_classes(df: DataFrame, cls: str, caps: dict[str, float], key: str, seed: int = 42) -> DataFrame:
+    """Rows admitted when each class may fill only its share of the rows: smallest seeded hashes first. Classes without cap pass."""
+    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    cap = F.coalesce(*[F.when(F.col(cls) == k, F.lit(v)) for k, v in caps.items()], F.lit(1.0))
+    w = Window.partitionBy(cls).orderBy(seeded(seed, key), key)
+    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", cap).join(F.broadcast(total))
+    return ranked.where(F.col("__r") <= F.floor(F.col("__c") * F.col("__n"))).select(*df.columns)
+
+
+def floor_picks(df: DataFrame, cell: Sequence[str], key: str, floor: int, seed: int = 42) -> DataFrame:
+    """Up to floor rows of each cell, by seeded hash."""
+    w = Window.partitionBy(*cell).orderBy(seeded(seed, key), key)
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= floor).drop("__r")
+
+
+def literals(conds: Column) -> Column:
+    """All literals of an array of conditions: single values, both bounds, list members; LIKE fragments without marks."""
+    one = lambda c: F.array_compact(F.concat(F.array(F.regexp_replace(c["val"], "%", ""), c["val2"]), F.coalesce(c["vals"], F.array().cast("array<string>"))))
+    return F.array_distinct(F.flatten(F.transform(F.coalesce(conds, F.array()), one)))
+
+
+def with_banned_literal(q: DataFrame, banned: DataFrame) -> DataFrame:
+    """Records that use a banned literal (banned: col, value) in any condition."""
+    long = q.select("query_id", F.explode("conds").alias("c")).select("query_id", F.col("c.col").alias("col"), F.explode(literals(F.array("c"))).alias("value"))
+    return long.join(banned.select("col", "value").distinct(), ["col", "value"], "left_semi").select("query_id").distinct()
+
+
+def fragments(names: DataFrame, column: str, n: int) -> DataFrame:
+    """(mode, fragment): distinct beginnings, ends and inner runs of n letters of the words of a column, whole words left out."""
+    words = names.select(F.explode(F.split(F.lower(column), " ")).alias("w")).where(F.col("w").rlike("^[a-z]+$")).distinct()
+    long = words.where(F.length("w") > n)
+    inner = long.where(F.length("w") > n + 1).select(F.lit("contains").alias("mode"), F.explode(F.transform(F.sequence(F.lit(2), F.length("w") - n), lambda i: F.substr("w", i, F.lit(n)))).alias("fragment"))
+    ends = long.select(F.explode(F.array(F.struct(F.lit("prefix").alias("mode"), F.substring("w", 1, n).alias("fragment")), F.struct(F.lit("suffix").alias("mode"), F.right("w", F.lit(n)).alias("fragment")))).alias("s")).select("s.*")
+    return ends.unionByName(inner).distinct().join(words.select(F.col("w").alias("fragment")), "fragment", "left_anti").select("mode", "fragment")
+
+
+def fragment_buckets(frags: DataFrame, tokens: DataFrame, common: int) -> DataFrame:
+    """Fragments by how often they occur as a whole token (tokens: token, n): common, rare, or none ('multi': several tokens)."""
+    n = F.coalesce("n", F.lit(0))
+    return frags.join(tokens.withColumnRenamed("token", "fragment"), "fragment", "left").select("mode", "fragment", F.when(n >= common, "common").when(n > 0, "rare").otherwise("multi").alias("bucket"))
+
+
+def transitions(names: DataFrame, column: str, order: int = 2) -> DataFrame:
+    """(context, next, n) of characters of a column, '^' and '$' marking both ends."""
+    padded = names.select(F.concat(F.repeat(F.lit("^"), order), F.lower(column), F.lit("$")).alias("w")).where("w is not null")
+    steps = F.transform(F.sequence(F.lit(1), F.length("w") - order), lambda i: F.struct(F.substr("w", i, F.lit(order)).alias("context"), F.substr("w", i + order, F.lit(1)).alias("next")))
+    return padded.select(F.explode(steps).alias("s")).groupBy("s.context", "s.next").agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidates(domain: DataFrame, shapes: DataFrame, per_shape: int, seed: int = 42) -> DataFrame:
+    """(shape, value, text): per_shape values of a domain for each statement shape with a {v} slot, picked by seeded hash.
+
+    Shapes are a short list; values are ranked once per shape.
+    """
+    both = domain.select("value").distinct().join(F.broadcast(shapes))
+    w = Window.partitionBy("shape").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "shape", "value")), "value")
+    return both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_shape).select("shape", "value", F.replace("shape", F.lit("{v}"), F.col("value")).alias("text"))
+
+
+def group_threshold(df: DataFrame, key: str, value: Column, seed: int = 42) -> DataFrame:
+    """A HAVING bound that cuts: a real value of the groups, picked by seeded hash, and the groups above it."""
+    g = df.groupBy(key).agg(value.alias("v")).where("v is not null")
+    bound = g.select(F.min(F.struct(seeded(seed, F.col("v")).alias("h"), "v"))["v"].alias("bound"))
+    return g.join(F.broadcast(bound)).groupBy("bound").agg(F.count_if(F.col("v") > F.col("bound")).alias("n_above"), F.count(F.lit(1)).alias("n_groups"))
+
+
+def result_kind(n_rows: Column, kind: Column) -> Column:
+    return F.when(n_rows.isNull(), "unknown").when(n_rows == 0, "empty").otherwise("nonempty")
+
+
+def requirements(df: DataFrame, tests: dict[str, Column], floor: int) -> DataFrame:
+    """(requirement, n, met): rows that satisfy each named predicate, in one pass."""
+    row = df.agg(*[F.count_if(c).alias(f"r{i}") for i, c in enumerate(tests.values())])
+    s = F.array(*[F.struct(F.lit(k).alias("requirement"), F.col(f"r{i}").alias("n"), (F.col(f"r{i}") >= floor).alias("met")) for i, k in enumerate(tests)])
+    return row.select(F.explode(s).alias("s")).select("s.*")
