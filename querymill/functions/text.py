@@ -26,7 +26,7 @@ def fold(text: Column) -> Column:
     """NFKC and case folding; plain ASCII text skips the Unicode path."""
     text = F.coalesce(text, F.lit(""))
     wide = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.lower(F.upper(wide))).otherwise(F.lower(text))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.replace(F.lower(wide), F.lit("ß"), F.lit("ss")), "ς", "σ")).otherwise(F.lower(text))
 
 
 def words_of_folded(folded: Column) -> Column:
@@ -53,7 +53,7 @@ def labelled_fields(folded: Column) -> Column:
 def field_signature(folded: Column) -> Column:
     """The fields, each as its words, sorted; null for text that is not written as fields."""
     join = lambda p: F.array_join(words_of_folded(p), " ")
-    return F.array_join(F.array_sort(F.transform(labelled_fields(folded), join)), "\x01")
+    return F.array_join(F.sort_array(F.transform(labelled_fields(folded), join)), "\x01")
 
 
 def hash_pair(value: Column) -> list[Column]:
@@ -63,7 +63,7 @@ def hash_pair(value: Column) -> list[Column]:
 
 def bag_elements(ws: Column) -> Column:
     """Words as INT hashes, each numbered by its occurrence: the set of the results stands for the bag of words."""
-    hashes = F.array_sort(F.transform(ws, lambda w: F.hash(w)))
+    hashes = F.sort_array(F.transform(ws, lambda w: F.hash(w)))
 
     def number(s: Column) -> Column:
         return F.transform(
