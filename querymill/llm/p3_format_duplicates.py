@@ -40,8 +40,7 @@ def collapse(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def table_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Hashes of the records that have a question; chk is independent of the two hashes of the sequence."""
-    t = question_table(df, id_col, text_col, bags=False, check=True)
-    return materialize(t, "format-keys")
+    return question_table(df, id_col, text_col, bags=False, check=True)
 
 
 def collapsed(df: DataFrame, id_col: str = "pair_id", text_col: str = "question") -> DataFrame:

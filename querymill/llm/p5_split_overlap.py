@@ -54,10 +54,10 @@ def exact_overlaps(table: DataFrame, queries: DataFrame) -> DataFrame:
 def overlaps(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """(t_id, e_id, kind) over question, fields, query and close; a pair may come out once per kind."""
     rec = sides(df)
-    table = materialize(question_table(rec, "pair_id", "question", ["on_train"]), "sided-questions")
+    table = question_table(rec, "pair_id", "question", ["on_train"])
     q = rec.select(F.col("pair_id").alias("id"), "on_train", query_key(rec).alias("key"))
     q1, q2 = hash_pair(F.col("key"))
-    queries = materialize(q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")).where("q1 is not null"), "sided-queries")
+    queries = materialize(q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")), "sided-queries")
     exact = exact_overlaps(table, queries)
 
     def on_both_sides(pairs: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from querymill.llm import p6_packing as packing
 from querymill.llm import p7_mixture as mixture
 from querymill.llm import p8_subjects as subjects
 from querymill.llm.questions import question_table
-from querymill.session import materialize
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,7 +22,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(question_table(read(spark, d, "pairs"), "pair_id", "question"), "questions")
+    return question_table(read(spark, d, "pairs"), "pair_id", "question")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

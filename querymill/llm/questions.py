@@ -8,25 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.text import bag_elements, field_signature, fold, hash_pair, words_of_folded
+from querymill.session import materialize
 
 
 def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), bags: bool = True, check: bool = False) -> DataFrame:
     """One row per record that has a question (a text with a word), with hashes of what makes questions equal.
 
-    Columns: id; s1, s2 (128 bits of the words in order); f1, f2 (128 bits of the sorted fields, null where the text is
-    not written as fields); with bags: b1, b2 (128 bits of the bag of words), n (words), els (the bag as INT hashes);
+    Columns: id; n (words); s1, s2 (128 bits of the words in order); f1, f2 (128 bits of the sorted fields, null where the text is
+    not written as fields); with bags: b1, b2 (128 bits of the bag of words), els (the bag as INT hashes);
     and the columns of keep. Records with null text or no word are left out.
+
+    The table is written before that filter: pushed below the projection, it would parse every text twice.
     """
     folded = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`") for c in keep], fold(F.col(f"`{text_col}`")).alias("__f"))
-    parsed = folded.withColumn("__w", words_of_folded(F.col("__f"))).where(F.size("__w") > 0)
+    parsed = folded.withColumn("__w", words_of_folded(F.col("__f")))
     seq = parsed.withColumn("__s", F.array_join("__w", " ")).withColumn("__g", field_signature(F.col("__f")))
-    cols = [F.col("id")]
+    cols = [F.col("id"), F.size("__w").alias("n")]
     for name, source in (("s", "__s"), ("f", "__g")):
         cols += [h.alias(f"{name}{i + 1}") for i, h in enumerate(hash_pair(F.col(source)))]
     if check:
         cols.append(F.xxhash64(F.lit("check"), F.length("__s"), F.reverse(F.col("__s"))).alias("chk"))
     if bags:
-        seq = seq.withColumn("__b", F.array_join(F.array_sort("__w"), " "))
+        seq = seq.withColumn("__b", F.array_join(F.sort_array("__w"), " "))
         cols += [h.alias(f"b{i + 1}") for i, h in enumerate(hash_pair(F.col("__b")))]
-        cols += [F.size("__w").alias("n"), bag_elements(F.col("__w")).alias("els")]
-    return seq.select(*cols, *[F.col(f"`{c}`") for c in keep])
+        cols += [bag_elements(F.col("__w")).alias("els")]
+    return materialize(seq.select(*cols, *[F.col(f"`{c}`") for c in keep]), "questions").where("n > 0")

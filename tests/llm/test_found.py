@@ -18,7 +18,6 @@ from querymill.llm import p4_category_sample as sample  # noqa: E402
 from querymill.llm import p5_split_overlap as overlap  # noqa: E402
 from querymill.llm.queries import queries  # noqa: E402
 from querymill.llm.questions import question_table  # noqa: E402
-from querymill.session import materialize  # noqa: E402
 
 
 def key(text):
@@ -102,7 +101,7 @@ def test_small_edits_one_letter_and_order(spark):
         (1, base), (2, base.upper() + "??"), (3, base.replace("rome", "paris")), (4, " ".join(reversed(base.split()))),
         (5, None), (6, "..."), (7, ""), (8, "entirely different words here"), (9, "x " * 20000), (10, "x " * 19000), (11, base),
     ]
-    t = materialize(question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question"), "t")
+    t = question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question")
     want = plain.close_pairs(rows)
     assert result(near.close_records(t)) == want
     groups = {r["pair_id"]: r["root_id"] for r in near.near_duplicate_groups(t).collect()}
@@ -113,7 +112,7 @@ def test_many_edits_of_one_text_are_all_found(spark):
     """A hot bucket: every text close to every other one."""
     words = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(words[:i] + [f"e{i}"] + words[i + 1 :])) for i in range(40)]
-    t = materialize(question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question"), "t")
+    t = question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question")
     got = result(near.close_records(t))
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)}
 
@@ -132,7 +131,7 @@ def test_empty_tables(spark, pairs, data):
     assert overlap.overlap_pairs(none).count() == 0
     plan = sample.pairs_sample(none, spark.read.parquet(f"{data}/category_targets.parquet"))
     assert plan.rows().count() == 0
-    assert near.close_records(materialize(question_table(none, "pair_id", "question"), "t")).count() == 0
+    assert near.close_records(question_table(none, "pair_id", "question")).count() == 0
 
 
 def test_extra_columns_do_not_clash(spark, pairs):
