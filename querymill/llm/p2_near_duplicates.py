@@ -30,7 +30,7 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 class NearDupParams:
     """bands x rows bins of one permutation; num/den is the share of the longer bag that must be common."""
 
-    bands: int = 14
+    bands: int = 18
     rows: int = 5
     num: int = 4
     den: int = 5
