@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querymill.session import materialize
+from querymill.session import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     e = materialize(edges.select(*cols).where("u is not null and v is not null and u <> v").distinct(), "cc")
     before = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)), "cc")
+        last, e = e, materialize(_small_star(_large_star(e)), "cc")
+        discard(last)
         after = _state(e)
         if after == before:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querymill.session import materialize
+from querymill.session import discard, materialize
 
 
 def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: int) -> DataFrame:
@@ -21,7 +21,8 @@ def nearest_sources(edges: DataFrame, sources: DataFrame, max_distance: int) ->
     for step in range(max_distance):
         frontier = state.where(F.col("distance") == step)
         reached = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node"), (F.col("distance") + 1).alias("distance"), "weight", "source")
-        state = materialize(best(state.unionByName(reached)), "paths")
+        last, state = state, materialize(best(state.unionByName(reached)), "paths")
+        discard(last)
     return state.select("node", "distance", "source")
 
 
@@ -33,7 +34,8 @@ def anchored_reach(edges: DataFrame, anchors: DataFrame, radius: DataFrame) -> D
     for step in range(most):
         frontier = state.where(F.col("distance") == step).join(radius.where(F.col("r") > step), "grp")
         reached = frontier.join(both, frontier["node"] == both["src"]).select("grp", F.col("dst").alias("node"), F.lit(step + 1).alias("distance"))
-        state = materialize(state.unionByName(reached).groupBy("grp", "node").agg(F.min("distance").alias("distance")), "reach")
+        last, state = state, materialize(state.unionByName(reached).groupBy("grp", "node").agg(F.min("distance").alias("distance")), "reach")
+        discard(last)
     return state
 
 
