@@ -133,5 +133,25 @@ WHERE coalesce(c.n, 0) < greatest(t.min_rows, round(t.target_share * ((SELECT co
 """
 
 
+WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1C), 0xFF1D, *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xFF5C))
+NARROW = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+P3_KEYS = f"""
+WITH folded AS (SELECT pair_id, lower(translate(question, '{WIDE}', '{NARROW}')) AS f FROM pairs WHERE question IS NOT NULL),
+worded AS (SELECT pair_id, f, array_to_string(regexp_extract_all(f, '[\\p{{L}}\\p{{N}}]+'), ' ') AS s FROM folded),
+parts AS (
+  SELECT pair_id, s, unnest([1, 2, 3, 4]) AS way, unnest([string_split(f, '|'), string_split(f, ';'),
+    string_split(regexp_replace(f, '[\\n\\r]+([^:=\\n\\r]*[:=])', chr(1) || '\\1', 'g'), chr(1)), string_split_regex(f, '[|;\\n\\r]+')]) AS p FROM worded WHERE s <> ''),
+worthy AS (SELECT pair_id, s, way, list_filter(p, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS p FROM parts),
+fielded AS (
+  SELECT pair_id, s, arg_min(array_to_string(list_sort(list_transform(p, lambda x: array_to_string(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+'), ' '))), chr(1)), way)
+    FILTER (WHERE len(p) >= 2 AND len(list_filter(p, lambda x: NOT regexp_matches(x, '^[^:=]*[\\p{{L}}\\p{{N}}][^:=]*[:=]'))) = 0) AS g FROM worthy GROUP BY 1, 2),
+grouped AS (SELECT pair_id, s, coalesce('f' || max(g) OVER (PARTITION BY s), 's' || s) AS k FROM fielded)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {
+        "p3_found": P3_KEYS + "SELECT keep_id, pair_id AS dup_id FROM (SELECT pair_id, min(pair_id) OVER (PARTITION BY k) AS keep_id FROM grouped) WHERE pair_id <> keep_id",
+        "p3_collapsed": P3_KEYS + "SELECT min(pair_id) AS keep_id, count(*) AS n_copies, count(DISTINCT s) AS n_orders, FALSE AS collided FROM grouped GROUP BY k",
+        "p4_found": P4_FOUND,
+    }
