@@ -46,20 +46,20 @@ def _weights(n: int) -> np.ndarray:
     return np.r_[np.full(n - 1, 2), 1]
 
 
-def deviation(cells: np.ndarray, needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]]) -> float:
-    """4 for each row below a category's need, 2 for each row above its quota, 1 for each row of the unlisted (last) category."""
+def deviation(cells: np.ndarray, floors: Sequence[Sequence[int]], needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]]) -> float:
+    """40 for each row below a category's floor, 4 for each row below a category's need, 2 for each row above its quota, 1 for each row of the unlisted (last) category."""
     total = 0.0
     for a in range(cells.ndim):
         s = _sums(cells, a)
-        total += 4 * np.maximum(np.asarray(needs[a]) - s, 0).sum() + (_weights(len(s)) * np.maximum(s - np.asarray(quotas[a]), 0)).sum()
+        total += 36 * np.maximum(np.asarray(floors[a]) - s, 0).sum() + 4 * np.maximum(np.asarray(needs[a]) - s, 0).sum() + (_weights(len(s)) * np.maximum(s - np.asarray(quotas[a]), 0)).sum()
     return float(total)
 
 
-def fit_cells(available: np.ndarray, needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]], rounds: int = 200) -> np.ndarray:
+def fit_cells(available: np.ndarray, floors: Sequence[Sequence[int]], needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]], rounds: int = 200, level_moves: int = 150) -> np.ndarray:
     """Integer cells within available that sum to the size of the sample, with axis sums near the quotas.
 
     Proportional fitting with caps, then whole numbers by largest remainder, then moves of rows between cells, in steps
-    that halve down to 1, as long as they lower the deviation. A scarce category may so draw rows whose other fields
+    that halve down to 1, while they lower the deviation, or keep it for at most level_moves in a row. A scarce category may so draw rows whose other fields
     are unlisted.
     """
     size, nd = sum(quotas[0]), available.ndim
@@ -73,26 +73,39 @@ def fit_cells(available: np.ndarray, needs: Sequence[Sequence[int]], quotas: Seq
     cells = np.asarray(flat, np.int64).reshape(available.shape)
     place = np.indices(cells.shape).reshape(nd, -1)
     apart = [place[a][:, None] != place[a][None, :] for a in range(nd)]
-    step, cost = max(1, size // 64), deviation(cells, needs, quotas)
+    rng = np.random.default_rng(0)
+    step, cost, idle = max(1, size // 64), deviation(cells, floors, needs, quotas), 0
+    best, least = cells, cost
     while step:
         gain = np.zeros((cells.size, cells.size))
         for a in range(nd):
-            s, need, quota = _sums(cells, a), np.asarray(needs[a]), np.asarray(quotas[a])
+            s, floor, need, quota = _sums(cells, a), np.asarray(floors[a]), np.asarray(needs[a]), np.asarray(quotas[a])
             w = _weights(len(s))
-            up, down = np.where(s < need, 4, np.where(s < quota, 0, -w)), np.where((s <= need) & (need > 0), -4, np.where(s <= quota, 0, w))
+            up = np.where(s < floor, 40, np.where(s < need, 4, np.where(s < quota, 0, -w)))
+            down = np.where((s <= floor) & (floor > 0), -40, np.where((s <= need) & (need > 0), -4, np.where(s <= quota, 0, w)))
             gain += np.where(apart[a], up[place[a]][:, None] + down[place[a]][None, :], 0)
         gain[(cells + step > available).ravel()] = -99
         gain[:, (cells < step).ravel()] = -99
-        i, j = np.unravel_index(np.argmax(gain), gain.shape)
+        np.fill_diagonal(gain, -99)
+        top = np.flatnonzero(gain == gain.max())
+        i, j = np.unravel_index(top[rng.integers(len(top))], gain.shape)
+        if gain[i, j] < 0 or idle > level_moves:
+            cells, cost, idle, step = best, least, 0, step // 2
+            continue
         moved = cells.ravel().copy()
         moved[i] += step
         moved[j] -= step
-        after = deviation(moved.reshape(cells.shape), needs, quotas)
-        if gain[i, j] <= 0 or after >= cost:
-            step //= 2
+        moved = moved.reshape(cells.shape)
+        after = deviation(moved, floors, needs, quotas)
+        if after > cost:  # a step larger than the lack
+            idle += 1
+            continue
+        cells, cost = moved, after
+        if cost < least:
+            best, least, idle = cells, cost, 0
         else:
-            cells, cost = moved.reshape(cells.shape), after
-    return cells
+            idle += 1
+    return best
 
 
 class CategorySample:
@@ -124,7 +137,7 @@ class CategorySample:
         for r in self.counts:
             self.available[tuple(self.index[f][r[f]] for f in self.names)] += r["n"]
         axes = range(len(shape))
-        quotas, needs, self.margins = [], [], []
+        quotas, needs, least, self.margins = [], [], [], []
         for a, f in enumerate(self.names):
             have = self.available.sum(axis=tuple(i for i in axes if i != a))
             self.margins.append(have)
@@ -132,9 +145,10 @@ class CategorySample:
             weights = [float(goal[_key(c)]["target_share"]) for c in self.lists[f]] + [0.0]
             floors = [int(goal[_key(c)]["min_rows"] or 0) for c in self.lists[f]] + [0]
             quotas.append(largest_remainder(weights, self.size, floors, have.tolist()))
+            least.append([min(int(h), f) for h, f in zip(have, floors)])
             needs.append([min(int(h), max(f, int(np.ceil(w * self.size - 1e-9)))) for h, f, w in zip(have, floors, weights)])
         self.quotas = quotas
-        self.cells = fit_cells(self.available, needs, quotas, self.p.rounds) if self.size else np.zeros(shape, np.int64)
+        self.cells = fit_cells(self.available, least, needs, quotas, self.p.rounds) if self.size else np.zeros(shape, np.int64)
 
     def report(self) -> list[tuple]:
         """(field_name, category, target_share, needed_rows, available_rows, drawn_rows, can_be_met) per row of the targets."""

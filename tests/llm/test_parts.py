@@ -124,8 +124,9 @@ def test_cells_meet_reachable_quotas():
     rng = np.random.default_rng(3)
     have = rng.integers(50, 200, (3, 4, 3))
     quotas = [[30, 40, 30], [25, 25, 25, 25], [50, 30, 20]]
-    cells = sample.fit_cells(have, quotas, quotas)
-    assert (cells <= have).all() and cells.sum() == 100 and sample.deviation(cells, quotas, quotas) <= 8
+    none = [[0] * 3, [0] * 4, [0] * 3]
+    cells = sample.fit_cells(have, none, quotas, quotas)
+    assert (cells <= have).all() and cells.sum() == 100 and sample.deviation(cells, none, quotas, quotas) <= 8
 
 
 def test_signatures_of_short_and_equal_sets():
