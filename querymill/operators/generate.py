@@ -52,7 +52,7 @@ def covered(orders: DataFrame, key: str, parents: DataFrame, pk: str, name: str,
     numbered = parents.select(F.col(pk).alias(name), (F.row_number().over(Window.orderBy(seeded(seed, pk), pk)) - 1).alias("__p"))
     at = F.row_number().over(Window.orderBy(seeded(f"{seed}o", key), key)) - 1
     placed = orders.withColumn("__o", at).withColumn("__p", F.when(F.col("__o") < n, F.col("__o")).otherwise(F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(n))))
-    return placed.join(F.broadcast(numbered), "__p").drop("__p", "__o")
+    return placed.join(numbered, "__p").drop("__p", "__o")
 
 
 def shop(spark: SparkSession, c: ShopConfig = ShopConfig(), cities: Sequence[str] = ("hoofom", "baihen", "triton"), tiers: Sequence[str] = ("basic", "plus", "prime"), categories: Sequence[str] = ("lighting", "seating", "cookware"), states: Sequence[str] = ("open", "packed", "sent", "void")) -> dict[str, DataFrame]:

@@ -28,7 +28,7 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, n: int, se
     q = stratified_quotas(df, strata, n).select(*[F.col(c).alias(f"__{c}") for c in strata], "quota")
     cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in strata]
     w = Window.partitionBy(*strata).orderBy(seeded(seed, key), key)
-    return df.withColumn("__r", F.row_number().over(w)).join(F.broadcast(q), cond).where("__r <= quota").select(*df.columns)
+    return df.withColumn("__r", F.row_number().over(w)).join(q, cond).where("__r <= quota").select(*df.columns)
 
 
 def round_robin(df: DataFrame, shape: Sequence[str], key: str, n: int, seed: int = 42) -> DataFrame:
@@ -42,7 +42,7 @@ def group_split(df: DataFrame, group: str, key: str, share: float, seed: int = 4
     groups = df.select(F.col(group).alias("__g")).distinct().withColumn("__h", seeded(seed, "__g"))
     total = groups.agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1)).alias("__k"))
     cut = groups.orderBy("__h", "__g").withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__h", "__g")))
-    chosen = cut.join(F.broadcast(total)).where("__n <= __k").select("__g", F.lit(True).alias("__v"))
+    chosen = cut.where(F.col("__n") <= total.scalar()).select("__g", F.lit(True).alias("__v"))
     part = F.when(F.col("__v"), "validation").otherwise("train")
     return df.join(chosen, F.col(group) == F.col("__g"), "left").select(*df.columns, part.alias("part"))
 

@@ -79,8 +79,8 @@ def cap_classes(df: DataFrame, cls: str, caps: dict[str, float], key: str, seed:
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     cap = F.coalesce(*[F.when(F.col(cls) == k, F.lit(v)) for k, v in caps.items()], F.lit(1.0))
     w = Window.partitionBy(cls).orderBy(seeded(seed, key), key)
-    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", cap).join(F.broadcast(total))
-    return ranked.where(F.col("__r") <= F.floor(F.col("__c") * F.col("__n"))).select(*df.columns)
+    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", cap)
+    return ranked.where(F.col("__r") <= F.floor(F.col("__c") * total.scalar())).select(*df.columns)
 
 
 def floor_picks(df: DataFrame, cell: Sequence[str], key: str, floor: int, seed: int = 42) -> DataFrame:
@@ -126,9 +126,12 @@ def transitions(names: DataFrame, column: str, order: int = 2) -> DataFrame:
 def candidates(domain: DataFrame, shapes: DataFrame, per_shape: int, seed: int = 42) -> DataFrame:
     """(shape, value, text): per_shape values of a domain for each statement shape with a {v} slot, picked by seeded hash.
 
-    Shapes are a short list; values are ranked once per shape.
+    Shapes are a short list (at most 1,000), held as literals; values are ranked once per shape.
     """
-    both = domain.select("value").distinct().join(F.broadcast(shapes))
+    listed = [r["shape"] for r in shapes.select("shape").distinct().limit(1001).collect()]
+    if len(listed) > 1000:
+        raise ValueError("more than 1000 shapes")
+    both = domain.select("value").distinct().select("value", F.explode(F.array(*[F.lit(x) for x in sorted(listed)])).alias("shape"))
     w = Window.partitionBy("shape").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "shape", "value")), "value")
     return both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_shape).select("shape", "value", F.replace("shape", F.lit("{v}"), F.col("value")).alias("text"))
 
@@ -137,7 +140,7 @@ def group_threshold(df: DataFrame, key: str, value: Column, seed: int = 42) -> D
     """A HAVING bound that cuts: a real value of the groups, picked by seeded hash, and the groups above it."""
     g = df.groupBy(key).agg(value.alias("v")).where("v is not null")
     bound = g.select(F.min(F.struct(seeded(seed, F.col("v")).alias("h"), "v"))["v"].alias("bound"))
-    return g.join(F.broadcast(bound)).groupBy("bound").agg(F.count_if(F.col("v") > F.col("bound")).alias("n_above"), F.count(F.lit(1)).alias("n_groups"))
+    return g.withColumn("bound", bound.scalar()).groupBy("bound").agg(F.count_if(F.col("v") > F.col("bound")).alias("n_above"), F.count(F.lit(1)).alias("n_groups"))
 
 
 def result_kind(n_rows: Column, kind: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         if base is None:
             base = os.path.join(tempfile.gettempdir(), f"querymill-{uuid.uuid4().hex}")
             spark._querymill_dir = base
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base
 
 
