@@ -238,7 +238,7 @@ def subject_composition(docs: DataFrame, samples: DataFrame, areas: DataFrame, p
     total = one.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_sentences"), F.lit(0)).alias("sents"))
     is_about = F.col("n_about") >= p.sentence_share * F.col("n_sentences")
     per = scored.where("subject is not null").groupBy("subject").agg(F.count_if(is_about).alias("n_documents"), F.sum("n_about").alias("n_sentences"))
-    got = areas.select("subject").distinct().join(per, "subject", "left").join(F.broadcast(total))
+    got = areas.select("subject").distinct().join(per, "subject", "left").withColumns({c: total.select(c).scalar() for c in ("docs", "sents")})
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     return got.select(
         "subject", count("n_documents").alias("n_documents"), count("n_sentences").alias("n_sentences"),
