@@ -10,6 +10,7 @@ from querymill.dialect.compiler import run, widened
 from querymill.dialect.statement import parse
 from querymill.functions.sqlkey import sql_key
 from querymill.plans.base import query, table
+from querymill.session import spread
 
 #: name -> (catalog, statement, SQL; {same} where only the table's file name and alias differ)
 STATEMENTS = {
@@ -107,5 +108,5 @@ def statement_keys_of_records(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def statement_keys_of_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Records by canonical statement over all pairs, however the statement is written."""
-    p = table(spark, d, "pairs").select(sql_key(F.col("sql")).alias("sql_key"))
+    p = spread(table(spark, d, "pairs").select("sql")).select(sql_key(F.col("sql")).alias("sql_key"))
     return p.groupBy("sql_key").agg(F.count(F.lit(1)).alias("n_records"))

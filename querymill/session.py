@@ -60,3 +60,16 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame, small: int = 512 << 20) -> DataFrame:
+    """Rows dealt to all cores when a small table lies in fewer files than there are cores; any other table as it is.
+
+    For costly work per row: a file is often one row group, which only one task can read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= small else df
