@@ -16,7 +16,7 @@ from querymill.functions.labels import label_key
 from querymill.functions.text import hash_pair
 from querymill.llm.p2_near_duplicates import NearDupParams, close_records
 from querymill.llm.questions import question_table
-from querymill.session import materialize
+from querymill.session import materialize, spread
 
 TRAIN, EVAL = ("train",), ("validation", "test")
 
@@ -55,6 +55,7 @@ def overlaps(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """(t_id, e_id, kind) over question, fields, query and close; a pair may come out once per kind."""
     rec = sides(df)
     table = question_table(rec, "pair_id", "question", ["on_train"])
+    rec = spread(rec.select("pair_id", "on_train", "sql_group", "orig_sql", "sql"))
     q = rec.select(F.col("pair_id").alias("id"), "on_train", query_key(rec).alias("key"))
     q1, q2 = hash_pair(F.col("key"))
     queries = materialize(q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")), "sided-queries")

@@ -25,6 +25,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[a-z][^<>]{0,200}>", re.I)
 END = re.compile(r"(?<=[.!?…。])[\"')\]»”]*\s+(?!a:)|[\r\n]+")
@@ -221,7 +223,7 @@ def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
                     about.append(c)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(subject, pa.string()), pa.array(about, pa.int64())], names=["doc_id", "n_sentences", "subject", "n_about"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_sentences long, subject string, n_about long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_sentences long, subject string, n_about long")
 
 
 def document_subjects(docs: DataFrame, samples: DataFrame, p: SubjectParams = SubjectParams()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.text import bag_elements, field_signature, fold, hash_pair, words_of_folded
-from querymill.session import materialize
+from querymill.session import materialize, spread
 
 
 def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), bags: bool = True, check: bool = False) -> DataFrame:
@@ -20,7 +20,8 @@ def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str
 
     The table is written before that filter: pushed below the projection, it would parse every text twice.
     """
-    folded = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`") for c in keep], fold(F.col(f"`{text_col}`")).alias("__f"))
+    raw = spread(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__t")))
+    folded = raw.withColumn("__f", fold(F.col("__t"))).drop("__t")
     parsed = folded.withColumn("__w", words_of_folded(F.col("__f")))
     seq = parsed.withColumn("__s", F.array_join("__w", " ")).withColumn("__g", field_signature(F.col("__f")))
     cols = [F.col("id"), F.size("__w").alias("n")]

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.session import spread
+
 #: Vocabulary of ranks; a parameter of every operator that needs sizes.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the splitting pattern published with byte-level BPE vocabularies of this family.
@@ -27,7 +29,7 @@ def encoder(path: str):
 
 def with_token_counts(df: DataFrame, text_col: str, keep: list[str], path: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
     """The keep columns and the number of tokens of the whole text; null text has 0."""
-    slim = df.select(*keep, F.col(text_col).alias("__text"))
+    slim = spread(df.select(*keep, F.col(text_col).alias("__text")))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "__text") + f", {out} long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
