@@ -1,11 +1,11 @@
 """Near-duplicate questions with small edits (problem 2).
 
-One-permutation hashing with optimal densification gives each bag of words one value per bin; bins are banded, and
-texts that agree in a whole band meet in a bucket. Within a bucket texts are linked to leaders only (stars), so a bucket
-of m texts gives fewer than m links, and a link is made only when a 64-bit odd sketch, whose Hamming distance never
-exceeds the true difference of two bags, allows the pair to be close. Buckets are first combined inside each batch of a
-map task, so a hot bucket reaches its reducer as a few leaders. Members of one star, and of stars whose leaders are
-linked, are then compared with each other, and every surviving pair of bags is verified exactly.
+Candidates come from an exact prefix filter. All elements of bags are put into one order, rare ones first. Two bags that
+must have o elements in common share their first k common elements within the first n - o + k elements of either, so
+texts meet in a bucket for every combination of k elements of that prefix, and each close pair shares a bucket. k falls with
+the length, which keeps the combinations few. Every two texts of a bucket are compared by size and by a 64-bit odd sketch,
+whose Hamming distance never exceeds the true difference of two bags, and every surviving pair of bags is verified exactly:
+no close pair is lost, for any order of the elements and any k.
 
 Copies (equal bags) are one node throughout; they are expanded only where a query asks for pairs of records.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,20 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """bands x rows bins of one permutation; num/den is the share of the longer bag that must be common."""
+    """num/den is the share of the longer bag that must be common; classes are (least length, elements of a key) by length.
+
+    bands x rows are the bins of one_permutation_bands, which the search for close pairs does not use.
+    """
 
     bands: int = 18
     rows: int = 5
     num: int = 4
     den: int = 5
     probes: int = 64
-    hot: int = 16  # rows of a bucket in one batch from which they are combined before the shuffle
+    classes: tuple[tuple[int, int], ...] = ((1, 1), (4, 3), (15, 2), (100, 1))
+    ranked: int = 65_536  # most frequent elements whose counts order them; all others are rare and ordered by hash
+    keys: int = 1 << 18  # keys, or pairs, made at once
+    gather: int = 1 << 17  # rows of buckets looked at together
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,84 +117,153 @@ def star_links(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: n
     return cat(leads), cat(members), cat(leaders)
 
 
-ROW = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.int64()), ("leader", pa.int64())])
-ROW_DDL = "bucket long, node long, size int, sketch long, leader long"
-LINK = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.int64())])
-LINK_DDL = "leader long, node long, size int, sketch long"
+ROW = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("size", pa.int32())])
+ROW_DDL = "bucket long, node long, sketch long, size int"
+KEY_BITS = np.uint64(0xFFFFFFFFFF000000)  # 40 bits tell buckets apart; two in one only add candidates, and zeros shrink the shuffle
+PAIR = pa.schema([("xa", pa.int64()), ("xb", pa.int64())])
+PAIR_DDL = "xa long, xb long"
 
 
 def _np(col) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False)
 
 
-def _rank(node: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    return _mix(node.view(np.uint64) ^ _mix(bucket.view(np.uint64)))
+def element_ranks(table: DataFrame, p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent elements, sorted, and their places by count; from an eighth of the bags, as any order is right."""
+    some = table.where(F.pmod(F.xxhash64("b1"), F.lit(8)) == 0).select(F.explode("els").alias("e"))
+    top = some.groupBy("e").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "e").limit(p.ranked).toArrow()
+    e = top.column("e").to_numpy()
+    place = np.arange(len(e), 0, -1, dtype=np.uint32)
+    by = np.argsort(e)
+    return e[by], place[by]
+
+
+def _sorted_bags(values: np.ndarray, lengths: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Hashes of the elements, in each bag the rare ones first."""
+    h = _mix(values.astype(np.int64).view(np.uint64))
+    place = np.zeros(len(values), np.uint32)
+    known, at = ranks
+    if len(known):
+        i = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        place = np.where(known[i] == values, at[i], np.uint32(0))
+    return h[np.lexsort((h, place, np.repeat(np.arange(len(lengths)), lengths)))]
+
+
+def prefix_keys(values: np.ndarray, lengths: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (bag index, key). Two close, different bags share a key; those of a pair are in the class of the longer one."""
+    h = _sorted_bags(values, lengths, ranks)
+    starts = np.cumsum(lengths) - lengths
+    for c, (low, k) in enumerate(p.classes):
+        high = p.classes[c + 1][0] if c + 1 < len(p.classes) else None
+        k = min(k, -(-p.num * low // p.den))
+        in_class = lengths * p.den // p.num >= low
+        if high is not None:
+            in_class &= lengths < high
+        for n in np.unique(lengths[in_class]).tolist():
+            who = np.flatnonzero(in_class & (lengths == n))
+            width = min(n, n - -(-p.num * n // p.den) + k)
+            if width < k:
+                continue
+            combos = np.array(list(combinations(range(width), k)), np.int64)
+            for block in np.array_split(combos, -(-len(combos) // p.keys)):
+                step = max(1, p.keys // len(block))
+                for at in range(0, len(who), step):
+                    some = who[at : at + step]
+                    prefix = h[starts[some][:, None] + np.arange(width)]
+                    key = np.full((len(some), len(block)), _mix(np.array([c], np.uint64))[0])
+                    for j in range(k):
+                        key = _mix(key ^ prefix[:, block[:, j]])
+                    yield np.repeat(some, len(block)), key.ravel()
 
 
-def map_side(p: NearDupParams):
-    """Signatures, and for crowded buckets stars within the batch: their leaders go on, links travel as finished rows."""
+def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray]):
+    """A row for each key of each bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = _np(batch.column(0))
-            _, once = np.unique(node, return_index=True)
+            _, once = np.unique(_np(batch.column(0)), return_index=True)
             batch = batch.take(pa.array(once))
-            node, els = node[once], batch.column(1)
-            lengths = np.diff(_np(els.offsets))
-            band, sketch = one_permutation_bands(_np(els.flatten()), lengths, p)
-            n = len(node)
-            bucket = band.reshape(-1).view(np.int64)
-            at = np.repeat(np.arange(n), p.bands)
-            nodes, sizes, sketches = node[at], lengths[at].astype(np.int64), sketch[at]
-            _, which, count = np.unique(bucket, return_inverse=True, return_counts=True)
-            crowded = count[which] > p.hot
-            hot = np.flatnonzero(crowded)
-            lead, member, leaders = (hot[x] for x in star_links(bucket[hot], nodes[hot], sizes[hot], sketches[hot], _rank(nodes, bucket)[hot], p))
-            for idx, led in ((np.flatnonzero(~crowded), None), (leaders, None), (member, nodes[lead])):
-                yield pa.record_batch(
-                    [pa.array(bucket[idx]), pa.array(nodes[idx]), pa.array(sizes[idx].astype(np.int32)), pa.array(sketches[idx].view(np.int64)), pa.nulls(len(idx), pa.int64()) if led is None else pa.array(led)],
-                    schema=ROW,
-                )
+            node, els = _np(batch.column(0)), batch.column(1)
+            lengths, values = np.diff(_np(els.offsets)).astype(np.int64), _np(els.flatten())
+            bits = np.uint64(1) << (_mix(values.astype(np.int64).view(np.uint64)) >> np.uint64(58))
+            sketch = np.bitwise_xor.reduceat(bits, np.cumsum(lengths) - lengths).view(np.int64)
+            for at, key in prefix_keys(values, lengths, ranks, p):
+                yield pa.record_batch([pa.array((key & KEY_BITS).view(np.int64)), pa.array(node[at]), pa.array(sketch[at]), pa.array(lengths[at].astype(np.int32))], schema=ROW)
 
     return run
 
 
+def bucket_pairs(bucket: np.ndarray, size: np.ndarray, sketch: np.ndarray, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of one bucket whose sizes and sketches allow them to be close, as blocks; rows are sorted by bucket.
+
+    Pairs of the first `seen` rows are left out.
+    """
+    n = len(bucket)
+    live = np.arange(seen, n)
+    for d in range(1, n):
+        if seen >= d:
+            live = np.r_[seen - d, live]
+        live = live[: np.searchsorted(live, n - d)]
+        live = live[bucket[live] == bucket[live + d]]
+        if not len(live):
+            return
+        other = live + d
+        ok = np.bitwise_count(sketch[live] ^ sketch[other]) <= _allowed(size[live], size[other], p)
+        if ok.any():
+            yield live[ok], other[ok]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of several batches at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [_np(c) for c in pa.Table.from_batches(held).columns]
+            held, n = [], 0
+    if n:
+        yield [_np(c) for c in pa.Table.from_batches(held).columns]
+
+
 def reduce_side(p: NearDupParams):
-    """Stars over rows sorted by bucket. The leaders of a bucket that goes on in the next batch are carried over."""
+    """Pairs over rows sorted by bucket and node. The rows of a bucket that goes on in the next batch are carried over."""
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> pa.RecordBatch:
+        a, b = (node[np.concatenate(x)] for x in zip(*found))
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket, node, size = _np(batch.column(0)), _np(batch.column(1)), _np(batch.column(2)).astype(np.int64)
-            sketch = _np(batch.column(3)).view(np.uint64)
-            led = batch.column(4)
-            done = _np(led.is_valid())
-            if done.any():
-                finished = pa.array(done)
-                yield pa.record_batch([led.filter(finished), batch.column(1).filter(finished), batch.column(2).filter(finished), batch.column(3).filter(finished)], schema=LINK)
-            last = bucket[-1]
-            bucket, node, size, sketch = (x[~done] for x in (bucket, node, size, sketch))
-            rank = _rank(node, bucket) | np.uint64(1 << 63)
+        for bucket, node, sketch, size in _gathered(batches, p.gather):
+            rows, seen = [bucket, node, sketch.view(np.uint64), size.astype(np.int64)], 0
             if carry is not None:
-                bucket, node, size, sketch = (np.concatenate(x) for x in zip(carry, (bucket, node, size, sketch)))
-                rank = np.concatenate([np.zeros(len(carry[0]), np.uint64), rank])
-            lead, member, leaders = star_links(bucket, node, size, sketch, rank, p)
-            keep = leaders[bucket[leaders] == last]
-            carry = tuple(x[keep] for x in (bucket, node, size, sketch))
-            yield pa.record_batch([pa.array(node[lead]), pa.array(node[member]), pa.array(size[member].astype(np.int32)), pa.array(sketch[member].view(np.int64))], schema=LINK)
+                seen, rows = len(carry[0]), [np.concatenate(x) for x in zip(carry, rows)]
+            bucket, node = rows[:2]
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]
+            bucket, node, sketch, size = rows = [x[new] for x in rows]
+            last = np.searchsorted(bucket, bucket[-1])
+            carry = [x[last:] for x in rows]
+            found, n = [], 0
+            for i, j in bucket_pairs(bucket, size, sketch, seen, p):
+                found.append((i, j))
+                n += len(i)
+                if n >= p.keys:
+                    yield out(found, node)
+                    found, n = [], 0
+            if n:
+                yield out(found, node)
 
     return run
 
 
-def star_edges(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """Distinct (leader, node, size, sketch) over the bags b1 of a table with columns b1, els."""
-    rows = table.select("b1", "els").mapInArrow(map_side(p), ROW_DDL)
-    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(reduce_side(p), LINK_DDL).distinct()
+def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
+    """Distinct (xa, xb), xa < xb, over the bags b1 of a table with columns b1, els: every close pair, and some others."""
+    rows = table.select("b1", "els").mapInArrow(map_side(p, element_ranks(table, p)), ROW_DDL)
+    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    return by_bucket.mapInArrow(reduce_side(p), PAIR_DDL).distinct()
 
 
 def _close(na: Column, nb: Column, common: Column, p: NearDupParams) -> Column:
@@ -196,22 +272,9 @@ def _close(na: Column, nb: Column, common: Column, p: NearDupParams) -> Column:
 
 def close_bags(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """Verified pairs of close, different bags: (xa, xb) with xa < xb, the b1 of either. table: from question_table."""
-    links = materialize(star_edges(table, p), "links")
-    ends = links.select(F.col("leader").alias("b1")).unionByName(links.select(F.col("node").alias("b1"))).distinct()
+    pairs = materialize(candidate_pairs(table, p), "candidates")
+    ends = pairs.select(F.col("xa").alias("b1")).unionByName(pairs.select(F.col("xb").alias("b1"))).distinct()
     bags = materialize(table.select("b1", "n", "els").join(ends, "b1", "left_semi").dropDuplicates(["b1"]), "bags")
-    top = links.select(F.col("leader").alias("top"), F.col("node").alias("leader"))
-    below = links.join(top, "leader").where("top <> node").select(F.col("top").alias("leader"), "node", "size", "sketch")
-    stars = links.unionByName(below).distinct()
-    left = stars.select("leader", F.col("node").alias("x"), F.col("size").alias("xs"), F.col("sketch").alias("xk"))
-    right = stars.select("leader", F.col("node").alias("y"), F.col("size").alias("ys"), F.col("sketch").alias("yk"))
-    longer = F.greatest("xs", "ys")
-    most = F.col("xs") + F.col("ys") - 2 * F.ceil(longer * p.num / F.lit(p.den))
-    within = left.join(right, "leader").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("xk").bitwiseXOR(F.col("yk"))) <= most))
-    pairs = (
-        links.select(F.least("leader", "node").alias("xa"), F.greatest("leader", "node").alias("xb"))
-        .unionByName(within.select(F.col("x").alias("xa"), F.col("y").alias("xb")))
-        .distinct()
-    )
     a = bags.select(F.col("b1").alias("xa"), F.col("n").alias("na"), F.col("els").alias("ea"))
     b = bags.select(F.col("b1").alias("xb"), F.col("n").alias("nb"), F.col("els").alias("eb"))
     common = F.size(F.array_intersect("ea", "eb"))

@@ -117,6 +117,19 @@ def test_many_edits_of_one_text_are_all_found(spark):
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)}
 
 
+@pytest.mark.parametrize("length, edits", [(4, 0), (5, 1), (10, 2), (14, 2), (15, 3), (20, 4), (30, 6), (99, 19), (100, 20)])
+def test_isolated_pairs_at_the_bound_are_all_found(spark, length, edits):
+    """Pairs with as many words replaced as may be, and pairs with as many added, none close to any other pair."""
+    rows = []
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(length)]
+        rows.append((3 * k, " ".join(words)))
+        rows.append((3 * k + 1, " ".join([f"p{k}e{i}" for i in range(edits)] + words[edits:])))
+        rows.append((3 * k + 2, " ".join(words + [f"p{k}a{i}" for i in range(length * 5 // 4 - length)])))
+    t = question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question")
+    assert result(near.close_records(t)) == plain.close_pairs(rows)
+
+
 def test_fields_in_another_order_are_equal(spark):
     rows = [(5, "want: a b | by: c"), (3, "By = C ; Want = A, B"), (9, "by: c\nwant: a b"), (4, "want a b by c"), (6, "want: a b; by: d"), (7, "ｗａｎｔ： a b ｜ by: c")]
     df = spark.createDataFrame(rows, "pair_id long, question string")
