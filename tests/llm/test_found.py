@@ -1,6 +1,7 @@
 """The pN_found queries against plain Python on the smallest tables, and defined results for odd input."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -130,6 +131,23 @@ def test_isolated_pairs_at_the_bound_are_all_found(spark, length, edits):
     assert result(near.close_records(t)) == plain.close_pairs(rows)
 
 
+def test_edits_of_one_text_that_are_not_all_close(spark):
+    """Small sets of edited copies: many of a bucket's texts are close to some of its texts and far from others."""
+    draw = random.Random(7)
+    rows = []
+    for k in range(40):
+        base = [f"c{k}w{i}" for i in range(15)]
+        for m in range(12):
+            words = list(base)
+            for i in draw.sample(range(15), draw.randint(1, 3)):
+                words[i] = f"c{k}m{m}e{i}"
+            rows.append((12 * k + m, " ".join(words)))
+    t = question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question")
+    want = plain.close_pairs(rows)
+    assert 0 < len(want) < 40 * 66
+    assert result(near.close_records(t)) == want
+
+
 def test_fields_in_another_order_are_equal(spark):
     rows = [(5, "want: a b | by: c"), (3, "By = C ; Want = A, B"), (9, "by: c\nwant: a b"), (4, "want a b by c"), (6, "want: a b; by: d"), (7, "ｗａｎｔ： a b ｜ by: c")]
     df = spark.createDataFrame(rows, "pair_id long, question string")
