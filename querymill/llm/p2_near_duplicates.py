@@ -317,16 +317,26 @@ def close_records(table: DataFrame, p: NearDupParams = NearDupParams(), keep: tu
     return both.select(F.least("l_id", "r_id").alias("id_a"), F.greatest("l_id", "r_id").alias("id_b"))
 
 
+def class_counts(table: DataFrame) -> DataFrame:
+    """(b1, n_classes): the unequal questions written with each bag; questions with the same fields are equal in any order."""
+    by_words = table.groupBy("b1", "s1", "s2").agg(F.max(F.struct("f1", "f2")).alias("f"))
+    key = [F.col("f.f1").isNotNull().alias("fielded"), F.coalesce("f.f1", "s1").alias("k1"), F.coalesce("f.f2", "s2").alias("k2")]
+    return by_words.select("b1", *key).distinct().groupBy("b1").agg(F.count(F.lit(1)).alias("n_classes"))
+
+
 def near_duplicate_groups(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """(root_id, pair_id, n_links) for each record in a set of records tied by equal or close questions.
 
-    root_id is the smallest id of the set, n_links the number of different close texts of the record's text. Records
-    without question, or alone with theirs, are left out.
+    root_id is the smallest id of the set, n_links the number of different close texts of the record's text, other orders
+    of its own words among them. Records without question, or alone with theirs, are left out.
     """
     pairs = materialize(close_bags(table, p), "close")
     comp = connected_components(pairs, "xa", "xb")
-    degree = pairs.select(F.col("xa").alias("node")).unionByName(pairs.select(F.col("xb").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    member = table.select("id", "b1").join(comp.withColumnRenamed("node", "b1"), "b1", "left").join(degree.withColumnRenamed("node", "b1"), "b1", "left")
-    labelled = member.select(F.coalesce("component", "b1").alias("label"), "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = materialize(class_counts(table), "classes")
+    ends = pairs.select(F.col("xa").alias("node"), F.col("xb").alias("b1")).unionByName(pairs.select(F.col("xb").alias("node"), F.col("xa").alias("b1")))
+    degree = ends.join(classes, "b1").groupBy("node").agg(F.sum("n_classes").alias("n_near"))
+    member = table.select("id", "b1").join(comp.withColumnRenamed("node", "b1"), "b1", "left").join(degree.withColumnRenamed("node", "b1"), "b1", "left").join(classes, "b1")
+    n_links = F.coalesce("n_near", F.lit(0)) + F.col("n_classes") - 1
+    labelled = member.select(F.coalesce("component", "b1").alias("label"), "id", n_links.cast("long").alias("n_links"))
     sets = labelled.groupBy("label").agg(F.min("id").alias("root_id"), F.count(F.lit(1)).alias("k")).where("k > 1")
     return labelled.join(sets, "label").select("root_id", F.col("id").alias("pair_id"), "n_links")

@@ -148,6 +148,15 @@ def test_edits_of_one_text_that_are_not_all_close(spark):
     assert result(near.close_records(t)) == want
 
 
+def test_links_count_other_orders_of_the_words(spark):
+    a, near_a = "one two three four five", "one two three four six"
+    turn = lambda x: " ".join(reversed(x.split()))
+    rows = [(1, a), (2, a.upper()), (3, turn(a)), (4, near_a), (5, turn(near_a)), (6, "seven eight nine"), (7, "nine eight seven"), (8, "k: v | l: w"), (9, "l: w | k: v")]
+    t = question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question")
+    got = {r["pair_id"]: (r["root_id"], r["n_links"]) for r in near.near_duplicate_groups(t).collect()}
+    assert got == {i: (1, 3) for i in range(1, 6)} | {6: (6, 1), 7: (6, 1), 8: (8, 0), 9: (8, 0)}
+
+
 def test_fields_in_another_order_are_equal(spark):
     rows = [(5, "want: a b | by: c"), (3, "By = C ; Want = A, B"), (9, "by: c\nwant: a b"), (4, "want a b by c"), (6, "want: a b; by: d"), (7, "ｗａｎｔ： a b ｜ by: c")]
     df = spark.createDataFrame(rows, "pair_id long, question string")
