@@ -115,20 +115,26 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str,
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "match_id", F.round("similarity", 4).alias("similarity"))
 
 
-def near_any(rows: DataFrame, targets: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """Ids of the rows whose cosine with any target reaches threshold; targets are a bounded set."""
-    t = np.array([r[0] for r in targets.where(F.col(vector).isNotNull()).select(vector).limit(MAX_DICTIONARY).collect()], np.float64)
-    norm = np.linalg.norm(t, axis=1, keepdims=True) if len(t) else np.zeros((0, 1))
-    t = np.divide(t, norm, out=np.zeros_like(t), where=norm > 0)
+def near_any(rows: DataFrame, targets: DataFrame, key: str, vector: str, threshold: float, block: int = MAX_DICTIONARY) -> DataFrame:
+    """Distinct ids of the rows whose cosine with any target reaches threshold. Targets go out in blocks of bounded size."""
+    known = targets.where(F.col(vector).isNotNull()).select(vector).collect()
+    given = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+    out = None
+    for at in range(0, len(known), block):
+        t = np.array([r[0] for r in known[at : at + block]], np.float64)
+        norm = np.linalg.norm(t, axis=1, keepdims=True)
+        t = np.divide(t, norm, out=np.zeros_like(t), where=norm > 0)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array(b[vector].tolist(), np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ t.T if len(t) and len(x) else np.zeros((len(b), 0))
-            yield b[[key]][(s >= threshold).any(axis=1)]
+        def keep(batches: Iterator[pd.DataFrame], t=t) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = np.array(b[vector].tolist(), np.float64)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ t.T if len(x) else np.zeros((len(b), 0))
+                yield b[[key]][(s >= threshold).any(axis=1)]
 
-    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInPandas(keep, f"{key} long")
+        part = given.mapInPandas(keep, f"{key} long")
+        out = part if out is None else out.unionByName(part)
+    return given.select(key).limit(0) if out is None else out.distinct()
 
 
 def mean_pool(df: DataFrame, by: Sequence[str], vector: str, digits: int = 5) -> DataFrame:

@@ -256,3 +256,11 @@ def test_stream_windows(spark, data, tmp_path):
     q = windowed_counts(stream, late="3650 days").writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_near_any_scores_all_targets(spark, monkeypatch):
+    monkeypatch.setattr(Z, "MAX_DICTIONARY", 2)
+    rows = spark.createDataFrame([(i, [float(i == k) for k in range(5)]) for i in range(5)], "id long, v array<double>")
+    assert sorted(r[0] for r in Z.near_any(rows, rows, "id", "v", 0.9).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r[0] for r in Z.near_any(rows, rows, "id", "v", 0.9, 2).collect()) == [0, 1, 2, 3, 4]
+    assert Z.near_any(rows, rows.limit(0), "id", "v", 0.9).count() == 0
