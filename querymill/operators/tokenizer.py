@@ -113,14 +113,23 @@ def framed(question: Column, statement: Column, bos: int, sep: int, eos: int) ->
     return F.concat(one(bos), question, one(sep), statement, one(eos)), F.size(question) + 2
 
 
-def padded(ids: Column, start: Column, width: int, pad: int) -> Column:
-    """Struct of inputs and targets shifted by one, both padded to width, and the loss mask over the statement."""
-    fill = lambda c, v: F.slice(F.concat(c, F.array_repeat(F.lit(v), width)), 1, width)
-    inputs, targets = F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))), F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0)))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i >= start) & (i < F.size(ids)))
+def padded(ids: Column, start: Column, width: int | Column, pad: int) -> Column:
+    """Struct of inputs and targets shifted by one, both padded to width, and the loss mask over the statement. Longer rows are an error."""
+    w = F.lit(width) if isinstance(width, int) else width
+    fits = F.when(F.size(ids) - 1 > w, F.raise_error(F.lit("row longer than width")).cast("int")).otherwise(w)
+    fill = lambda c, v: F.slice(F.concat(c, F.array_repeat(F.lit(v), fits)), F.lit(1), fits)
+    inputs, targets = F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0))), F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))
+    mask = F.transform(F.sequence(F.lit(1), w), lambda i: (i >= start) & (i < F.size(ids)))
     return F.struct(fill(inputs, pad).alias("inputs"), fill(targets, pad).alias("targets"), mask.alias("mask"))
 
 
+def collated(df: DataFrame, ids: str, start: str, pad: int, step: int = 16) -> DataFrame:
+    """df with batch and row (padded): rows of a length class are a batch, padded to its longest row; nothing is cut."""
+    rows = df.withColumn("batch", F.ceil(F.size(ids) / F.lit(step)).cast("int"))
+    widths = rows.groupBy("batch").agg((F.max(F.size(ids)) - 1).alias("width"))
+    return rows.join(F.broadcast(widths), "batch").withColumn("row", padded(F.col(ids), F.col(start), F.col("width"), pad))
+
+
 def remapped(ids: Column, to_base: int, n_special: int) -> Column:
     """Ids between layouts: special ids move from the front (0..n_special-1) to behind to_base, others shift down."""
     return F.transform(ids, lambda i: F.when(i < n_special, i + to_base).otherwise(i - n_special))

@@ -64,6 +64,15 @@ def padded_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.slice(F.concat(ids, F.array_repeat(F.lit(0), 8)), 1, 8).alias("inputs"))
 
 
+@query()
+def collated_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as framed rows of word lengths, shifted, masked and padded to the longest row of their length class."""
+    words = F.transform(F.split("text", " "), lambda w: F.length(w))
+    ids, start = T.framed(F.array().cast("array<int>"), words, -1, -2, -3)
+    framed = table(spark, d, "documents").where("text is not null").select("doc_id", ids.alias("ids"), start.alias("start"))
+    return T.collated(framed, "ids", "start", 0).select("doc_id", "batch", "row.inputs", "row.targets", "row.mask")
+
+
 @query("""
 WITH o AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 AS e FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),

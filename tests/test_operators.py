@@ -264,3 +264,14 @@ def test_near_any_scores_all_targets(spark, monkeypatch):
     assert sorted(r[0] for r in Z.near_any(rows, rows, "id", "v", 0.9).collect()) == [0, 1, 2, 3, 4]
     assert sorted(r[0] for r in Z.near_any(rows, rows, "id", "v", 0.9, 2).collect()) == [0, 1, 2, 3, 4]
     assert Z.near_any(rows, rows.limit(0), "id", "v", 0.9).count() == 0
+
+
+def test_collated_rows_are_whole(spark):
+    rows = spark.createDataFrame([(n, list(range(1, n + 1)), 2) for n in (2, 5, 16, 17, 40)], "n int, ids array<int>, start int")
+    got = {r["n"]: r["row"] for r in T.collated(rows, "ids", "start", 0).collect()}
+    assert {n: len(r["inputs"]) for n, r in got.items()} == {2: 15, 5: 15, 16: 15, 17: 16, 40: 39}
+    for n, r in got.items():
+        assert [x for x in r["inputs"] if x] == list(range(1, n)) and [x for x in r["targets"] if x] == list(range(2, n + 1))
+        assert len(r["mask"]) == len(r["targets"]) and [i + 1 for i, m in enumerate(r["mask"]) if m] == list(range(2, n))
+    with pytest.raises(Exception, match="longer than width"):
+        rows.select(T.padded(F.col("ids"), F.col("start"), 8, 0).alias("row")).collect()
