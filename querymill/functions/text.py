@@ -62,13 +62,13 @@ def hash_pair(value: Column) -> list[Column]:
 
 
 def bag_elements(ws: Column) -> Column:
-    """Words as INT hashes, each numbered by its occurrence: the set of the results stands for the bag of words."""
-    hashes = F.sort_array(F.transform(ws, lambda w: F.hash(w)))
+    """Words as LONG hashes, each numbered by its occurrence: the set of the results stands for the bag of words."""
+    hashes = F.sort_array(F.transform(ws, lambda w: F.xxhash64(w)))
 
     def number(s: Column) -> Column:
         return F.transform(
             s,
-            lambda h, i: F.when((i > 0) & (s[F.greatest(i - 1, F.lit(0))] == h), F.hash(h, i - F.array_position(s, h))).otherwise(h),
+            lambda h, i: F.when((i > 0) & (s[F.greatest(i - 1, F.lit(0))] == h), F.xxhash64(h, i - F.array_position(s, h))).otherwise(h),
         )
 
     return let(hashes, number)
