@@ -55,52 +55,123 @@ def deviation(cells: np.ndarray, floors: Sequence[Sequence[int]], needs: Sequenc
     return float(total)
 
 
-def fit_cells(available: np.ndarray, floors: Sequence[Sequence[int]], needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]], rounds: int = 200, level_moves: int = 150) -> np.ndarray:
-    """Integer cells within available that sum to the size of the sample, with axis sums near the quotas.
-
-    Proportional fitting with caps, then whole numbers by largest remainder, then moves of rows between cells, in steps
-    that halve down to 1, while they lower the deviation, or keep it for at most level_moves in a row. A scarce category may so draw rows whose other fields
-    are unlisted.
-    """
+def linear_program(a: np.ndarray, b: np.ndarray, cost: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, float]:
+    """x with the least cost @ x, where a @ x = b >= 0 and 0 <= x <= upper, and that cost, by the two-phase bounded simplex method."""
+    m, n = a.shape
+    a, upper = np.hstack([a, np.eye(m)]), np.r_[upper, np.full(m, np.inf)]
+    basis, high = np.arange(n, n + m), np.zeros(n + m, bool)
+    x = np.zeros(n + m)
+    for c in (np.r_[np.zeros(n), np.ones(m)], np.r_[cost, np.zeros(m)]):
+        idle, last = 0, np.inf
+        while True:
+            inverse = np.linalg.inv(a[:, basis])
+            x = np.where(high, np.where(np.isfinite(upper), upper, 0.0), 0.0)
+            x[basis] = 0.0
+            x[basis] = inverse @ (b - a @ x)
+            reduced = c - (c[basis] @ inverse) @ a
+            gain = np.where(high, reduced, -reduced)
+            gain[basis] = 0.0
+            gain[upper == 0] = 0.0
+            value = float(c @ x)
+            idle, last = (idle + 1, last) if value > last - 1e-9 else (0, value)
+            good = np.flatnonzero(gain > 1e-9)
+            if not len(good):
+                break
+            enter = int(good[0] if idle > 40 else good[np.argmax(gain[good])])  # the first one when idle: no cycles
+            column = inverse @ a[:, enter] * (-1.0 if high[enter] else 1.0)
+            room = np.full(m, np.inf)
+            down, up = column > 1e-9, column < -1e-9
+            room[down] = np.maximum(x[basis[down]], 0) / column[down]
+            room[up] = np.maximum(upper[basis[up]] - x[basis[up]], 0) / -column[up]
+            least = float(room.min())
+            if least >= upper[enter]:
+                high[enter] = not high[enter]
+                continue
+            ties = np.flatnonzero(room <= least + 1e-12)
+            leave = int(ties[np.argmin(basis[ties])])
+            high[basis[leave]] = bool(up[leave])
+            basis[leave], high[enter] = enter, False
+        upper[n:] = 0.0
+    return x[:n], float(cost @ x[:n])
+
+
+def least_deviation(available: np.ndarray, floors: Sequence[Sequence[int]], needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]]) -> tuple[np.ndarray, float]:
+    """Cells (fractions allowed) of the least deviation that the fields together leave open, and that deviation: a bound for any sample."""
     size, nd = sum(quotas[0]), available.ndim
-    x = available * (size / max(1, available.sum()))
-    for _ in range(rounds):
-        for a in range(nd):
-            sums = _sums(x, a)
-            factor = np.divide(np.asarray(quotas[a], float), sums, out=np.zeros(len(sums)), where=sums > 0)
-            x = np.minimum(x * _along(factor, a, nd), available)
+    cells = np.flatnonzero(available.ravel())
+    place = np.indices(available.shape).reshape(nd, -1)[:, cells]
+    rows, cost, upper, constant = [], [], [], 0.0
+    columns: list[tuple[int, float]] = []
+    row = 1
+    for a in range(nd):
+        weights = _weights(available.shape[a])
+        for i in range(available.shape[a]):
+            f, n, q = int(floors[a][i]), int(needs[a][i]), int(quotas[a][i])
+            constant += 36 * f + 4 * n
+            points = sorted({0, f, n, q})
+            for lo, hi in zip(points, [*points[1:], np.inf]):
+                cost.append(-36.0 * (hi <= f) - 4.0 * (hi <= n) + float(weights[i]) * (lo >= q))
+                upper.append(hi - lo)
+                columns.append((row, -1.0))
+            rows.append(place[a] == i)
+            row += 1
+    matrix = np.zeros((row, len(cells) + len(columns)))
+    matrix[0, : len(cells)] = 1.0
+    for r, members in enumerate(rows, 1):
+        matrix[r, : len(cells)] = members
+    for k, (r, v) in enumerate(columns):
+        matrix[r, len(cells) + k] = v
+    b = np.zeros(row)
+    b[0] = size
+    x, value = linear_program(matrix, b, np.r_[np.zeros(len(cells)), cost], np.r_[available.ravel()[cells].astype(float), upper])
+    out = np.zeros(available.size)
+    out[cells] = x[: len(cells)]
+    return out.reshape(available.shape), value + constant
+
+
+def whole_cells(x: np.ndarray, available: np.ndarray, size: int) -> np.ndarray:
+    """Whole numbers near x within available that sum to size, by largest remainder."""
     flat = largest_remainder((x.ravel() + 1e-9 * available.ravel()).tolist(), size, None, available.ravel().tolist())
-    cells = np.asarray(flat, np.int64).reshape(available.shape)
+    return np.asarray(flat, np.int64).reshape(available.shape)
+
+
+def moved_cells(cells: np.ndarray, available: np.ndarray, floors, needs, quotas, bound: float, level_moves: int = 150, wide: int = 512) -> np.ndarray:
+    """cells after moves of single rows that lower the deviation, or keep it for at most level_moves in a row, until bound is met.
+
+    Of many cells the `wide` most promising ones to add to and to take from are weighed against each other.
+    """
+    nd = cells.ndim
     place = np.indices(cells.shape).reshape(nd, -1)
-    apart = [place[a][:, None] != place[a][None, :] for a in range(nd)]
+    have = available.ravel()
     rng = np.random.default_rng(0)
-    step, cost, idle = max(1, size // 64), deviation(cells, floors, needs, quotas), 0
+    cost, idle = deviation(cells, floors, needs, quotas), 0
     best, least = cells, cost
-    while step:
-        gain = np.zeros((cells.size, cells.size))
+    while least > bound + 1e-6 and idle <= level_moves:
+        flat, up, down = cells.ravel(), [], []
         for a in range(nd):
             s, floor, need, quota = _sums(cells, a), np.asarray(floors[a]), np.asarray(needs[a]), np.asarray(quotas[a])
             w = _weights(len(s))
-            up = np.where(s < floor, 40, np.where(s < need, 4, np.where(s < quota, 0, -w)))
-            down = np.where((s <= floor) & (floor > 0), -40, np.where((s <= need) & (need > 0), -4, np.where(s <= quota, 0, w)))
-            gain += np.where(apart[a], up[place[a]][:, None] + down[place[a]][None, :], 0)
-        gain[(cells + step > available).ravel()] = -99
-        gain[:, (cells < step).ravel()] = -99
-        np.fill_diagonal(gain, -99)
+            up.append((np.where(s < floor, 36, 0) + np.where(s < need, 4, 0) - np.where(s >= quota, w, 0))[place[a]])
+            down.append((np.where(s > quota, w, 0) - np.where(s <= need, 4, 0) * (s > 0) - np.where(s <= floor, 36, 0) * (s > 0))[place[a]])
+        more, less = np.flatnonzero(flat < have), np.flatnonzero(flat > 0)
+        if not len(more) or not len(less):
+            break
+        more = more[np.argsort(-sum(up)[more] + rng.random(len(more)) / 2)[:wide]]
+        less = less[np.argsort(-sum(down)[less] + rng.random(len(less)) / 2)[:wide]]
+        gain = np.zeros((len(more), len(less)))
+        for a in range(nd):
+            apart = place[a][more][:, None] != place[a][less][None, :]
+            gain += np.where(apart, up[a][more][:, None] + down[a][less][None, :], 0)
+        gain[more[:, None] == less[None, :]] = -99
         top = np.flatnonzero(gain == gain.max())
         i, j = np.unravel_index(top[rng.integers(len(top))], gain.shape)
-        if gain[i, j] < 0 or idle > level_moves:
-            cells, cost, idle, step = best, least, 0, step // 2
-            continue
-        moved = cells.ravel().copy()
-        moved[i] += step
-        moved[j] -= step
-        moved = moved.reshape(cells.shape)
-        after = deviation(moved, floors, needs, quotas)
-        if after > cost:  # a step larger than the lack
-            idle += 1
-            continue
-        cells, cost = moved, after
+        if gain[i, j] < 0:
+            break
+        after = flat.copy()
+        after[more[i]] += 1
+        after[less[j]] -= 1
+        cells = after.reshape(cells.shape)
+        cost -= gain[i, j]
         if cost < least:
             best, least, idle = cells, cost, 0
         else:
@@ -108,6 +179,29 @@ def fit_cells(available: np.ndarray, floors: Sequence[Sequence[int]], needs: Seq
     return best
 
 
+def fit_cells(available: np.ndarray, floors: Sequence[Sequence[int]], needs: Sequence[Sequence[int]], quotas: Sequence[Sequence[int]], rounds: int = 200) -> np.ndarray:
+    """Integer cells within available that sum to the size of the sample, with axis sums near the quotas.
+
+    A linear program finds the least deviation that all fields together leave open; its cells, made whole, give the sums of
+    every category. Cells with these sums that spread over all combinations (proportional fitting with caps) are taken
+    where whole ones are found, else those of the program. A scarce category may draw rows whose other fields are unlisted.
+    """
+    size, nd = sum(quotas[0]), available.ndim
+    fraction, bound = least_deviation(available, floors, needs, quotas)
+    exact = moved_cells(whole_cells(fraction, available, size), available, floors, needs, quotas, bound)
+    sums = [_sums(exact, a) for a in range(nd)]
+    x = available * (size / max(1, available.sum()))
+    for _ in range(rounds):
+        for a in range(nd):
+            now = _sums(x, a)
+            factor = np.divide(sums[a].astype(float), now, out=np.zeros(len(now)), where=now > 0)
+            x = np.minimum(x * _along(factor, a, nd), available)
+    none = [np.zeros(len(s), np.int64) for s in sums]
+    spread = moved_cells(whole_cells(x, available, size), available, none, sums, sums, 0.0, 400)
+    same = all((_sums(spread, a) == sums[a]).all() for a in range(nd))
+    return spread if same else exact
+
+
 class CategorySample:
     """The plan of a sample: quotas, cells and the report; rows() draws it.
 
@@ -150,22 +244,35 @@ class CategorySample:
         self.quotas = quotas
         self.cells = fit_cells(self.available, least, needs, quotas, self.p.rounds) if self.size else np.zeros(shape, np.int64)
 
+    def drawn(self) -> list[int]:
+        """Drawn rows of each row of the targets, counted over the sample itself."""
+        counts = self.rows().groupBy(*self.names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most a row per cell
+        per: dict[tuple[str, str], int] = {}
+        for r in counts:
+            for f in self.names:
+                per[f, r[f]] = per.get((f, r[f]), 0) + r["n"]
+        return [per.get((t["field_name"], _key(t["category"])), 0) for t in self.targets]
+
     def report(self) -> list[tuple]:
-        """(field_name, category, target_share, needed_rows, available_rows, drawn_rows, can_be_met) per row of the targets."""
-        axes = range(len(self.names))
+        """(field_name, category, target_share, needed_rows, available_rows, drawn_rows, shortfall, can_be_met, cause) per row of the targets.
+
+        shortfall: rows by which the sample stays below the need; can_be_met: it does not. cause: 'too few records' where the table
+        itself has fewer rows than needed, else 'other targets' where rows were left because the fields' targets exclude each other.
+        """
         out = []
-        for r in self.targets:
+        for r, drawn in zip(self.targets, self.drawn()):
             a = self.names.index(r["field_name"])
             i = self.index[r["field_name"]][_key(r["category"])]
             need = max(Decimal(r["min_rows"] or 0), Decimal(str(r["target_share"])) * self.size)
-            drawn = int(self.cells.sum(axis=tuple(x for x in axes if x != a))[i])
-            have = int(self.margins[a][i])
-            out.append((r["field_name"], r["category"], float(r["target_share"]), float(need), have, drawn, have >= need))
+            have, lack = int(self.margins[a][i]), max(Decimal(0), need - drawn)
+            cause = None if not lack else "too few records" if have < need else "other targets"
+            out.append((r["field_name"], r["category"], float(r["target_share"]), float(need), have, drawn, float(lack), not lack, cause))
         return out
 
     def report_df(self, spark) -> DataFrame:
         return spark.createDataFrame(
-            self.report(), "field_name string, category string, target_share double, needed_rows double, available_rows long, drawn_rows long, can_be_met boolean"
+            self.report(),
+            "field_name string, category string, target_share double, needed_rows double, available_rows long, drawn_rows long, shortfall double, can_be_met boolean, cause string",
         )
 
     def rows(self) -> DataFrame:
@@ -185,6 +292,6 @@ def pairs_sample(df: DataFrame, targets: DataFrame, p: SampleParams = SamplePara
 
 
 def unmet(df: DataFrame, targets: DataFrame, p: SampleParams = SampleParams()) -> DataFrame:
-    """(field_name, category) of the targets for which there are fewer records than needed."""
+    """(field_name, category) of the targets that the drawn sample misses because there are fewer records than needed."""
     plan = pairs_sample(df, targets, p)
-    return plan.report_df(df.sparkSession).where("not can_be_met").select("field_name", "category")
+    return plan.report_df(df.sparkSession).where("shortfall > 0 and cause = 'too few records'").select("field_name", "category")
