@@ -1,75 +1,69 @@
 """Subject areas of documents (problem 8) by class-association rules.
 
-Sentences of the labelled samples, as sets of terms plus their subject, are mined by parallel FP-growth. An itemset
-with one subject is a rule; a rule is redundant, and pruned, when a shorter rule gives nearly the same shares of
-subjects. A specific rule that *lowers* a share stays, so that figures of speech and filler phrases count as evidence for
-no subject. A sentence is scored by the most specific rules it matches; scale and the weight of "no subject" are
-calibrated on held-out folds. A document has the subjects that enough of its sentences deal with.
+Texts are folded, cut into sentences and reduced to sets of terms by JVM expressions. Sentences of the labelled samples, as sets
+of terms plus their subject, are mined by parallel frequent-pattern growth: every term gets the part of each sentence that is
+more frequent than itself, and the patterns of a term are grown in its own task. A pattern with the counts of its subjects is a
+rule; a rule is redundant, and pruned, when a shorter rule gives nearly the same shares of subjects. A specific rule that
+*lowers* a share stays, so that figures of speech and filler phrases count as evidence for no subject. A sentence is scored by
+the most specific rules it matches; scale and the weight of "no subject" are calibrated on held-out folds. A document has the
+subjects that enough of its sentences deal with.
 
 The samples are a bounded table (at most max_samples rows are used, by smallest id); everything else covers all rows.
 """
 
 from __future__ import annotations
 
-import html
 import math
-import re
-import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querymill.functions.text import WORD, fold, let
 from querymill.session import spread
 
-WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[a-z][^<>]{0,200}>", re.I)
-END = re.compile(r"(?<=[.!?…。])[\"')\]»”]*\s+(?!a:)|[\r\n]+")
-LEAD = re.compile(r"^[\s>*\-•|\"'«“]+")
-HEADER = re.compile(r"^(?:from|to|cc|date|subject|von|an)\s*:\s*\S*$")
+TAG = r"(?i)</?[a-z][^<>]*>"
+#: A sentence ends at a mark or a line break; an answer labelled by one letter ("q: ...? a: ...") stays with its question.
+END = r"""(?:(?<=[.!…。])["')\]»”]*\s+|(?<=\?)["')\]»”]*\s+(?!\p{L}:)|[\r\n]+)"""
+LEAD = r"""^[\s>*\-•|"'«“]+"""
+#: A line of a label and one value at most, like the headers of a mail.
+HEADER = r"^\p{L}[\p{L}-]*\s*:\s*\S*$"
+#: Hangul words are stemmed to two syllables, which sheds particles.
+HANGUL = r"(?<![\p{L}\p{N}])([가-힣][\p{L}\p{N}])[\p{L}\p{N}]+"
 
 
 @dataclass(frozen=True)
 class SubjectParams:
-    """min_count: sentences a rule needs; max_terms: terms of a rule; max_samples: bound of the labelled sample."""
+    """min_count: sentences a rule needs; max_terms: terms of a rule, 1 to 3; max_samples: bound of the labelled sample."""
 
     min_count: int = 3
     max_terms: int = 3
     max_samples: int = 20_000
-    max_rules: int = 100_000
     change: float = 0.1
     folds: int = 4
     sentence_share: float = 0.25
 
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences in folded form. Tags, quote marks and list marks are taken off, mail headers left out; a question and
-    its answer ("q: ...? a: ...") are one sentence, and so is a line without end mark."""
-    if not text:
-        return []
-    clean = unicodedata.normalize("NFKC", html.unescape(TAG.sub("\n", text))).lower()
-    out = []
-    for part in END.split(clean):
-        part = LEAD.sub("", part).strip()
-        if WORD.search(part) and not HEADER.match(part):
-            out.append(part)
-    return out
+def sentences(text: Column) -> Column:
+    """Sentences in folded form; an empty array for null or wordless text. Tags, quote marks and list marks are taken off and
+    headers left out; a question and its answer are one sentence, and so is a line without end mark."""
+    bare = F.when(text.contains("<"), F.regexp_replace(text, TAG, "\n")).otherwise(text)
+    plain = F.when(bare.contains("&"), F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), bare)).otherwise(bare)
+    parts = F.transform(F.split(fold(plain), END), lambda x: F.trim(F.regexp_replace(x, LEAD, "")))
+    return F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~x.rlike(HEADER))
 
 
-def terms(sentence: str) -> set[str]:
-    """Words; Hangul words by their first two syllables, which sheds particles. Numbers are left out."""
-    out = set()
-    for w in WORD.findall(sentence):
-        if "가" <= w[0] <= "힣":
-            out.add(w[:2])
-        elif not w.isdigit():
-            out.add(w)
-    return out
+def terms(sentence: Column, vocabulary: Iterable[str] | None = None) -> Column:
+    """Different words of a sentence (of vocabulary, if given), sorted. Numbers are left out, Hangul words stemmed."""
+    stemmed = F.when(sentence.rlike("[가-힣]"), F.regexp_replace(sentence, HANGUL, "$1")).otherwise(sentence)
+    words = F.regexp_extract_all(stemmed, F.lit(WORD), F.lit(0))
+    keep = (lambda w: ~w.rlike(r"^\p{N}+$")) if vocabulary is None else (lambda w: w.isin(list(vocabulary)))
+    return F.array_sort(F.array_distinct(F.filter(words, keep)))
 
 
 @dataclass
@@ -86,7 +80,6 @@ class RuleModel:
     none: float = 0.0
     significance: float = 10.0
     index: dict[str, list[tuple[frozenset[str], np.ndarray]]] = field(default_factory=dict)
-    known: dict[frozenset[str], int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         uses = Counter(t for r in self.rules for t in r)
@@ -117,35 +110,63 @@ class RuleModel:
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def subject(self, sentence: str) -> int:
-        """Index of the subject the sentence deals with, -1 for none. Results are kept by the terms that rules use."""
-        ts = frozenset(terms(sentence) & self.vocabulary)
-        if ts not in self.known:
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            p = self.probabilities(self.evidence(ts))
-            best = int(np.argmax(p[:-1]))
-            self.known[ts] = best if p[best] >= 0.5 else -1
-        return self.known[ts]
-
-
-def mine(spark, rows: list[tuple[set[str], str]], subjects: list[str], p: SubjectParams) -> dict[frozenset[str], np.ndarray]:
-    """Non-redundant rules by parallel FP-growth over (terms, subject) transactions."""
-    freq = Counter(t for ts, _ in rows for t in ts)
-    data = [([t for t in sorted(ts) if freq[t] >= p.min_count] + ["=" + s],) for ts, s in rows]
-    df = spark.createDataFrame(data, "items array<string>")
-    sets = FPGrowth(itemsCol="items", minSupport=p.min_count / len(data), minConfidence=0.0).setNumPartitions(8).fit(df).freqItemsets
-    is_class = lambda x: x.startswith("=")
-    n_class = F.size(F.filter("items", is_class))
-    short = sets.where((F.size("items") - n_class).between(1, p.max_terms) & (n_class <= 1)).collect()
+    def subject(self, key: str) -> int:
+        """Index of the subject that a sentence (its terms, parted by blanks) deals with, -1 for none."""
+        ts = frozenset(key.split()) & self.vocabulary
+        p = self.probabilities(self.evidence(ts))
+        best = int(np.argmax(p[:-1])) if len(p) > 1 else -1
+        return best if best >= 0 and p[best] >= 0.5 else -1
+
+
+def mine(spark, runs: list[list[tuple[set[str], str]]], subjects: list[str], p: SubjectParams) -> list[dict[frozenset[str], np.ndarray]]:
+    """For each run of (terms, subject) transactions its non-redundant rules. All runs are mined in one job.
+
+    A transaction's terms are ordered from the most frequent one on; the task of a term sees the part before it and grows the
+    patterns that end in the term, to max_terms at most, from those that reach min_count.
+    """
     at = {s: i for i, s in enumerate(subjects)}
-    found: dict[frozenset[str], np.ndarray] = {}
-    for r in short:
-        cls = [x for x in r["items"] if x.startswith("=")]
-        ante = frozenset(x for x in r["items"] if not x.startswith("="))
-        counts = found.setdefault(ante, np.zeros(len(subjects) + 1))
-        counts[at[cls[0][1:]] if cls else -1] = r["freq"]
-    return prune(found, p)
+    rows = []
+    for run, transactions in enumerate(runs):
+        freq = Counter(t for ts, _ in transactions for t in ts)
+        for ts, s in transactions:
+            order = sorted((t for t in ts if freq[t] >= p.min_count), key=lambda t: (-freq[t], t))
+            if order:
+                rows.append((run, order, at[s]))
+    if not rows:
+        return [{} for _ in runs]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["run", "items", "y"]), "run int, items array<string>, y int").repartition(spark.sparkContext.defaultParallelism)
+    ends = df.select("run", "y", F.posexplode("items").alias("i", "term"), "items").select("run", "y", "term", F.slice("items", F.lit(1), F.col("i")).alias("before"))
+    per_term = ends.groupBy("run", "term").agg(F.collect_list("before").alias("before"), F.collect_list("y").alias("ys"))  # bounded by the labelled sample
+    k, least, deepest = len(subjects), p.min_count, p.max_terms
+
+    def grow(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+
+            def extend(run: int, pattern: list[str], base: list[tuple[list[str], int]]) -> None:
+                counts = [0] * k
+                for _, y in base:
+                    counts[y] += 1
+                out.append((run, pattern, counts))
+                if len(pattern) == deepest:
+                    return
+                inner = defaultdict(list)
+                for before, y in base:
+                    for j, t in enumerate(before):
+                        inner[t].append((before[:j], y))
+                for t, sub in inner.items():
+                    if len(sub) >= least:
+                        extend(run, [*pattern, t], sub)
+
+            for run, term, before, ys in zip(batch["run"], batch["term"], batch["before"], batch["ys"]):
+                extend(int(run), [term], [(list(x), int(y)) for x, y in zip(before, ys)])
+            yield pd.DataFrame(out, columns=["run", "pattern", "counts"])
+
+    found: list[dict[frozenset[str], np.ndarray]] = [{} for _ in runs]
+    grown = per_term.mapInPandas(grow, "run int, pattern array<string>, counts array<long>")
+    for r in grown.collect():  # bounded by the labelled sample
+        found[r["run"]][frozenset(r["pattern"])] = np.array([*r["counts"], sum(r["counts"])], float)
+    return [prune(f, p) for f in found]
 
 
 def prune(found: dict[frozenset[str], np.ndarray], p: SubjectParams) -> dict[frozenset[str], np.ndarray]:
@@ -157,8 +178,6 @@ def prune(found: dict[frozenset[str], np.ndarray], p: SubjectParams) -> dict[fro
         inner = [kept[q] for q in _subsets(r) if q in kept]
         if all(np.abs(mine_ - share(c)).max() >= p.change for c in inner):
             kept[r] = found[r]
-        if len(kept) >= p.max_rules:
-            break
     return kept
 
 
@@ -168,14 +187,11 @@ def _subsets(r: frozenset[str]) -> Iterator[frozenset[str]]:
         yield frozenset(x for i, x in enumerate(items) if mask >> i & 1)
 
 
-def calibrate(spark, texts: list[tuple[list[set[str]], str]], subjects: list[str], p: SubjectParams) -> tuple[float, float]:
+def calibrate(held: list[tuple[np.ndarray, int]], n_subjects: int) -> tuple[float, float]:
     """Scale and weight of "no subject" with the best held-out likelihood of the samples' labels, where a sentence of
-    no subject says nothing of the label."""
-    held: list[tuple[np.ndarray, int]] = []
-    for f in range(p.folds):
-        train = [(ts, s) for i, (sents, s) in enumerate(texts) if i % p.folds != f for ts in sents]
-        model = RuleModel(subjects, mine(spark, train, subjects, p))
-        held += [(model.evidence(ts), subjects.index(s)) for i, (sents, s) in enumerate(texts) if i % p.folds == f for ts in sents]
+    no subject says nothing of the label. held: evidence and label of each held-out sentence."""
+    if not held:
+        return 1.0, 0.0
     ev, label = np.array([e for e, _ in held]), np.array([y for _, y in held])
     best = (-math.inf, 1.0, 0.0)
     for scale in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0):
@@ -183,47 +199,63 @@ def calibrate(spark, texts: list[tuple[list[set[str]], str]], subjects: list[str
             z = np.c_[scale * ev, np.full(len(ev), none)]
             z = np.exp(z - z.max(axis=1, keepdims=True))
             z /= z.sum(axis=1, keepdims=True)
-            ll = np.log(z[np.arange(len(z)), label] + z[:, -1] / len(subjects)).mean()
+            ll = np.log(z[np.arange(len(z)), label] + z[:, -1] / n_subjects).mean()
             if ll > best[0] + 1e-9:
                 best = (ll, scale, float(none))
     return best[1], best[2]
 
 
+def labelled_sentences(samples: DataFrame, p: SubjectParams = SubjectParams()) -> list[tuple[list[set[str]], str]]:
+    """The terms of every sentence of each labelled text, and its subject, by sample_id. Rows without subject are left out."""
+    some = samples.where("subject is not null").orderBy("sample_id").limit(p.max_samples)
+    rows = some.select("sample_id", "subject", F.transform(sentences(F.col("text")), lambda x: terms(x)).alias("t")).collect()
+    return [([set(ts) for ts in r["t"]], r["subject"]) for r in sorted(rows, key=lambda r: r["sample_id"])]
+
+
 def fit(samples: DataFrame, p: SubjectParams = SubjectParams()) -> RuleModel:
-    """samples: (sample_id, subject, text). Rows without subject are left out."""
-    rows = samples.where("subject is not null").orderBy("sample_id").limit(p.max_samples).select("subject", "text").collect()
-    texts = [([terms(s) for s in sentences(r["text"])], r["subject"]) for r in rows]
+    """samples: (sample_id, subject, text). Without labelled rows the model knows no subject."""
+    texts = labelled_sentences(samples, p)
     subjects = sorted({s for _, s in texts})
-    if not subjects:
-        return RuleModel([], {})
-    scale, none = calibrate(samples.sparkSession, texts, subjects, p)
-    rules = mine(samples.sparkSession, [(ts, s) for sents, s in texts for ts in sents], subjects, p)
+    flat = lambda fold_: [(ts, s) for i, (sents, s) in enumerate(texts) if i % p.folds != fold_ for ts in sents]
+    *parts, rules = mine(samples.sparkSession, [flat(f) for f in range(p.folds)] + [flat(-1)], subjects, p)
+    held = []
+    for f, found in enumerate(parts):
+        model = RuleModel(subjects, found)
+        held += [(model.evidence(ts), subjects.index(s)) for i, (sents, s) in enumerate(texts) if i % p.folds == f for ts in sents]
+    scale, none = calibrate(held, len(subjects))
     return RuleModel(subjects, rules, scale, none)
 
 
 def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
     """(doc_id, n_sentences, subject, n_about): per document and subject met, the sentences that deal with it.
 
-    A document without sentences, or with none on any subject, has one row with a null subject and 0.
+    A document without sentences, or with none on any subject, has one row with a null subject and 0. Sentences come to
+    Python as the terms that rules use; equal ones are scored once a batch.
     """
     state = (model.subjects, model.rules, model.scale, model.none)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = RuleModel(*state)
+        names, k = [*m.subjects, None], len(m.subjects)
         for batch in batches:
-            ids, n, subject, about = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sents = sentences(text)
-                got = Counter(m.subject(s) for s in sents)
-                got.pop(-1, None)
-                for k, c in got.items() or [(None, 0)]:
-                    ids.append(doc)
-                    n.append(len(sents))
-                    subject.append(None if k is None else m.subjects[k])
-                    about.append(c)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(subject, pa.string()), pa.array(about, pa.int64())], names=["doc_id", "n_sentences", "subject", "n_about"])
-
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_sentences long, subject string, n_about long")
+            n, keys = batch.num_rows, batch.column(1)
+            sizes = np.diff(keys.offsets.to_numpy(zero_copy_only=False))
+            coded = keys.flatten().dictionary_encode()
+            known = np.array([m.subject(x) for x in coded.dictionary.to_pylist()], np.int64)
+            about = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+            owner = np.repeat(np.arange(n), sizes)
+            counts = np.bincount((owner * (k + 1) + about)[about >= 0], minlength=n * (k + 1)).reshape(n, k + 1)
+            counts[counts.sum(axis=1) == 0, k] = -1
+            doc, subject = np.nonzero(counts)
+            number = np.maximum(counts[doc, subject], 0)
+            yield pa.record_batch(
+                [batch.column(0).take(pa.array(doc)), pa.array(sizes[doc].astype(np.int64)), pa.array([names[j] for j in subject.tolist()], pa.string()), pa.array(number.astype(np.int64))],
+                names=["doc_id", "n_sentences", "subject", "n_about"],
+            )
+
+    text = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    key = F.transform(sentences(F.col("text")), lambda x: F.array_join(terms(x, sorted(model.vocabulary)), " "))
+    return text.select("doc_id", key.alias("keys")).mapInArrow(run, "doc_id long, n_sentences long, subject string, n_about long")
 
 
 def document_subjects(docs: DataFrame, samples: DataFrame, p: SubjectParams = SubjectParams()) -> DataFrame:
