@@ -84,6 +84,19 @@ def pieces(sized: DataFrame, capacity: int) -> DataFrame:
     return each.select("doc_id", "piece_no", "n_pieces", start.alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - start).alias("length"))
 
 
+#: Ranks that share a key when items look for their slot.
+RANK_RUN = 64
+
+
+def in_slots(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every item with the slot of its length that holds its rank. Both sides meet by (length, run of ranks), so an item
+    meets the slots of its run only, and the items of a frequent length are spread over tasks."""
+    last = F.floor((F.col("hi") - 1) / RANK_RUN)
+    runs = plan.withColumn("run", F.explode(F.sequence(F.floor(F.col("lo") / RANK_RUN), last)))
+    keyed = ranked.withColumn("run", F.floor((F.col("rank") - 1) / RANK_RUN))
+    return keyed.join(runs, ["length", "run"]).where("rank > lo and rank <= hi")
+
+
 def pack_documents(docs: DataFrame, packs: DataFrame, path: str = VOCABULARY, seed: int = 42) -> DataFrame:
     """(pack_name, pack_id, doc_id, piece_no, n_pieces, start_token, length): each item's place for each kind of pack.
 
@@ -99,7 +112,7 @@ def pack_documents(docs: DataFrame, packs: DataFrame, path: str = VOCABULARY, se
         plan = spark.createDataFrame(slots(shortest_pack_first(histogram, capacity)), "length long, lo long, hi long, per_pack long, first_pack long")
         ranked = rank_in_group(items, ["length"], random_key(seed, "doc_id", "piece_no"), ["doc_id", "piece_no"])
         pack_id = F.col("first_pack") + F.floor((F.col("rank") - F.col("lo") - 1) / F.col("per_pack"))
-        placed = ranked.join(plan, "length").where("rank > lo and rank <= hi")
+        placed = in_slots(ranked, plan)
         rows = placed.select(F.lit(r["pack_name"]).alias("pack_name"), pack_id.cast("long").alias("pack_id"), "doc_id", "piece_no", "n_pieces", "start_token", "length")
         out = rows if out is None else out.unionByName(rows)
     empty = spark.createDataFrame([], "pack_name string, pack_id long, doc_id long, piece_no int, n_pieces int, start_token long, length long")
