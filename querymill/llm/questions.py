@@ -15,8 +15,8 @@ def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str
     """One row per record that has a question (a text with a word), with hashes of what makes questions equal.
 
     Columns: id; n (words); s1, s2 (128 bits of the words in order); f1, f2 (128 bits of the sorted fields, null where the text is
-    not written as fields); with bags: b1, b2 (128 bits of the bag of words), els (the bag as INT hashes);
-    and the columns of keep. Records with null text or no word are left out.
+    not written as fields); with check: chk, fchk, other hashes of the words and of the fields; with bags: b1, b2 (128 bits of the
+    bag of words), els (the bag as LONG hashes); and the columns of keep. Records with null text or no word are left out.
 
     The table is written before that filter: pushed below the projection, it would parse every text twice.
     """
@@ -28,7 +28,9 @@ def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str
     for name, source in (("s", "__s"), ("f", "__g")):
         cols += [h.alias(f"{name}{i + 1}") for i, h in enumerate(hash_pair(F.col(source)))]
     if check:
-        cols.append(F.xxhash64(F.lit("check"), F.length("__s"), F.reverse(F.col("__s"))).alias("chk"))
+        for name, source in (("chk", "__s"), ("fchk", "__g")):
+            other = F.xxhash64(F.lit("check"), F.length(source), F.reverse(F.col(source)))
+            cols.append(F.when(F.col(source).isNotNull(), other).alias(name))
     if bags:
         seq = seq.withColumn("__b", F.array_join(F.sort_array("__w"), " "))
         cols += [h.alias(f"b{i + 1}") for i, h in enumerate(hash_pair(F.col("__b")))]
