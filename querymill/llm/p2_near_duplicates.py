@@ -1,11 +1,19 @@
 """Near-duplicate questions with small edits (problem 2).
 
-Candidates come from an exact prefix filter. All elements of bags are put into one order, rare ones first. Two bags that
-must have o elements in common share their first k common elements within the first n - o + k elements of either, so
-texts meet in a bucket for every combination of k elements of that prefix, and each close pair shares a bucket. k falls with
-the length, which keeps the combinations few. Every two texts of a bucket are compared by size and by a 64-bit odd sketch,
-whose Hamming distance never exceeds the true difference of two bags, and every surviving pair of bags is verified exactly:
-no close pair is lost, for any order of the elements and any k.
+Two ways find candidates; every candidate is verified exactly on its bags of words.
+
+*Stars.* One-permutation signatures with optimal densification are cut into bands; the texts of a bucket are tied to its
+smallest text only, so candidates are never more than texts x bands. Classes of near-duplicates begin with the verified
+star links, in which a group of any size costs as many links as it has texts.
+
+*Prefix filter.* Bands miss some pairs at the bound and stars list few of the pairs of a group, so neither can give every
+close pair. All elements of bags are put into one order, rare ones first. Two bags that must have o elements in common share
+their first k common elements within the first n - o + k elements of either, so texts meet in a bucket for every
+combination of k elements of that prefix, and each close pair shares a bucket. k falls with the length, which keeps the
+combinations few. Every two texts of a bucket are compared by size and by a 64-bit odd sketch, whose Hamming distance never
+exceeds the true difference of two bags: no close pair is lost, for any order of the elements and any k. Buckets that
+a sample shows to be large are dealt to several tasks as a grid of blocks. Classes look only for links between different
+star classes this way.
 
 Copies (equal bags) are one node throughout; they are expanded only where a query asks for pairs of records.
 """
@@ -31,18 +39,21 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 class NearDupParams:
     """num/den is the share of the longer bag that must be common; classes are (least length, elements of a key) by length.
 
-    bands x rows are the bins of one_permutation_bands, which the search for close pairs does not use.
+    bands x rows are the bins of the one-permutation signature. hot_rows is the size of a block of a large bucket; buckets
+    are sized over one bag in `sampled`, at most hot_keys of them, which moves work between tasks and changes no result.
     """
 
     bands: int = 18
     rows: int = 5
     num: int = 4
     den: int = 5
-    probes: int = 64
     classes: tuple[tuple[int, int], ...] = ((1, 1), (4, 3), (15, 2), (100, 1))
     ranked: int = 65_536  # most frequent elements whose counts order them; all others are rare and ordered by hash
     keys: int = 1 << 18  # keys, or pairs, made at once
     gather: int = 1 << 17  # rows of buckets looked at together
+    hot_rows: int = 1 << 14
+    hot_keys: int = 1 << 16
+    sampled: int = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,39 +64,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def one_permutation_bands(values: np.ndarray, lengths: np.ndarray, p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (rows x bands, uint64) and odd sketches (uint64) of sets given as flat int32 values and lengths >= 1."""
+def _sketch(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Odd sketch of each set: 64 bits, each the parity of the elements that fall on it."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), np.cumsum(lengths) - lengths)
+
+
+def one_permutation_bands(values: np.ndarray, lengths: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """Band hashes (sets x bands, uint64) of sets given as flat int64 values and lengths >= 1.
+
+    Optimal densification: an empty bin takes the value of the first filled one in a random sequence of bins, which is its own
+    and the same for all sets.
+    """
     n, k = len(lengths), p.bands * p.rows
     owner = np.repeat(np.arange(n), lengths)
     h = _mix(values.astype(np.int64).view(np.uint64))
-    starts = np.cumsum(lengths) - lengths
-    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)
     bins = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
     sig = np.full(n * k, EMPTY)
     np.minimum.at(sig, owner * k + bins, _mix(h))
     filled = sig != EMPTY
-    out = sig.copy()
-    todo = np.flatnonzero(~filled)
-    probe = _mix(np.arange(p.probes * k, dtype=np.uint64) + np.uint64(0x51ED270B)).reshape(p.probes, k)
-    probe = ((probe >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-    for t in range(p.probes):
-        if not len(todo):
-            break
-        donor = todo - todo % k + probe[t][todo % k]
+    out, todo, probe = sig.copy(), np.flatnonzero(~filled), np.uint64(0x51ED270B)
+    while len(todo):
+        probe = _mix(np.array([probe]))[0]
+        step = (_mix(np.arange(k, dtype=np.uint64) ^ probe) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+        donor = todo - todo % k + step.astype(np.int64)[todo % k]
         ok = filled[donor]
         out[todo[ok]] = sig[donor[ok]]
         todo = todo[~ok]
-    step = 1
-    while len(todo):  # sets of a few elements: the next filled bin to the right
-        donor = todo - todo % k + (todo + step) % k
-        ok = filled[donor]
-        out[todo[ok]] = sig[donor[ok]]
-        todo, step = todo[~ok], step + 1
     out = out.reshape(n, p.bands, p.rows)
     band = np.broadcast_to(_mix(np.arange(p.bands, dtype=np.uint64)), (n, p.bands))
     for r in range(p.rows):
         band = _mix(band ^ out[:, :, r])
-    return band, sketch
+    return band
 
 
 def _allowed(n1: np.ndarray, n2: np.ndarray, p: NearDupParams) -> np.ndarray:
@@ -94,31 +103,10 @@ def _allowed(n1: np.ndarray, n2: np.ndarray, p: NearDupParams) -> np.ndarray:
     return n1 + n2 - 2 * need
 
 
-def star_links(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray, rank: np.ndarray, p: NearDupParams):
-    """Leader clustering inside each bucket. Returns (leader index, member index) links and the leaders' indices.
-
-    In rounds: the first remaining text of every bucket (by rank) leads, texts it may be close to join it, the rest go on.
-    Repeats of a node within its bucket vanish.
-    """
-    order = np.lexsort((rank, bucket))
-    leads, members, leaders = [], [], []
-    while len(order):
-        b = bucket[order]
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        lead = order[np.repeat(first, np.diff(np.r_[first, len(b)]))]
-        leaders.append(order[first])
-        same = node[order] == node[lead]
-        diff = np.bitwise_count(sketch[order] ^ sketch[lead]).astype(np.int64)
-        join = ~same & (diff <= _allowed(size[order], size[lead], p))
-        leads.append(lead[join])
-        members.append(order[join])
-        order = order[~same & ~join]
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return cat(leads), cat(members), cat(leaders)
-
-
-ROW = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("size", pa.int32())])
-ROW_DDL = "bucket long, node long, sketch long, size int"
+#: meta of a row: size x 16 + block side x 4 + sides. Sides: 1 on the first side, 2 on the second, 3 both. Block side: 0 for a
+#: whole bucket or a block on the diagonal of its grid, 1 and 2 for the two chunks that a block off the diagonal compares.
+ROW = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("meta", pa.int64())])
+ROW_DDL = "bucket long, grp long, node long, sketch long, meta long"
 KEY_BITS = np.uint64(0xFFFFFFFFFF000000)  # 40 bits tell buckets apart; two in one only add candidates, and zeros shrink the shuffle
 PAIR = pa.schema([("xa", pa.int64()), ("xb", pa.int64())])
 PAIR_DDL = "xa long, xb long"
@@ -128,9 +116,17 @@ def _np(col) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False)
 
 
+def with_nodes(table: DataFrame) -> DataFrame:
+    """table with node, a LONG that stands for the bag: b1, or another hash where two bags agree in b1 but not in b2."""
+    clash = table.groupBy("b1").agg(F.min("b2").alias("__lo"), F.max("b2").alias("__hi")).where("__lo <> __hi").select("b1", "__lo")
+    clash = materialize(clash, "clashes")
+    node = F.when(F.col("__lo").isNull() | (F.col("b2") == F.col("__lo")), F.col("b1")).otherwise(F.xxhash64(F.lit("again"), "b2", "b1"))
+    return table.join(clash, "b1", "left").withColumn("node", node).drop("__lo")
+
+
 def element_ranks(table: DataFrame, p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent elements, sorted, and their places by count; from an eighth of the bags, as any order is right."""
-    some = table.where(F.pmod(F.xxhash64("b1"), F.lit(8)) == 0).select(F.explode("els").alias("e"))
+    some = table.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0).select(F.explode("els").alias("e"))
     top = some.groupBy("e").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "e").limit(p.ranked).toArrow()
     e = top.column("e").to_numpy()
     place = np.arange(len(e), 0, -1, dtype=np.uint32)
@@ -176,43 +172,85 @@ def prefix_keys(values: np.ndarray, lengths: np.ndarray, ranks: tuple[np.ndarray
                     yield np.repeat(some, len(block)), key.ravel()
 
 
-def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray]):
-    """A row for each key of each bag."""
+def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray] | None = None):
+    """A row for each key of each bag (node, els, sides, grp); rows of a hot bucket go to every block of their chunk."""
+
+    def rows_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return key, at, np.zeros(len(key), np.int64)
+
+    def in_grid(key: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, grid = hot
+        i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        is_hot = known[i] == key
+        if not is_hot.any():
+            return rows_of(key, at)
+        keys, owners, sides = [key[~is_hot]], [at[~is_hot]], [np.zeros(int((~is_hot).sum()), np.int64)]
+        hot_key, hot_at, g = key[is_hot], at[is_hot], grid[i[is_hot]]
+        chunk = (_mix(node[hot_at].view(np.uint64) ^ hot_key) % g.astype(np.uint64)).astype(np.int64)
+        for other in range(int(g.max())):
+            some = other < g
+            c = chunk[some]
+            lo, hi = np.minimum(c, other), np.maximum(c, other)
+            keys.append(_mix(_mix(hot_key[some] ^ lo.astype(np.uint64)) + hi.astype(np.uint64)) & KEY_BITS)
+            owners.append(hot_at[some])
+            sides.append(np.where(c == other, 0, np.where(c < other, 1, 2)))
+        return np.concatenate(keys), np.concatenate(owners), np.concatenate(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, once = np.unique(_np(batch.column(0)), return_index=True)
+            node, sides = _np(batch.column(0)), _np(batch.column(2))
+            by = np.lexsort((sides, node))
+            once = by[np.r_[True, (node[by][1:] != node[by][:-1]) | (sides[by][1:] != sides[by][:-1])]]
             batch = batch.take(pa.array(once))
-            node, els = _np(batch.column(0)), batch.column(1)
+            node, els, sides, grp = _np(batch.column(0)), batch.column(1), _np(batch.column(2)).astype(np.int64), _np(batch.column(3))
             lengths, values = np.diff(_np(els.offsets)).astype(np.int64), _np(els.flatten())
-            bits = np.uint64(1) << (_mix(values.astype(np.int64).view(np.uint64)) >> np.uint64(58))
-            sketch = np.bitwise_xor.reduceat(bits, np.cumsum(lengths) - lengths).view(np.int64)
+            sketch = _sketch(_mix(values.view(np.uint64)), lengths).view(np.int64)
             for at, key in prefix_keys(values, lengths, ranks, p):
-                yield pa.record_batch([pa.array((key & KEY_BITS).view(np.int64)), pa.array(node[at]), pa.array(sketch[at]), pa.array(lengths[at].astype(np.int32))], schema=ROW)
+                key = key & KEY_BITS
+                key, at, side = in_grid(key, at, node) if hot is not None and len(hot[0]) else rows_of(key, at)
+                meta = lengths[at] * 16 + side * 4 + sides[at]
+                yield pa.record_batch([pa.array(x) for x in (key.view(np.int64), grp[at], node[at], sketch[at], meta)], schema=ROW)
 
     return run
 
 
-def bucket_pairs(bucket: np.ndarray, size: np.ndarray, sketch: np.ndarray, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs of one bucket whose sizes and sketches allow them to be close, as blocks; rows are sorted by bucket.
+def hot_buckets(table: DataFrame, ranks: tuple[np.ndarray, np.ndarray], p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, of buckets that hold about 2 x hot_rows rows or more, and the chunks to part each into; from a sample of bags."""
+    some = table.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(p.sampled)) == 0)
+    counts = some.mapInArrow(map_side(p, ranks), ROW_DDL).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.where(F.col("c") * p.sampled >= 2 * p.hot_rows).orderBy(F.desc("c"), "bucket").limit(p.hot_keys).toArrow()
+    key = top.column("bucket").to_numpy().view(np.uint64)
+    chunks = np.minimum(-(-top.column("c").to_numpy() * p.sampled // p.hot_rows), 64)
+    by = np.argsort(key)
+    return key[by], chunks[by]
+
 
-    Pairs of the first `seen` rows are left out.
+def bucket_pairs(bucket: np.ndarray, grp: np.ndarray, sketch: np.ndarray, meta: np.ndarray, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one bucket and different grp whose sizes and sketches allow them to be close, as blocks.
+
+    Rows are sorted by bucket and grp. Pairs of the first `seen` rows are left out. A row meets the rows behind the last one of its
+    grp, so rows of one grp are never compared.
     """
     n = len(bucket)
-    live = np.arange(seen, n)
-    for d in range(1, n):
-        if seen >= d:
-            live = np.r_[seen - d, live]
-        live = live[: np.searchsorted(live, n - d)]
-        live = live[bucket[live] == bucket[live + d]]
-        if not len(live):
-            return
-        other = live + d
+    last = np.r_[np.flatnonzero((bucket[1:] != bucket[:-1]) | (grp[1:] != grp[:-1])), n - 1]
+    first_other = last[np.searchsorted(last, np.arange(n))] + 1
+    end = np.searchsorted(bucket, bucket, side="right")
+    begin = np.maximum(first_other, seen)
+    live = np.flatnonzero(begin < end)
+    other = begin[live]
+    size, block, sides = meta >> 4, (meta >> 2) & 3, meta & 3
+    while len(live):
         ok = np.bitwise_count(sketch[live] ^ sketch[other]) <= _allowed(size[live], size[other], p)
+        i, j = live[ok], other[ok]
+        a, b = sides[i], sides[j]
+        ok = ((block[i] == 0) | (block[i] != block[j])) & ((a & 1) * (b & 2) + (a & 2) * (b & 1) > 0)
         if ok.any():
-            yield live[ok], other[ok]
+            yield i[ok], j[ok]
+        other = other + 1
+        keep = other < end[live]
+        live, other = live[keep], other[keep]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
@@ -229,40 +267,51 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.
 
 
 def reduce_side(p: NearDupParams):
-    """Pairs over rows sorted by bucket and node. The rows of a bucket that goes on in the next batch are carried over."""
+    """Pairs over rows sorted by bucket and grp. The rows of a bucket that goes on in the next batch are carried over.
+
+    Sided pairs come as (node of side 1, node of side 2), both ways where both nodes are on both sides.
+    """
 
-    def out(found: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> pa.RecordBatch:
-        a, b = (node[np.concatenate(x)] for x in zip(*found))
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIR)
+    def out(found: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+        i, j = (np.concatenate(x) for x in zip(*found))
+        free = (sides[i] == 3) & (sides[j] == 3)
+        a, b = node[i], node[j]
+        turn = np.where(free, a > b, (sides[i] & 1 == 0) | (sides[j] & 2 == 0))
+        xa, xb = np.where(turn, b, a), np.where(turn, a, b)
+        return pa.record_batch([pa.array(xa), pa.array(xb)], schema=PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for bucket, node, sketch, size in _gathered(batches, p.gather):
-            rows, seen = [bucket, node, sketch.view(np.uint64), size.astype(np.int64)], 0
+        for bucket, grp, node, sketch, meta in _gathered(batches, p.gather):
+            rows, seen = [bucket, grp, node, sketch.view(np.uint64), meta], 0
             if carry is not None:
                 seen, rows = len(carry[0]), [np.concatenate(x) for x in zip(carry, rows)]
-            bucket, node = rows[:2]
-            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]
-            bucket, node, sketch, size = rows = [x[new] for x in rows]
-            last = np.searchsorted(bucket, bucket[-1])
-            carry = [x[last:] for x in rows]
+            bucket, grp, node, sketch, meta = rows
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]) | (meta[1:] != meta[:-1])]
+            bucket, grp, node, sketch, meta = rows = [x[new] for x in rows]
+            carry = [x[np.searchsorted(bucket, bucket[-1]) :] for x in rows]
             found, n = [], 0
-            for i, j in bucket_pairs(bucket, size, sketch, seen, p):
+            for i, j in bucket_pairs(bucket, grp, sketch, meta, seen, p):
                 found.append((i, j))
                 n += len(i)
                 if n >= p.keys:
-                    yield out(found, node)
+                    yield out(found, node, meta & 3)
                     found, n = [], 0
             if n:
-                yield out(found, node)
+                yield out(found, node, meta & 3)
 
     return run
 
 
-def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """Distinct (xa, xb), xa < xb, over the bags b1 of a table with columns b1, els: every close pair, and some others."""
-    rows = table.select("b1", "els").mapInArrow(map_side(p, element_ranks(table, p)), ROW_DDL)
-    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams(), sides: Column | None = None, grp: str = "node") -> DataFrame:
+    """Distinct (xa, xb) over the bags (node, els) of a table: every close pair of different grp, and some others.
+
+    Without sides xa < xb. sides is 1, 2 or 3 per row: xa is then on side 1 and xb on side 2.
+    """
+    bags = table.select("node", "els", (F.lit(3) if sides is None else sides).cast("long").alias("sides"), F.col(grp).alias("grp"))
+    ranks = element_ranks(table, p)
+    rows = bags.mapInArrow(map_side(p, ranks, hot_buckets(bags, ranks, p)), ROW_DDL)
+    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket", "grp", "node", "meta")
     return by_bucket.mapInArrow(reduce_side(p), PAIR_DDL).distinct()
 
 
@@ -270,73 +319,115 @@ def _close(na: Column, nb: Column, common: Column, p: NearDupParams) -> Column:
     return common * p.den >= F.greatest(na, nb) * p.num
 
 
-def close_bags(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """Verified pairs of close, different bags: (xa, xb) with xa < xb, the b1 of either. table: from question_table."""
-    pairs = materialize(candidate_pairs(table, p), "candidates")
-    ends = pairs.select(F.col("xa").alias("b1")).unionByName(pairs.select(F.col("xb").alias("b1"))).distinct()
-    bags = materialize(table.select("b1", "n", "els").join(ends, "b1", "left_semi").dropDuplicates(["b1"]), "bags")
-    a = bags.select(F.col("b1").alias("xa"), F.col("n").alias("na"), F.col("els").alias("ea"))
-    b = bags.select(F.col("b1").alias("xb"), F.col("n").alias("nb"), F.col("els").alias("eb"))
+def verified(pairs: DataFrame, table: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (xa, xb) of nodes whose bags are close."""
+    ends = pairs.select(F.col("xa").alias("node")).unionByName(pairs.select(F.col("xb").alias("node"))).distinct()
+    bags = materialize(table.select("node", "n", "els").join(ends, "node", "left_semi").dropDuplicates(["node"]), "bags")
+    a = bags.select(F.col("node").alias("xa"), F.col("n").alias("na"), F.col("els").alias("ea"))
+    b = bags.select(F.col("node").alias("xb"), F.col("n").alias("nb"), F.col("els").alias("eb"))
     common = F.size(F.array_intersect("ea", "eb"))
     return pairs.join(a, "xa").join(b, "xb").where(_close(F.col("na"), F.col("nb"), common, p)).select("xa", "xb")
 
 
+def close_bags(table: DataFrame, p: NearDupParams = NearDupParams(), sides: Column | None = None, grp: str = "node") -> DataFrame:
+    """Verified pairs of close, different bags: (xa, xb), as candidate_pairs gives them. table: with_nodes of question_table."""
+    return verified(materialize(candidate_pairs(table, p, sides, grp), "candidates"), table, p)
+
+
+def star_pairs(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
+    """Distinct (xa, xb), xa < xb: each text with the smallest text of each of its buckets. At most texts x bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                els = batch.column(1)
+                lengths = np.diff(_np(els.offsets)).astype(np.int64)
+                band = one_permutation_bands(_np(els.flatten()), lengths, p)
+                node = np.repeat(_np(batch.column(0)), p.bands)
+                yield pa.record_batch([pa.array(band.ravel().view(np.int64)), pa.array(node)], names=["band", "node"])
+
+    rows = table.select("node", "els").mapInArrow(run, "band long, node long")
+    lead = rows.groupBy("band").agg(F.min("node").alias("xa"), F.max("node").alias("hi")).where("xa <> hi").select("band", "xa")
+    return rows.join(lead, "band").where("node <> xa").select("xa", F.col("node").alias("xb")).distinct()
+
+
 def reordered_classes(table: DataFrame) -> DataFrame:
-    """Pairs of unequal questions with the same bag of words, as pairs of classes: (b1, sa, sb, fa, fb hashes)."""
-    keys = ["b1", "b2", "s1", "s2", "f1", "f2"]
-    mixed = table.groupBy("b1", "b2").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("b1", "b2")
-    classes = table.select(*keys).join(mixed, ["b1", "b2"], "left_semi").distinct()
-    other = classes.select("b1", "b2", *[F.col(c).alias(f"o{c}") for c in keys[2:]])
+    """Pairs of unequal questions with the same bag of words, as pairs of word sequences: (node, s1, s2, os1, os2)."""
+    keys = ["node", "s1", "s2", "f1", "f2"]
+    mixed = table.groupBy("node").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("node")
+    classes = table.select(*keys).join(mixed, "node", "left_semi").distinct()
+    other = classes.select("node", *[F.col(c).alias(f"o{c}") for c in keys[1:]])
     same_fields = F.coalesce((F.col("f1") == F.col("of1")) & (F.col("f2") == F.col("of2")), F.lit(False))
     differ = (F.col("s1") < F.col("os1")) | ((F.col("s1") == F.col("os1")) & (F.col("s2") < F.col("os2")))
-    return classes.join(other, ["b1", "b2"]).where(differ & ~same_fields).select("b1", "s1", "s2", "os1", "os2").distinct()
+    return classes.join(other, "node").where(differ & ~same_fields).select("node", "s1", "s2", "os1", "os2").distinct()
 
 
-def close_records(table: DataFrame, p: NearDupParams = NearDupParams(), keep: tuple[str, ...] = (), cross: Column | None = None, bag_filter=None, sided: str | None = None) -> DataFrame:
-    """Pairs of records (id_a < id_b) with close questions. cross filters on the keep columns, which come as l_<c>, r_<c>;
-    bag_filter cuts the pairs of bags before they are expanded; with sided, a BOOLEAN of keep, the result is (t_id, e_id),
-    the record where it is true first.
+def close_records(table: DataFrame, p: NearDupParams = NearDupParams(), first: str | None = None) -> DataFrame:
+    """Pairs of records (id_a < id_b) with close questions. With first, a BOOLEAN column, the result is (t_id, e_id), a record
+    where it is true and one where it is false, and other pairs are never looked for. table: from question_table.
 
     Every pair comes out, copies included: the result grows with the product of the copies of two close questions.
     """
-    side = lambda s, key: table.select(F.col("b1").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("id", *keep)])
-    pairs = close_bags(table, p)
-    if bag_filter is not None:
-        pairs = bag_filter(pairs)
-    by_bag = pairs.join(side("l", "xa"), "xa").join(side("r", "xb"), "xb")
-    seq = lambda s, ks: table.select("b1", F.col("s1").alias(ks[0]), F.col("s2").alias(ks[1]), *[F.col(c).alias(f"{s}_{c}") for c in ("id", *keep)])
+    table = with_nodes(table)
+    sides = None if first is None else F.when(F.col(first), F.lit(1)).otherwise(F.lit(2))
+    one = table if first is None else table.where(F.col(first))
+    two = table if first is None else table.where(~F.col(first))
+    pairs = close_bags(table, p, sides)
+    by_bag = pairs.join(one.select(F.col("node").alias("xa"), F.col("id").alias("l_id")), "xa").join(two.select(F.col("node").alias("xb"), F.col("id").alias("r_id")), "xb")
     re = reordered_classes(table)
-    by_order = re.join(seq("l", ("s1", "s2")), ["b1", "s1", "s2"]).join(seq("r", ("os1", "os2")), ["b1", "os1", "os2"])
-    cols = [f"{s}_{c}" for s in "lr" for c in ("id", *keep)]
-    both = by_bag.select(*cols).unionByName(by_order.select(*cols))
-    if cross is not None:
-        both = both.where(cross)
-    if sided is not None:
-        t = F.col(f"l_{sided}")
-        return both.select(F.when(t, F.col("l_id")).otherwise(F.col("r_id")).alias("t_id"), F.when(t, F.col("r_id")).otherwise(F.col("l_id")).alias("e_id"))
+    if first is not None:  # either class may be on either side
+        re = re.unionByName(re.select("node", F.col("os1").alias("s1"), F.col("os2").alias("s2"), F.col("s1").alias("os1"), F.col("s2").alias("os2")))
+    left = one.select("node", "s1", "s2", F.col("id").alias("l_id"))
+    right = two.select("node", F.col("s1").alias("os1"), F.col("s2").alias("os2"), F.col("id").alias("r_id"))
+    by_order = re.join(left, ["node", "s1", "s2"]).join(right, ["node", "os1", "os2"])
+    both = by_bag.select("l_id", "r_id").unionByName(by_order.select("l_id", "r_id"))
+    if first is not None:
+        return both.select(F.col("l_id").alias("t_id"), F.col("r_id").alias("e_id"))
     return both.select(F.least("l_id", "r_id").alias("id_a"), F.greatest("l_id", "r_id").alias("id_b"))
 
 
 def class_counts(table: DataFrame) -> DataFrame:
-    """(b1, n_classes): the unequal questions written with each bag; questions with the same fields are equal in any order."""
-    by_words = table.groupBy("b1", "s1", "s2").agg(F.max(F.struct("f1", "f2")).alias("f"))
+    """(node, n_classes): the unequal questions written with each bag; questions with the same fields are equal in any order."""
+    by_words = table.groupBy("node", "s1", "s2").agg(F.max(F.struct("f1", "f2")).alias("f"))
     key = [F.col("f.f1").isNotNull().alias("fielded"), F.coalesce("f.f1", "s1").alias("k1"), F.coalesce("f.f2", "s2").alias("k2")]
-    return by_words.select("b1", *key).distinct().groupBy("b1").agg(F.count(F.lit(1)).alias("n_classes"))
+    return by_words.select("node", *key).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_classes"))
+
+
+def _sets(labelled: DataFrame, *cols: str) -> DataFrame:
+    """root_id (the smallest id of the label), pair_id and cols, of labels with two records or more."""
+    sets = labelled.groupBy("label").agg(F.min("id").alias("root_id"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return labelled.join(sets, "label").select("root_id", F.col("id").alias("pair_id"), *cols)
+
+
+def near_duplicate_classes(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
+    """(root_id, pair_id) for each record in a set of records tied by equal or close questions, from record to record.
+
+    Verified star links make classes; the prefix filter then adds every link between different classes. No pairs within
+    a class are made, so a group of any size costs its star links. Records alone with their question are left out.
+    """
+    table = with_nodes(table)
+    stars = materialize(verified(materialize(star_pairs(table, p), "stars"), table, p), "star-links")
+    comp = materialize(connected_components(stars, "xa", "xb"), "star-classes")
+    classed = table.join(comp, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
+    more = close_bags(materialize(classed.select("node", "n", "els", "grp"), "classed"), p, grp="grp")
+    links = materialize(stars.unionByName(more), "class-links")
+    whole = connected_components(links, "xa", "xb")
+    labelled = table.select("id", "node").join(whole, "node", "left").select("id", F.coalesce("component", "node").alias("label"))
+    return _sets(labelled)
 
 
 def near_duplicate_groups(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """(root_id, pair_id, n_links) for each record in a set of records tied by equal or close questions.
+    """(root_id, pair_id, n_links): near_duplicate_classes with the number of links of each record, for which all pairs of
+    close bags are made.
 
-    root_id is the smallest id of the set, n_links the number of different close texts of the record's text, other orders
-    of its own words among them. Records without question, or alone with theirs, are left out.
+    n_links is the number of different close texts of the record's text, other orders of its own words among them.
     """
+    table = with_nodes(table)
     pairs = materialize(close_bags(table, p), "close")
     comp = connected_components(pairs, "xa", "xb")
     classes = materialize(class_counts(table), "classes")
-    ends = pairs.select(F.col("xa").alias("node"), F.col("xb").alias("b1")).unionByName(pairs.select(F.col("xb").alias("node"), F.col("xa").alias("b1")))
-    degree = ends.join(classes, "b1").groupBy("node").agg(F.sum("n_classes").alias("n_near"))
-    member = table.select("id", "b1").join(comp.withColumnRenamed("node", "b1"), "b1", "left").join(degree.withColumnRenamed("node", "b1"), "b1", "left").join(classes, "b1")
+    ends = pairs.select(F.col("xa").alias("near"), F.col("xb").alias("node")).unionByName(pairs.select(F.col("xb").alias("near"), F.col("xa").alias("node")))
+    degree = ends.join(classes, "node").groupBy("near").agg(F.sum("n_classes").alias("n_near")).withColumnRenamed("near", "node")
+    member = table.select("id", "node").join(comp, "node", "left").join(degree, "node", "left").join(classes, "node")
     n_links = F.coalesce("n_near", F.lit(0)) + F.col("n_classes") - 1
-    labelled = member.select(F.coalesce("component", "b1").alias("label"), "id", n_links.cast("long").alias("n_links"))
-    sets = labelled.groupBy("label").agg(F.min("id").alias("root_id"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return labelled.join(sets, "label").select("root_id", F.col("id").alias("pair_id"), "n_links")
+    return _sets(member.select(F.coalesce("component", "node").alias("label"), "id", n_links.cast("long").alias("n_links")), "n_links")
