@@ -2,8 +2,9 @@
 
 Every record is hashed to keys: its words in order, its sorted fields, its query in canonical form. One join of the
 evaluation keys with the training keys gives the exact overlaps; the close questions come from the near-duplicate
-operator, cut to bags that occur on both sides before records are expanded. A hot key on one side only finds no partner
-and costs a scan of its rows; on both sides, adaptive execution splits its rows over tasks.
+operator, which compares texts of different sides only. A hot key on one side only finds no partner and costs a scan of its
+rows; on both sides, adaptive execution splits its rows over tasks. The report makes no pairs: it marks evaluation records by
+semi-joins with the different keys of the training side.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from querymill.functions.sqlkey import sql_key
 from querymill.functions.labels import label_key
 from querymill.functions.text import hash_pair
-from querymill.llm.p2_near_duplicates import NearDupParams, close_records
+from querymill.llm.p2_near_duplicates import NearDupParams, close_bags, close_records, with_nodes
 from querymill.llm.questions import question_table
 from querymill.session import materialize, spread
 
@@ -38,14 +39,29 @@ def sides(df: DataFrame) -> DataFrame:
     return df.where(F.col("split").isin(*TRAIN, *EVAL)).withColumn("on_train", F.col("split").isin(*TRAIN))
 
 
-def exact_overlaps(table: DataFrame, queries: DataFrame) -> DataFrame:
-    """(t_id, e_id, kind): a training and an evaluation record that share a question or a query."""
+def sided_tables(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, queries) of the records on both sides, with on_train; queries: id, on_train, q1, q2."""
+    rec = sides(df)
+    table = question_table(rec, "pair_id", "question", ["on_train"])
+    rec = spread(rec.select("pair_id", "on_train", "sql_group", "orig_sql", "sql"))
+    q = rec.select(F.col("pair_id").alias("id"), "on_train", query_key(rec).alias("key"))
+    q1, q2 = hash_pair(F.col("key"))
+    return table, materialize(q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")), "sided-queries")
+
+
+def sided_keys(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """(kind, k1, k2, id, on_train): each record under its question, its fields and its query."""
     rows = [
         table.select(F.lit(kind).alias("kind"), F.col(f"{c}1").alias("k1"), F.col(f"{c}2").alias("k2"), "id", "on_train")
         for kind, c in (("question", "s"), ("fields", "f"))
     ]
     keys = rows[0].unionByName(rows[1]).unionByName(queries.select(F.lit("query").alias("kind"), F.col("q1").alias("k1"), F.col("q2").alias("k2"), "id", "on_train"))
-    keys = keys.where("k1 is not null")
+    return keys.where("k1 is not null")
+
+
+def exact_overlaps(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """(t_id, e_id, kind): a training and an evaluation record that share a question or a query."""
+    keys = sided_keys(table, queries)
     train = keys.where("on_train").select("kind", "k1", "k2", F.col("id").alias("t_id"))
     held = keys.where("not on_train").select("kind", "k1", "k2", F.col("id").alias("e_id"))
     return train.join(held, ["kind", "k1", "k2"]).select("t_id", "e_id", "kind")
@@ -53,22 +69,29 @@ def exact_overlaps(table: DataFrame, queries: DataFrame) -> DataFrame:
 
 def overlaps(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """(t_id, e_id, kind) over question, fields, query and close; a pair may come out once per kind."""
-    rec = sides(df)
-    table = question_table(rec, "pair_id", "question", ["on_train"])
-    rec = spread(rec.select("pair_id", "on_train", "sql_group", "orig_sql", "sql"))
-    q = rec.select(F.col("pair_id").alias("id"), "on_train", query_key(rec).alias("key"))
-    q1, q2 = hash_pair(F.col("key"))
-    queries = materialize(q.select("id", "on_train", q1.alias("q1"), q2.alias("q2")), "sided-queries")
-    exact = exact_overlaps(table, queries)
+    table, queries = sided_tables(df)
+    near = close_records(table, p, first="on_train")
+    return exact_overlaps(table, queries).unionByName(near.select("t_id", "e_id", F.lit("close").alias("kind")))
+
+
+def overlapping_records(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
+    """(id, kind): evaluation records that overlap the train split, once per kind, without making pairs."""
+    table, queries = sided_tables(df)
+    keys = sided_keys(table, queries)
+    shared = keys.where("on_train").select("kind", "k1", "k2").distinct()
+    exact = keys.where("not on_train").join(shared, ["kind", "k1", "k2"], "left_semi").select("id", "kind")
+    table = with_nodes(table)
+    bags = close_bags(table, p, F.when(F.col("on_train"), F.lit(1)).otherwise(F.lit(2))).select(F.col("xb").alias("node")).distinct()
+    held = table.where("not on_train").select("id", "node", *WRITTEN)
+    near = held.join(bags, "node", "left_semi").select("id")
+    # other orders of the same words: the training side has a question of this bag that is written otherwise
+    named = lambda t: t.select("node", F.struct(F.col("f1").isNotNull().alias("fielded"), F.coalesce("f1", "s1").alias("k1"), F.coalesce("f2", "s2").alias("k2")).alias("c"), *[c for c in t.columns if c == "id"])
+    train = named(table.where("on_train").select("node", *WRITTEN)).groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    turned = named(held).join(train, "node").where("lo <> c or hi <> c").select("id")
+    return exact.unionByName(near.unionByName(turned).select("id", F.lit("close").alias("kind"))).distinct()
 
-    def on_both_sides(pairs: DataFrame) -> DataFrame:
-        flags = table.groupBy("b1").agg(F.max("on_train").alias("t"), F.min("on_train").alias("e"))
-        a = flags.select(F.col("b1").alias("xa"), F.col("t").alias("ta"), (~F.col("e")).alias("ea"))
-        b = flags.select(F.col("b1").alias("xb"), F.col("t").alias("tb"), (~F.col("e")).alias("eb"))
-        return pairs.join(a, "xa").join(b, "xb").where("(ta and eb) or (ea and tb)").select("xa", "xb")
 
-    near = close_records(table, p, keep=("on_train",), cross=F.col("l_on_train") != F.col("r_on_train"), bag_filter=on_both_sides, sided="on_train")
-    return exact.unionByName(near.select("t_id", "e_id", F.lit("close").alias("kind")))
+WRITTEN = ["s1", "s2", "f1", "f2"]
 
 
 def overlap_pairs(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -79,7 +102,7 @@ def overlap_pairs(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFram
 
 def overlap_report(df: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """Per evaluation split and source: records that overlap the train split, by kind. A null source is a row of its own."""
-    hit = overlaps(df, p).select(F.col("e_id").alias("pair_id"), "kind").distinct()
+    hit = overlapping_records(df, p).withColumnRenamed("id", "pair_id")
     rec = df.where(F.col("split").isin(*EVAL)).select("pair_id", "split", label_key(F.col("source")).alias("source"))
     flags = hit.groupBy("pair_id").agg(*[F.max(F.col("kind").isin(*kinds)).alias(name) for name, kinds in (("same_question", ("question", "fields")), ("close_question", ("close",)), ("same_query", ("query",)))])
     count = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))

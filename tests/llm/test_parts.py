@@ -1,5 +1,7 @@
 """Parts of the training-data operators: flow, packing, mixture, subjects, sample, tokens."""
 
+from itertools import combinations, product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from querymill.llm import p6_packing as packing
 from querymill.llm import p7_mixture as mixture
 from querymill.llm import p8_subjects as subjects
 from querymill.llm.flow import Bundle, FlowNetwork, allocate
-from querymill.llm.p2_near_duplicates import NearDupParams, one_permutation_bands, star_links
+from querymill.llm.p2_near_duplicates import NearDupParams, one_permutation_bands
 from querymill.llm.queries import oracle_sql, queries
 from querymill.llm.tokens import encoder, VOCABULARY, with_token_counts
 
@@ -88,11 +90,30 @@ def test_mixture_counts_and_caps(spark):
     assert mixture.mix_sources(docs.limit(0), targets).count() == 0
 
 
-def test_sentences_and_terms():
-    text = "<p>From the shop. Is it so? yes!</p>\n- LEDGER: must be paid\nfrom: someone\nto: other\nQ: why is it? a: ask me."
-    assert subjects.sentences(text) == ["from the shop.", "is it so?", "yes!", "ledger: must be paid", "q: why is it? a: ask me."]
-    assert subjects.sentences(None) == [] and subjects.sentences("...") == []
-    assert subjects.terms("서버보다 서버가 12 급하다") == {"서버", "급하"}
+def test_sentences_and_terms(spark):
+    long_tag = "<b title='" + "x" * 500 + "'>"
+    text = "<p>From the shop. Is it so? yes!</p>\n- LEDGER: must be paid\nfrom: someone\nto: other\nQ: why is it? a: ask me." + long_tag + "Cold &amp; wet. Q: why? a: rain"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "..."), (4, "서버보다 서버가 12 급하다")], "id int, text string")
+    cut = subjects.sentences(F.col("text"))
+    got = {r["id"]: (r["s"], r["t"]) for r in df.select("id", cut.alias("s"), F.transform(cut, lambda x: subjects.terms(x)).alias("t")).collect()}
+    assert got[1][0] == ["from the shop.", "is it so?", "yes!", "ledger: must be paid", "q: why is it? a: ask me.", "cold & wet.", "q: why? a: rain"]
+    assert got[1][1][:2] == [["from", "shop", "the"], ["is", "it", "so"]]
+    assert got[2] == ([], []) and got[3] == ([], [])
+    assert got[4][1] == [["급하", "서버"]]
+
+
+def test_mined_rules_equal_plain_counts(spark):
+    """Every set of up to three terms in three sentences or more, long equal sentences among them."""
+    rng = np.random.default_rng(1)
+    rows = [({f"t{x}" for x in rng.choice(8, 4, replace=False)}, "ab"[int(rng.integers(2))]) for _ in range(40)] + [({f"u{i}" for i in range(40)}, "a")] * 3
+    p = subjects.SubjectParams(change=0.0)
+    got, empty = subjects.mine(spark, [rows, []], ["a", "b"], p)
+    want = {}
+    for ts, s in rows:
+        for k in (1, 2, 3):
+            for c in combinations(sorted(ts), k):
+                want.setdefault(frozenset(c), [0, 0])["ab".index(s)] += 1
+    assert empty == {} and {r: c[:-1].tolist() for r, c in got.items()} == {r: c for r, c in want.items() if sum(c) >= 3}
 
 
 def test_specific_rules_overrule_general_ones():
@@ -103,13 +124,12 @@ def test_specific_rules_overrule_general_ones():
 
 def test_held_out_sentences(spark, data):
     """Of held-out sentences that get a subject, most get their text's."""
-    rows = spark.read.parquet(f"{data}/subject_samples.parquet").orderBy("sample_id").collect()
     p = subjects.SubjectParams()
-    texts = [([subjects.terms(s) for s in subjects.sentences(r["text"])], r["subject"]) for r in rows]
+    texts = subjects.labelled_sentences(spark.read.parquet(f"{data}/subject_samples.parquet"), p)
     names = sorted({s for _, s in texts})
     train = [(ts, s) for i, (sents, s) in enumerate(texts) if i % 4 for ts in sents]
-    m = subjects.RuleModel(names, subjects.mine(spark, train, names, p), 1.0, 4.0)
-    got = [(m.subject(s), names.index(r["subject"])) for i, r in enumerate(rows) if i % 4 == 0 for s in subjects.sentences(r["text"])]
+    m = subjects.RuleModel(names, subjects.mine(spark, [train], names, p)[0], 1.0, 4.0)
+    got = [(m.subject(" ".join(ts)), names.index(s)) for i, (sents, s) in enumerate(texts) if i % 4 == 0 for ts in sents]
     hit = [k == y for k, y in got if k >= 0]
     assert len(hit) > 0.4 * len(got) and sum(hit) > 0.93 * len(hit)
 
@@ -117,6 +137,7 @@ def test_held_out_sentences(spark, data):
 def test_documents_without_text(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "...")], "doc_id long, text string")
     m = subjects.RuleModel(["a", "b"], {})
+    assert subjects.score_documents(docs.limit(0), m).count() == 0 and subjects.fit(docs.selectExpr("doc_id sample_id", "text subject", "text").where("doc_id = 1")).subjects == []
     assert sorted(tuple(r) for r in subjects.score_documents(docs, m).collect()) == [(1, 0, None, 0), (2, 0, None, 0), (3, 0, None, 0)]
 
 
@@ -131,16 +152,37 @@ def test_cells_meet_reachable_quotas():
 
 def test_signatures_of_short_and_equal_sets():
     p = NearDupParams()
-    values, lengths = np.array([5, 5, 7, 9, 5, 7, 9], np.int32), np.array([1, 3, 3])
-    band, sketch = one_permutation_bands(values, lengths, p)
-    assert band.shape == (3, p.bands) and (band[1] == band[2]).all() and sketch[1] == sketch[2] and (band[0] != band[1]).any()
-
-
-def test_leaders_part_contaminated_buckets():
-    p = NearDupParams()
-    one, two = np.uint64(0), np.uint64(0xFFFFFFFF)
-    lead, member, leaders = star_links(np.zeros(5, np.int64), np.arange(5), np.full(5, 30), np.array([one, two, one, two, one]), np.arange(5), p)
-    assert sorted(zip(lead.tolist(), member.tolist())) == [(0, 2), (0, 4), (1, 3)] and leaders.tolist() == [0, 1]
+    band = one_permutation_bands(np.array([5, 5, 7, 9, 5, 7, 9], np.int64), np.array([1, 3, 3]), p)
+    assert band.shape == (3, p.bands) and (band[1] == band[2]).all() and (band[0] != band[1]).any()
+
+
+def test_linear_program_against_enumeration():
+    """Least deviation of small tables, by trying every whole sample."""
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        have = rng.integers(0, 4, (2, 3))
+        size = int(min(have.sum(), 4))
+        if not size:
+            continue
+        quotas = [[size, 0], [size - size // 2, size // 2, 0]]
+        floors = [[1, 0], [1, 1, 0]]
+        needs = [[max(a, b) for a, b in zip(q, f)] for q, f in zip(quotas, floors)]
+        best = min(
+            sample.deviation(np.array(c).reshape(2, 3), floors, needs, quotas)
+            for c in product(*[range(int(h) + 1) for h in have.ravel()]) if sum(c) == size
+        )
+        _, bound = sample.least_deviation(have, floors, needs, quotas)
+        cells = sample.fit_cells(have, floors, needs, quotas)
+        assert bound <= best + 1e-6 and sample.deviation(cells, floors, needs, quotas) == best and (cells <= have).all() and cells.sum() == size
+
+
+def test_driver_and_tasks_split_the_same_tree(spark):
+    p = mixture.MixParams(driver_leaves=3)
+    tree = mixture.splitting_tree([100, 7, 0, 33], 9, p.seed)
+    got = mixture.shard_ranges(spark, ["a", "b", "c", "d"], [100, 7, 0, 33], 9, p).collect()
+    assert {(r["source"], r["shard"]): r["hi"] - r["lo"] for r in got} == {("abcd"[j], i): int(tree[i, j]) for i in range(9) for j in range(4) if tree[i, j]}
+    by = sorted((r["source"], r["lo"], r["hi"]) for r in got)
+    assert all(a[2] == b[1] for a, b in zip(by, by[1:]) if a[0] == b[0])
 
 
 def test_token_counts(spark):
