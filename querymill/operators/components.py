@@ -6,7 +6,7 @@ edges are written to the shared folder, which keeps the plan short and survives
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from querymill.session import discard, materialize
@@ -36,9 +36,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     )
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """e as a table, and numbers that tell it from any other edge table; they are taken while it is written."""
+    seen = Observation()
+    marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("s")]
+    out = materialize(e.observe(seen, *marks), "cc")
+    return out, tuple(seen.get.values())
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -51,9 +54,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     e = materialize(edges.select(*cols).where("u is not null and v is not null and u <> v").distinct(), "cc")
     before = None
     for _ in range(max_rounds):
-        last, e = e, materialize(_small_star(_large_star(e)), "cc")
+        last = e
+        e, after = _written(_small_star(_large_star(last)))
         discard(last)
-        after = _state(e)
         if after == before:
             break
         before = after
