@@ -17,16 +17,17 @@ from querymill.functions.labels import label_key
 from querymill.llm.flow import Bundle, allocate
 from querymill.llm.p5_split_overlap import query_key
 from querymill.operators.components import connected_components
-from querymill.operators.ranking import random_key, rank_in_group
+from querymill.operators.ranking import random_key, rank_in_group, running_total
 from querymill.session import materialize, spread
 
 
 @dataclass(frozen=True)
 class SplitParams:
-    """max_bundles bounds what the driver holds: beyond it, label counts of bundles are rounded to 3 significant bits."""
+    """max_bundles bounds what the driver holds: the bundles with the most rows. Sets of the others are dealt in random order
+    by running totals of their rows, and the flow makes up for what that leaves."""
 
     seed: int = 42
-    max_bundles: int = 200_000
+    max_bundles: int = 20_000
 
 
 def related_records(df: DataFrame) -> DataFrame:
@@ -58,11 +59,50 @@ def related_sets(rec: DataFrame) -> DataFrame:
     )
 
 
-def _coarse_column(profile):
-    part = lambda x: F.substring_index(x, ":", -1).cast("long")
-    bits = lambda n: F.greatest(F.floor(F.log2(n.cast("double"))) - 2, F.lit(0)).cast("int")
-    cut = lambda x: F.concat(F.substring_index(x, ":", 1), F.lit(":"), F.call_function("shiftleft", F.call_function("shiftright", part(x), bits(part(x))), bits(part(x))))
-    return F.array_join(F.transform(F.split(profile, r"\|"), cut), "|")
+def _profile(text: str) -> dict[str, int]:
+    return {f: int(n) for f, _, n in (x.rpartition(":") for x in text.split("|"))}
+
+
+def dealt_sets(sets: DataFrame, names: list[tuple[str, float]], p: SplitParams = SplitParams()) -> DataFrame:
+    """(label, root_id, split, mixed) for every set of related_sets. names: splits and their shares."""
+    spark = sets.sparkSession
+    shares = [s / (sum(s for _, s in names) or 1.0) for _, s in names]
+    bundled = materialize(sets.groupBy("profile").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("n_rows")), "bundles")
+    first = bundled.orderBy(F.desc("n_rows"), "profile").limit(p.max_bundles)
+    held = first.collect()
+    dealt, taken = None, {}
+    if bundled.count() > len(held):
+        top = spark.createDataFrame([(r["profile"],) for r in held], "profile string")
+        rest = materialize(sets.join(top, "profile", "left_anti"), "other-sets")
+        total = rest.agg(F.sum("size")).first()[0]
+        placed = running_total(rest, [], random_key(f"{p.seed}:rest", "root_id"), ["root_id"], F.col("size"), "upto")
+        at = (F.col("upto") - F.col("size") / 2) / total
+        ends, up = [], 0.0
+        for (name, _), share in zip(names[:-1], shares):
+            up += share
+            ends.append((name, up))
+        split = F.lit(names[-1][0])
+        for name, end in reversed(ends):
+            split = F.when(at < end, F.lit(name)).otherwise(split)
+        dealt = materialize(placed.select("label", "root_id", split.alias("split"), "mixed", "profile"), "other-dealt")
+        part = dealt.select("split", F.explode(F.split("profile", r"\|")).alias("x"))
+        per = part.groupBy("split", F.expr("substring_index(x, ':', 1)").alias("f")).agg(F.sum(F.substring_index("x", ":", -1).cast("long")).alias("n"))
+        order = {name: j for j, (name, _) in enumerate(names)}
+        taken = {(r["f"], order[r["split"]]): r["n"] for r in per.collect()}  # labels x splits
+        dealt = dealt.drop("profile")
+    bundles = [Bundle(r["profile"], r["m"], _profile(r["profile"])) for r in held]
+    plan = allocate(bundles, shares, taken) if bundles else {}
+    rows = []
+    for key, take in plan.items():
+        at_ = 0
+        for (name, _), n in zip(names, take):
+            if n:
+                rows.append((key, at_, at_ + n, name))
+            at_ += n
+    ranges = spark.createDataFrame(rows, "profile string, lo long, hi long, split string")
+    ranked = rank_in_group(sets, ["profile"], random_key(p.seed, "root_id"), ["root_id"])
+    by_plan = ranked.join(ranges, "profile").where("rank > lo and rank <= hi").select("label", "root_id", "split", "mixed")
+    return by_plan if dealt is None else by_plan.unionByName(dealt)
 
 
 def assign_splits(df: DataFrame, targets: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
@@ -72,23 +112,7 @@ def assign_splits(df: DataFrame, targets: DataFrame, p: SplitParams = SplitParam
     """
     names = [(r["split"], float(r["target_share"])) for r in targets.orderBy("split").collect()]
     rec = materialize(related_records(df), "related")
-    sets = materialize(related_sets(rec), "sets")
-    bundled = sets.groupBy("profile").agg(F.count(F.lit(1)).alias("m"))
-    if bundled.count() > p.max_bundles:
-        sets = sets.withColumn("profile", _coarse_column(F.col("profile")))
-        bundled = sets.groupBy("profile").agg(F.count(F.lit(1)).alias("m"))
-    bundles = [Bundle(r["profile"], r["m"], {f: int(n) for f, _, n in (x.rpartition(":") for x in r["profile"].split("|"))}) for r in bundled.collect()]
-    plan = allocate(bundles, [s for _, s in names]) if bundles else {}
-    rows = []
-    for key, take in plan.items():
-        at = 0
-        for (name, _), n in zip(names, take):
-            if n:
-                rows.append((key, at, at + n, name))
-            at += n
-    ranges = df.sparkSession.createDataFrame(rows, "profile string, lo long, hi long, split string")
-    ranked = rank_in_group(sets, ["profile"], random_key(p.seed, "root_id"), ["root_id"])
-    dealt = ranked.join(ranges, "profile").where("rank > lo and rank <= hi").select("label", "root_id", "split", "mixed")
+    dealt = dealt_sets(materialize(related_sets(rec), "sets"), names, p)
     return rec.join(dealt, "label").select(F.col("id").alias("pair_id"), "root_id", F.col("fam").alias("family"), "split", "mixed")
 
 

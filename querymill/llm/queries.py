@@ -45,6 +45,10 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_duplicate_groups(_questions(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_duplicate_classes(_questions(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return fmt.duplicates(read(spark, d, "pairs"))
 
@@ -106,7 +110,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    p1_found, p1_splits, p1_report, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_sample, p4_report,
+    p1_found, p1_splits, p1_report, p2_found, p2_groups, p2_classes, p3_found, p3_collapsed, p4_found, p4_sample, p4_report,
     p5_found, p5_report, p6_found, p6_packs, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_composition,
 )
 

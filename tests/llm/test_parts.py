@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querymill.llm import p1_group_splits as splits
 from querymill.llm import p4_category_sample as sample
 from querymill.llm import p6_packing as packing
 from querymill.llm import p7_mixture as mixture
@@ -33,6 +34,46 @@ def test_allocation_meets_quotas_with_one_set_of_a_third():
     assert all(abs(got - want) <= 2 for got, want in zip(rows, (800, 100, 100)))
 
 
+def test_flow_equals_enumeration():
+    """Least cost of small networks with one source, three ways and unequal costs."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        caps, costs, supply = rng.integers(0, 5, (2, 3)), rng.integers(0, 4, (2, 3)), rng.integers(0, 6, 2)
+        room = rng.integers(0, 6, 3)
+        n = FlowNetwork()
+        s, t = n.node(), n.node()
+        left, right = [n.node() for _ in range(2)], [n.node() for _ in range(3)]
+        for i in range(2):
+            n.arc(s, left[i], int(supply[i]))
+            for j in range(3):
+                n.arc(left[i], right[j], int(caps[i][j]), int(costs[i][j]))
+        for j in range(3):
+            n.arc(right[j], t, int(room[j]))
+        best = (0, 0)
+        for x in product(*[range(int(c) + 1) for c in caps.ravel()]):
+            m = np.array(x).reshape(2, 3)
+            if (m.sum(axis=1) <= supply).all() and (m.sum(axis=0) <= room).all():
+                best = max(best, (int(m.sum()), -int((m * costs).sum())))
+        assert n.solve(s, t) == -best[1]
+
+
+def test_bundles_spread_evenly_where_quotas_allow():
+    plan = allocate([Bundle("one", 100, {"a": 1}), Bundle("three", 50, {"a": 3}), Bundle("two", 40, {"a": 1, "b": 1})], [0.8, 0.1, 0.1])
+    assert plan == {"one": [80, 10, 10], "three": [40, 5, 5], "two": [32, 4, 4]}
+
+
+def test_sets_beyond_the_bundles_of_the_driver_are_dealt_too(spark):
+    rows = [(i, i, 1 + i % 97, f"a:{1 + i % 97}", False) for i in range(3000)]
+    sets = spark.createDataFrame(rows, "label long, root_id long, size long, profile string, mixed boolean")
+    names = [("test", 0.1), ("train", 0.8), ("validation", 0.1)]
+    for most in (5, 1000):
+        got = splits.dealt_sets(sets, names, splits.SplitParams(max_bundles=most)).collect()
+        assert len(got) == 3000 == len({r["label"] for r in got})
+        total = sum(r[2] for r in rows)
+        for name, share in names:
+            assert abs(sum(rows[r["label"]][2] for r in got if r["split"] == name) - share * total) <= 100
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packs_hold_every_item_within_capacity(seed):
     rng = np.random.default_rng(seed)
