@@ -40,7 +40,7 @@ class NearDupParams:
     """num/den is the share of the longer bag that must be common; classes are (least length, elements of a key) by length.
 
     bands x rows are the bins of the one-permutation signature. hot_rows is the size of a block of a large bucket; buckets
-    are sized over one bag in `sampled`, at most hot_keys of them, which moves work between tasks and changes no result.
+    are sized over one bag in `sampled`, at most hot_keys of them. hot_rows and task_rows move work between tasks and change no result.
     """
 
     bands: int = 18
@@ -52,6 +52,7 @@ class NearDupParams:
     keys: int = 1 << 18  # keys, or pairs, made at once
     gather: int = 1 << 17  # rows of buckets looked at together
     hot_rows: int = 1 << 14
+    task_rows: int = 1 << 19  # rows of buckets for one task, about
     hot_keys: int = 1 << 16
     sampled: int = 64
 
@@ -105,8 +106,10 @@ def _allowed(n1: np.ndarray, n2: np.ndarray, p: NearDupParams) -> np.ndarray:
 
 #: meta of a row: size x 16 + block side x 4 + sides. Sides: 1 on the first side, 2 on the second, 3 both. Block side: 0 for a
 #: whole bucket or a block on the diagonal of its grid, 1 and 2 for the two chunks that a block off the diagonal compares.
-ROW = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("meta", pa.int64())])
-ROW_DDL = "bucket long, grp long, node long, sketch long, meta long"
+ROW = [("bucket", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("meta", pa.int32())]
+ROW_DDL = "bucket long, node long, sketch long, meta int"
+#: Where rows are told apart by another grp than their node, it comes last.
+GROUPED, GROUPED_DDL = [*ROW, ("grp", pa.int64())], ROW_DDL + ", grp long"
 KEY_BITS = np.uint64(0xFFFFFFFFFF000000)  # 40 bits tell buckets apart; two in one only add candidates, and zeros shrink the shuffle
 PAIR = pa.schema([("xa", pa.int64()), ("xb", pa.int64())])
 PAIR_DDL = "xa long, xb long"
@@ -173,7 +176,7 @@ def prefix_keys(values: np.ndarray, lengths: np.ndarray, ranks: tuple[np.ndarray
 
 
 def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray] | None = None):
-    """A row for each key of each bag (node, els, sides, grp); rows of a hot bucket go to every block of their chunk."""
+    """A row for each key of each bag (node, els, sides, maybe grp); rows of a hot bucket go to every block of their chunk."""
 
     def rows_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return key, at, np.zeros(len(key), np.int64)
@@ -204,27 +207,30 @@ def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[
             by = np.lexsort((sides, node))
             once = by[np.r_[True, (node[by][1:] != node[by][:-1]) | (sides[by][1:] != sides[by][:-1])]]
             batch = batch.take(pa.array(once))
-            node, els, sides, grp = _np(batch.column(0)), batch.column(1), _np(batch.column(2)).astype(np.int64), _np(batch.column(3))
+            node, els, sides = _np(batch.column(0)), batch.column(1), _np(batch.column(2)).astype(np.int64)
+            own, schema = ([_np(batch.column(3))], GROUPED) if batch.num_columns > 3 else ([], ROW)
             lengths, values = np.diff(_np(els.offsets)).astype(np.int64), _np(els.flatten())
             sketch = _sketch(_mix(values.view(np.uint64)), lengths).view(np.int64)
             for at, key in prefix_keys(values, lengths, ranks, p):
                 key = key & KEY_BITS
                 key, at, side = in_grid(key, at, node) if hot is not None and len(hot[0]) else rows_of(key, at)
-                meta = lengths[at] * 16 + side * 4 + sides[at]
-                yield pa.record_batch([pa.array(x) for x in (key.view(np.int64), grp[at], node[at], sketch[at], meta)], schema=ROW)
+                meta = (lengths[at] * 16 + side * 4 + sides[at]).astype(np.int32)
+                yield pa.record_batch([pa.array(x) for x in (key.view(np.int64), node[at], sketch[at], meta, *[g[at] for g in own])], schema=pa.schema(schema))
 
     return run
 
 
-def hot_buckets(table: DataFrame, ranks: tuple[np.ndarray, np.ndarray], p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, of buckets that hold about 2 x hot_rows rows or more, and the chunks to part each into; from a sample of bags."""
-    some = table.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(p.sampled)) == 0)
-    counts = some.mapInArrow(map_side(p, ranks), ROW_DDL).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+def bucket_sizes(bags: DataFrame, ranks: tuple[np.ndarray, np.ndarray], p: NearDupParams) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """From a sample of bags: keys, sorted, of buckets that hold about 2 x hot_rows rows or more, with the chunks to part each
+    into; and about how many rows all buckets hold."""
+    some = bags.select("node", "els", "sides").where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(p.sampled)) == 0)
+    counts = materialize(some.mapInArrow(map_side(p, ranks), ROW_DDL).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket-sizes")
+    total = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]) * p.sampled
     top = counts.where(F.col("c") * p.sampled >= 2 * p.hot_rows).orderBy(F.desc("c"), "bucket").limit(p.hot_keys).toArrow()
     key = top.column("bucket").to_numpy().view(np.uint64)
     chunks = np.minimum(-(-top.column("c").to_numpy() * p.sampled // p.hot_rows), 64)
     by = np.argsort(key)
-    return key[by], chunks[by]
+    return (key[by], chunks[by]), total
 
 
 def bucket_pairs(bucket: np.ndarray, grp: np.ndarray, sketch: np.ndarray, meta: np.ndarray, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -282,13 +288,14 @@ def reduce_side(p: NearDupParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for bucket, grp, node, sketch, meta in _gathered(batches, p.gather):
-            rows, seen = [bucket, grp, node, sketch.view(np.uint64), meta], 0
+        for bucket, node, sketch, meta, *own in _gathered(batches, p.gather):
+            rows, seen = [bucket, node, sketch.view(np.uint64), meta.astype(np.int64), *own], 0
             if carry is not None:
                 seen, rows = len(carry[0]), [np.concatenate(x) for x in zip(carry, rows)]
-            bucket, grp, node, sketch, meta = rows
+            bucket, node, _, meta, *own = rows
             new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]) | (meta[1:] != meta[:-1])]
-            bucket, grp, node, sketch, meta = rows = [x[new] for x in rows]
+            bucket, node, sketch, meta, *own = rows = [x[new] for x in rows]
+            grp = own[0] if own else node
             carry = [x[np.searchsorted(bucket, bucket[-1]) :] for x in rows]
             found, n = [], 0
             for i, j in bucket_pairs(bucket, grp, sketch, meta, seen, p):
@@ -303,15 +310,18 @@ def reduce_side(p: NearDupParams):
     return run
 
 
-def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams(), sides: Column | None = None, grp: str = "node") -> DataFrame:
-    """Distinct (xa, xb) over the bags (node, els) of a table: every close pair of different grp, and some others.
+def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams(), sides: Column | None = None, grp: str | None = None) -> DataFrame:
+    """Distinct (xa, xb) over the bags (node, els) of a table: every close pair (of different grp, if given), and some others.
 
     Without sides xa < xb. sides is 1, 2 or 3 per row: xa is then on side 1 and xb on side 2.
     """
-    bags = table.select("node", "els", (F.lit(3) if sides is None else sides).cast("long").alias("sides"), F.col(grp).alias("grp"))
+    own = [F.col(grp).alias("grp")] if grp else []
+    bags = table.select("node", "els", (F.lit(3) if sides is None else sides).cast("long").alias("sides"), *own)
     ranks = element_ranks(table, p)
-    rows = bags.mapInArrow(map_side(p, ranks, hot_buckets(bags, ranks, p)), ROW_DDL)
-    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket", "grp", "node", "meta")
+    hot, total = bucket_sizes(bags, ranks, p)
+    rows = bags.mapInArrow(map_side(p, ranks, hot), GROUPED_DDL if grp else ROW_DDL)
+    tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // p.task_rows))
+    by_bucket = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", *(["grp"] if grp else []), "node", "meta")
     return by_bucket.mapInArrow(reduce_side(p), PAIR_DDL).distinct()
 
 
@@ -329,7 +339,7 @@ def verified(pairs: DataFrame, table: DataFrame, p: NearDupParams) -> DataFrame:
     return pairs.join(a, "xa").join(b, "xb").where(_close(F.col("na"), F.col("nb"), common, p)).select("xa", "xb")
 
 
-def close_bags(table: DataFrame, p: NearDupParams = NearDupParams(), sides: Column | None = None, grp: str = "node") -> DataFrame:
+def close_bags(table: DataFrame, p: NearDupParams = NearDupParams(), sides: Column | None = None, grp: str | None = None) -> DataFrame:
     """Verified pairs of close, different bags: (xa, xb), as candidate_pairs gives them. table: with_nodes of question_table."""
     return verified(materialize(candidate_pairs(table, p, sides, grp), "candidates"), table, p)
 
