@@ -1,4 +1,4 @@
-"""Approximate matching of words and vectors against dictionaries of checked size, and query sets against all rows."""
+"""Approximate matching of words and vectors: dictionaries of any size, and query sets against all rows in blocks."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DICTIONARY = 50_000
+from querymill.session import materialize
 
 
 def ngrams(word: Column, n: int = 2) -> Column:
@@ -34,43 +34,54 @@ def ngram_best(words: DataFrame, dictionary: DataFrame, n: int = 2, threshold: f
     return best.select("word", F.col("m.match").alias("match"), F.round(-F.col("m.s"), 6).alias("similarity"))
 
 
-def bounded(dictionary: DataFrame, limit: int = MAX_DICTIONARY) -> list[str]:
-    """The distinct words of a dictionary, sorted; ValueError when there are more than limit."""
-    got = [r[0] for r in dictionary.select("word").where("word is not null").distinct().limit(limit + 1).collect()]
-    if len(got) > limit:
-        raise ValueError(f"dictionary has more than {limit} words")
-    return sorted(got)
+def _letters(word: Column) -> Column:
+    """Characters, each numbered by its occurrence, in one order for all words: as a set they stand for the bag of characters."""
+    chars = F.array_sort(F.filter(F.split(word, ""), lambda c: c != ""))
+    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
+
+
+def sharing_pairs(words: DataFrame, dictionary: DataFrame, least: float) -> DataFrame:
+    """Distinct (word, match) among which are all pairs with least x length or more characters in common, of either word's length.
+
+    Two such words share a character within the first n - least x n + 1 of either's ordered characters, so they meet on one of
+    these; words that cannot be that alike mostly never meet.
+    """
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        own = df.select(F.col("word").alias(name)).where("word is not null and word <> ''").distinct()
+        width = F.length(name) - F.ceil(F.length(name) * least - 1e-9).cast("int") + 1
+        return own.select(name, F.explode(F.slice(_letters(F.col(name)), F.lit(1), width)).alias("__c"))
+
+    return prefix(words, "word").join(prefix(dictionary, "match"), "__c").select("word", "match").distinct()
 
 
 def levenshtein_best(words: DataFrame, dictionary: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(word, match, ratio): the nearest by 1 - distance / longer length, from threshold. The dictionary (of checked size) is
-    a literal array, scored row by row in the JVM."""
-    entries = F.array(*[F.lit(w) for w in bounded(dictionary, 5000)])
-    ratio = lambda w, x: 1 - F.levenshtein(w, x) / F.greatest(F.length(w), F.length(x))
-    scored = F.array_min(F.transform(entries, lambda x: F.struct((-ratio(F.col("word"), x)).alias("s"), x.alias("match"))))
-    best = words.select("word").where("word <> ''").distinct().withColumn("m", scored)
-    return best.select("word", F.col("m.match").alias("match"), F.round(-F.col("m.s"), 6).alias("ratio")).where(F.col("ratio") >= threshold)
+    """(word, match, ratio): the dictionary word with the highest 1 - distance / longer length, from threshold; ties to the smaller.
+    Words with that ratio have threshold x length or more characters in common. Null and empty words match nothing."""
+    ratio = 1 - F.levenshtein("word", "match") / F.greatest(F.length("word"), F.length("match"))
+    scored = sharing_pairs(words, dictionary, threshold).withColumn("r", F.round(ratio, 6)).where(F.col("r") >= threshold)
+    best = scored.groupBy("word").agg(F.min(F.struct((-F.col("r")).alias("r"), "match")).alias("m"))
+    return best.select("word", F.col("m.match").alias("match"), (-F.col("m.r")).alias("ratio"))
 
 
 def sequence_best(words: DataFrame, dictionary: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """As levenshtein_best with the longest-matching-blocks ratio, which no built-in function has."""
-    entries = bounded(dictionary)
+    """(word, match, ratio) by matching blocks (twice the matched characters over both lengths), from threshold; ties to the smaller.
+
+    From that ratio on, threshold / (2 - threshold) of either word's characters are in common; only such pairs are compared,
+    in Arrow batches. Null and empty words match nothing.
+    """
+    pairs = sharing_pairs(words, dictionary, threshold / (2 - threshold))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for w in b["word"]:
-                m = SequenceMatcher(b=w)
-                top = (threshold, None)
-                for x in entries:
-                    m.set_seq1(x)
-                    if m.real_quick_ratio() >= top[0] and m.quick_ratio() >= top[0] and (r := m.ratio()) >= top[0] and (r > top[0] or top[1] is None):
-                        top = (r, x)
-                if top[1] is not None:
-                    out.append((w, top[1], round(top[0], 6)))
-            yield pd.DataFrame(out, columns=["word", "match", "ratio"])
+            m, out = SequenceMatcher(), []
+            for w, x in zip(b["word"], b["match"]):
+                m.set_seqs(x, w)
+                out.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
+            yield b.assign(ratio=out)
 
-    return words.select("word").where("word is not null").distinct().mapInPandas(best, "word string, match string, ratio double")
+    scored = pairs.mapInPandas(ratio, "word string, match string, ratio double").where(F.col("ratio") >= threshold)
+    best = scored.groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "match")).alias("m"))
+    return best.select("word", F.col("m.match").alias("match"), F.round(-F.col("m.r"), 6).alias("ratio"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -80,61 +91,73 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
+def _block_pairs(rows: DataFrame, queries: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """(ids, data, query_ids, query_data): every pack of rows with every block of about `block` queries, as matrices of unit vectors.
+
+    Neither side is collected: the blocks are a table, sent to all tasks by Spark only where it is small enough.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    n = max(1, -(-asked.count() // block))
+    grouped = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("s"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows_ = [(k, [r["id"] for r in s], _unit([r["v"] for r in s]).tobytes()) for k, s in zip(b["block"], b["s"])]
+            yield pd.DataFrame(rows_, columns=["block", "query_ids", "query_data"])
+
+    def packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame([(b["id"].tolist(), _unit(b["v"].tolist()).tobytes())], columns=["ids", "data"])
+
+    blocks = materialize(grouped.mapInPandas(pack, "block int, query_ids array<long>, query_data binary"), "query-blocks")
+    given = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    packed = given.mapInPandas(packs, "ids array<long>, data binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return packed.join(blocks, "block").drop("block")
+
+
+def _unit(vectors: Sequence) -> np.ndarray:
+    x = np.array([list(v) for v in vectors], np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _matrix(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(n, -1)
+
+
 def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str, top: int = 1, block: int = 2048) -> DataFrame:
     """(query_id, rank, match_id, similarity): the top rows by cosine for each query, itself aside.
 
-    Queries go out in blocks of bounded size; each task keeps its best `top` per query, and a small aggregation merges
-    them. Ties go to the smaller id. Null and zero vectors match nothing.
+    Blocks of queries meet packs of rows; each meeting keeps its best `top` per query, and a ranking merges them. Ties go
+    to the smaller id. Null vectors match nothing, vectors of length 0 have similarity 0. All vectors have one length.
     """
-    q = [(r[key], r[vector]) for r in queries.where(F.col(vector).isNotNull()).orderBy(key).select(key, vector).collect()]
-    out = None
-    for at in range(0, len(q), block):
-        ids = np.array([i for i, _ in q[at : at + block]], np.int64)
-        m = np.array([v for _, v in q[at : at + block]], np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-        def score(batches: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = np.array(b[vector].tolist(), np.float64)
-                length = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(m @ np.divide(x, length, out=np.zeros_like(x), where=length > 0).T, 9)
-                keys = b[key].to_numpy(np.int64)
-                s[ids[:, None] == keys[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :top]
-                val = np.take_along_axis(s, order, 1)
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "match_id": keys[order].ravel(), "similarity": val.ravel()})[val.ravel() > -2]
 
-        part = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInPandas(score, "query_id long, match_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, match_id long, similarity double")
-    from pyspark.sql import Window
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, data, query_ids, query_data in zip(b["ids"], b["data"], b["query_ids"], b["query_data"]):
+                keys, asked = np.array(ids, np.int64), np.array(query_ids, np.int64)
+                s = np.round(_matrix(query_data, len(asked)) @ _matrix(data, len(keys)).T, 9)
+                s[asked[:, None] == keys[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :top]
+                val = np.take_along_axis(s, order, 1).ravel()
+                yield pd.DataFrame({"query_id": np.repeat(asked, order.shape[1]), "match_id": keys[order].ravel(), "similarity": val})[val > -2]
 
+    scored = _block_pairs(rows, queries, key, vector, block).mapInPandas(score, "query_id long, match_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "match_id", F.round("similarity", 4).alias("similarity"))
-
-
-def near_any(rows: DataFrame, targets: DataFrame, key: str, vector: str, threshold: float, block: int = MAX_DICTIONARY) -> DataFrame:
-    """Distinct ids of the rows whose cosine with any target reaches threshold. Targets go out in blocks of bounded size."""
-    known = targets.where(F.col(vector).isNotNull()).select(vector).collect()
-    given = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
-    out = None
-    for at in range(0, len(known), block):
-        t = np.array([r[0] for r in known[at : at + block]], np.float64)
-        norm = np.linalg.norm(t, axis=1, keepdims=True)
-        t = np.divide(t, norm, out=np.zeros_like(t), where=norm > 0)
-
-        def keep(batches: Iterator[pd.DataFrame], t=t) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = np.array(b[vector].tolist(), np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ t.T if len(x) else np.zeros((len(b), 0))
-                yield b[[key]][(s >= threshold).any(axis=1)]
-
-        part = given.mapInPandas(keep, f"{key} long")
-        out = part if out is None else out.unionByName(part)
-    return given.select(key).limit(0) if out is None else out.distinct()
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "match_id", F.round("similarity", 4).alias("similarity"))
+
+
+def near_any(rows: DataFrame, targets: DataFrame, key: str, vector: str, threshold: float, block: int = 2048) -> DataFrame:
+    """Distinct ids of the rows whose cosine with any target reaches threshold. All targets count, in blocks."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, data, query_ids, query_data in zip(b["ids"], b["data"], b["query_ids"], b["query_data"]):
+                s = _matrix(data, len(ids)) @ _matrix(query_data, len(query_ids)).T
+                yield pd.DataFrame({key: np.array(ids, np.int64)[(s >= threshold).any(axis=1)]})
+
+    return _block_pairs(rows, targets, key, vector, block).mapInPandas(keep, f"{key} long").distinct()
 
 
 def mean_pool(df: DataFrame, by: Sequence[str], vector: str, digits: int = 5) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.operators.sampling import seeded
+from querymill.operators.ranking import hash_rank
+from querymill.operators.sampling import product, seeded
 
 
 @dataclass(frozen=True)
@@ -40,18 +41,18 @@ def sample_ids(spark: SparkSession, lo: int, hi: int, n: int, seed: int | str, n
 
 def balanced(df: DataFrame, key: str, values: Sequence[str], floor: int, name: str, seed: int | str) -> DataFrame:
     """Adds a column in which every value has at least floor rows (if they suffice); the rest falls by hash."""
-    rank = F.row_number().over(Window.orderBy(seeded(seed, key), key)) - 1
     k = len(values)
+    ranked = hash_rank(df, [], seeded(seed, key), [key], "__r").withColumn("__r", F.col("__r") - 1)
     pick = F.when(F.col("__r") < floor * k, F.col("__r") % k).otherwise(F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(k)))
-    return df.withColumn("__r", rank).withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]), (pick + 1).cast("int"))).drop("__r")
+    return ranked.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]), (pick + 1).cast("int"))).drop("__r")
 
 
 def covered(orders: DataFrame, key: str, parents: DataFrame, pk: str, name: str, seed: int | str) -> DataFrame:
     """Adds a foreign key: each parent once, then hashed parents. Skew of the tail is even."""
     n = parents.count()
-    numbered = parents.select(F.col(pk).alias(name), (F.row_number().over(Window.orderBy(seeded(seed, pk), pk)) - 1).alias("__p"))
-    at = F.row_number().over(Window.orderBy(seeded(f"{seed}o", key), key)) - 1
-    placed = orders.withColumn("__o", at).withColumn("__p", F.when(F.col("__o") < n, F.col("__o")).otherwise(F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(n))))
+    numbered = hash_rank(parents.select(pk), [], seeded(seed, pk), [pk], "__q").select(F.col(pk).alias(name), (F.col("__q") - 1).alias("__p"))
+    ranked = hash_rank(orders, [], seeded(f"{seed}o", key), [key], "__o").withColumn("__o", F.col("__o") - 1)
+    placed = ranked.withColumn("__p", F.when(F.col("__o") < n, F.col("__o")).otherwise(F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(n))))
     return placed.join(numbered, "__p").drop("__p", "__o")
 
 
@@ -74,17 +75,14 @@ def shop(spark: SparkSession, c: ShopConfig = ShopConfig(), cities: Sequence[str
 
 def holdout(df: DataFrame, key: str, n_rows: int, n_ids: int, seed: int | str) -> DataFrame:
     """(key, tier): n_rows rows held out whole, and n_ids others by id only."""
-    rank = F.row_number().over(Window.orderBy(seeded(seed, key), key))
-    return df.select(key).withColumn("r", rank).where(F.col("r") <= n_rows + n_ids).select(key, F.when(F.col("r") <= n_rows, "row").otherwise("id_only").alias("tier"))
+    ranked = hash_rank(df.select(key), [], seeded(seed, key), [key], "r", F.lit(n_rows + n_ids))
+    return ranked.where(F.col("r") <= n_rows + n_ids).select(key, F.when(F.col("r") <= n_rows, "row").otherwise("id_only").alias("tier"))
 
 
 def product_pool(df: DataFrame, column: str) -> DataFrame:
-    """Two-word names that do not occur yet, from the first and second words that do (their lists are checked to be short)."""
+    """Two-word names that do not occur yet, from the first and second words that do."""
     parts = df.where(F.col(column).isNotNull()).select(F.split_part(column, F.lit(" "), F.lit(1)).alias("a"), F.split_part(column, F.lit(" "), F.lit(2)).alias("b"))
-    second = [r[0] for r in parts.select("b").distinct().limit(5001).collect()]
-    if len(second) > 5000:
-        raise ValueError("more than 5000 second words")
-    names = parts.select("a").distinct().select("a", F.explode(F.array(*[F.lit(x) for x in sorted(second)])).alias("b")).select(F.concat_ws(" ", "a", "b").alias("name"))
+    names = product(parts.select("a").distinct(), parts.select("b").distinct()).select(F.concat_ws(" ", "a", "b").alias("name"))
     return names.join(df.select(F.col(column).alias("name")), "name", "left_anti")
 
 

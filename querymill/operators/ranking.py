@@ -11,37 +11,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querymill.session import materialize
+
 
 def random_key(seed: int | str, *cols: str | Column) -> Column:
     """A reproducible random LONG for a row from its identifying columns."""
     return F.xxhash64(F.lit(f"key:{seed}"), *cols)
 
 
-def running_total(
-    df: DataFrame, group: Sequence[str], key: Column, tie: Sequence[str], value: Column | None = None, out: str = "rank", limit: Column | None = None, bits: int = 10
-) -> DataFrame:
-    """df with `out`, the sum of value over the rows of the group up to this one by (key, tie); value 1 gives the rank.
-
-    key is a LONG spread evenly; tie makes the order total. limit, a column of df that is the same within a group, drops
-    buckets that begin at or beyond it before anything is sorted (rows beyond it in the last bucket stay).
-    Null group values form a group of their own; null values count 0. An empty table gives an empty result.
-    """
-    value = F.lit(1) if value is None else F.coalesce(value, F.lit(0))
-    keyed = df.withColumn("__k", key).withColumn("__b", F.shiftright(F.col("__k"), 64 - bits)).withColumn("__v", value.cast("long"))
-    counts = keyed.groupBy(*group, "__b").agg(F.sum("__v").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+def _placed(keyed: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str | Column], out: str, limit: Column | None) -> DataFrame:
+    """keyed with out: the running sum of __v by (bucket, order) within the group."""
+    counts = keyed.groupBy(*group, bucket).agg(F.sum("__v").alias("__n"))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
+        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col(bucket).alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
     )
-    cond = F.col("__b") == F.col("__ob")
+    cond = F.col(bucket) == F.col("__ob")
     for i, c in enumerate(group):
         cond = cond & F.col(c).eqNullSafe(F.col(f"__g{i}"))
     placed = keyed.join(offsets, cond)
     if limit is not None:
         placed = placed.where(F.col("__off") < limit)
-    inside = Window.partitionBy(*group, "__b").orderBy("__k", *tie).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("__v").over(inside) + F.col("__off")
-    return placed.withColumn(out, total.cast("long")).select(*df.columns, out)
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(out, (F.sum("__v").over(inside) + F.col("__off")).cast("long"))
+
+
+def running_total(
+    df: DataFrame, group: Sequence[str], key: Column, tie: Sequence[str], value: Column | None = None, out: str = "rank", limit: Column | None = None, bits: int = 10, bucket: Column | None = None
+) -> DataFrame:
+    """df with `out`, the sum of value over the rows of the group up to this one by (key, tie); value 1 gives the rank.
+
+    key is a LONG spread evenly, or anything of which bucket, a LONG, is a part that sorts first; tie makes the order total.
+    limit, a column of df that is the same within a group, or a literal, drops buckets that begin at or beyond it before
+    anything is sorted (rows beyond it in the last bucket stay).
+    Null group values form a group of their own; null values count 0. An empty table gives an empty result.
+    """
+    value = F.lit(1) if value is None else F.coalesce(value, F.lit(0))
+    keyed = df.withColumn("__k", key).withColumn("__b", F.shiftright(F.col("__k"), 64 - bits) if bucket is None else bucket)
+    return _placed(keyed.withColumn("__v", value.cast("long")), group, "__b", ["__k", *tie], out, limit).select(*df.columns, out)
 
 
 def rank_in_group(df: DataFrame, group: Sequence[str], key: Column, tie: Sequence[str], out: str = "rank", limit: Column | None = None) -> DataFrame:
@@ -49,6 +56,21 @@ def rank_in_group(df: DataFrame, group: Sequence[str], key: Column, tie: Sequenc
     return running_total(df, group, key, tie, None, out, limit)
 
 
+def hash_rank(df: DataFrame, group: Sequence[str], digest: Column, tie: Sequence[str], out: str = "rank", limit: Column | None = None) -> DataFrame:
+    """df with `out`, 1.. within each group by (digest, tie), where digest is a hexadecimal hash; its first digits are the bucket."""
+    return running_total(df, group, digest, tie, None, out, limit, bucket=F.conv(F.substring(digest, 1, 3), 16, 10).cast("long"))
+
+
+def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "rank", limit: Column | None = None) -> DataFrame:
+    """df with `out`, 1.. within each group by any total order. Rows are dealt to tasks by ranges of (group, order), so that a
+    large group lies in many of them; each task ranks its range, and the counts of the ranges before it are added.
+
+    The dealt rows are written to the shared folder first: ranges are sampled, and must be the same for counting and ranking.
+    """
+    dealt = materialize(df.repartitionByRange(*group, *order).withColumn("__b", F.spark_partition_id()).withColumn("__v", F.lit(1).cast("long")), "ranged")
+    return _placed(dealt, group, "__b", order, out, limit).select(*df.columns, out)
+
+
 def largest_remainder(weights: Sequence[float], total: int, floors: Sequence[int] | None = None, caps: Sequence[int] | None = None) -> list[int]:
     """Integers that sum to total (as far as caps allow), in proportion to weights, each within its floor and cap.
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querymill.operators.ranking import hash_rank, ordered_rank
+
 
 def seeded(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
@@ -27,21 +29,20 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, n: int, se
     """The rows of each stratum with the smallest seeded hash, as many as its quota. Null strata are strata."""
     q = stratified_quotas(df, strata, n).select(*[F.col(c).alias(f"__{c}") for c in strata], "quota")
     cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in strata]
-    w = Window.partitionBy(*strata).orderBy(seeded(seed, key), key)
-    return df.withColumn("__r", F.row_number().over(w)).join(q, cond).where("__r <= quota").select(*df.columns)
+    ranked = hash_rank(df.join(q, cond).select(*df.columns, "quota"), strata, seeded(seed, key), [key], "__r", F.col("quota"))
+    return ranked.where("__r <= quota").select(*df.columns)
 
 
 def round_robin(df: DataFrame, shape: Sequence[str], key: str, n: int, seed: int = 42) -> DataFrame:
     """One row of each shape per turn until n rows are picked: (columns, turn)."""
-    turn = F.row_number().over(Window.partitionBy(*shape).orderBy(seeded(seed, key), key))
-    return df.withColumn("turn", turn).orderBy("turn", *shape, key).limit(n)
+    return hash_rank(df, shape, seeded(seed, key), [key], "turn", F.lit(n)).orderBy("turn", *shape, key).limit(n)
 
 
 def group_split(df: DataFrame, group: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """Whole groups to validation: floor(groups x share), at least one, by seeded hash of the group. Adds `part`."""
     groups = df.select(F.col(group).alias("__g")).distinct().withColumn("__h", seeded(seed, "__g"))
     total = groups.agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1)).alias("__k"))
-    cut = groups.orderBy("__h", "__g").withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__h", "__g")))
+    cut = hash_rank(groups, [], F.col("__h"), ["__g"], "__n")
     chosen = cut.where(F.col("__n") <= total.scalar()).select("__g", F.lit(True).alias("__v"))
     part = F.when(F.col("__v"), "validation").otherwise("train")
     return df.join(chosen, F.col(group) == F.col("__g"), "left").select(*df.columns, part.alias("part"))
@@ -55,8 +56,12 @@ def group_split_hashed(df: DataFrame, group: str, share: float, seed: int = 42)
 
 def batches(df: DataFrame, order: Sequence[str], size: int, within: Sequence[str] = ()) -> DataFrame:
     """Consecutive batches of fixed size: adds batch_no, from 0, within the given columns."""
-    w = Window.partitionBy(*(within or [F.lit(1)])).orderBy(*order)
-    return df.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return ordered_rank(df, within, order, "__r").withColumn("batch_no", F.floor((F.col("__r") - 1) / size).cast("long")).drop("__r")
+
+
+def first_of_cell(df: DataFrame, cell: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Up to n rows of each cell, by order; for review. Null values are cells of their own."""
+    return ordered_rank(df, cell, order, "__r", F.lit(n)).where(F.col("__r") <= n).drop("__r")
 
 
 def repeat_by_weight(df: DataFrame, weight: Column) -> DataFrame:
@@ -81,3 +86,13 @@ def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     rest = [c for c in df.columns if c not in key]
     row = F.min_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*key).agg(row.alias("__s")).select(*key, *[F.col(f"__s.{c}").alias(c) for c in rest])
+
+
+def product(a: DataFrame, b: DataFrame, block: int = 1_000) -> DataFrame:
+    """Every row of a with every row of b (the operator's result itself), in blocks: b is parted into blocks of about `block` rows,
+    and a row of a goes to every block. Columns must differ. An empty side gives an empty result."""
+    n = max(1, -(-b.count() // block))
+    keys = F.pmod(F.xxhash64(*b.columns), F.lit(n)).cast("int") if b.columns else F.lit(0)
+    blocks = b.select(keys.alias("__b"), F.struct(*b.columns).alias("__s")).groupBy("__b").agg(F.collect_list("__s").alias("__s"))
+    each = a.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return each.join(blocks, "__b").select(*a.columns, F.explode("__s").alias("__s")).select(*a.columns, *[F.col(f"__s.{c}").alias(c) for c in b.columns])

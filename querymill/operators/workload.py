@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querymill.operators.sampling import seeded
+from querymill.operators.ranking import hash_rank
+from querymill.operators.sampling import product, seeded
 
 # Structural hold-outs of flat statements, the first that matches counts.
 HOLDOUTS = ((("n", "3"), ("limit", "y")), (("op", "LIKE"), ("order", "y")), (("op", "LIKE"), ("op", "BETWEEN")), (("op", "LIKE"), ("op", "!="), ("table", "items")), (("op", "BETWEEN"), ("op", "!=")))
@@ -78,15 +79,13 @@ def cap_classes(df: DataFrame, cls: str, caps: dict[str, float], key: str, seed:
     """Rows admitted when each class may fill only its share of the rows: smallest seeded hashes first. Classes without cap pass."""
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     cap = F.coalesce(*[F.when(F.col(cls) == k, F.lit(v)) for k, v in caps.items()], F.lit(1.0))
-    w = Window.partitionBy(cls).orderBy(seeded(seed, key), key)
-    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", cap)
+    ranked = hash_rank(df, [cls], seeded(seed, key), [key], "__r").withColumn("__c", cap)
     return ranked.where(F.col("__r") <= F.floor(F.col("__c") * total.scalar())).select(*df.columns)
 
 
 def floor_picks(df: DataFrame, cell: Sequence[str], key: str, floor: int, seed: int = 42) -> DataFrame:
     """Up to floor rows of each cell, by seeded hash."""
-    w = Window.partitionBy(*cell).orderBy(seeded(seed, key), key)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= floor).drop("__r")
+    return hash_rank(df, cell, seeded(seed, key), [key], "__r", F.lit(floor)).where(F.col("__r") <= floor).drop("__r")
 
 
 def literals(conds: Column) -> Column:
@@ -126,14 +125,11 @@ def transitions(names: DataFrame, column: str, order: int = 2) -> DataFrame:
 def candidates(domain: DataFrame, shapes: DataFrame, per_shape: int, seed: int = 42) -> DataFrame:
     """(shape, value, text): per_shape values of a domain for each statement shape with a {v} slot, picked by seeded hash.
 
-    Shapes are a short list (at most 1,000), held as literals; values are ranked once per shape.
+    Every value meets every shape, in blocks; values are ranked once per shape.
     """
-    listed = [r["shape"] for r in shapes.select("shape").distinct().limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("more than 1000 shapes")
-    both = domain.select("value").distinct().select("value", F.explode(F.array(*[F.lit(x) for x in sorted(listed)])).alias("shape"))
-    w = Window.partitionBy("shape").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "shape", "value")), "value")
-    return both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_shape).select("shape", "value", F.replace("shape", F.lit("{v}"), F.col("value")).alias("text"))
+    both = product(domain.select("value").distinct(), shapes.select("shape").distinct())
+    ranked = hash_rank(both, ["shape"], F.md5(F.concat_ws(":", F.lit(str(seed)), "shape", "value")), ["value"], "r", F.lit(per_shape))
+    return ranked.where(F.col("r") <= per_shape).select("shape", "value", F.replace("shape", F.lit("{v}"), F.col("value")).alias("text"))
 
 
 def group_threshold(df: DataFrame, key: str, value: Column, seed: int = 42) -> DataFrame:

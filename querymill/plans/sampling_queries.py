@@ -89,10 +89,7 @@ WITH o AS (SELECT query_id, family, query_kind, row_number() OVER (PARTITION BY
 SELECT query_id, family, query_kind FROM o WHERE r <= 4""")
 def cell_preview(spark: SparkSession, d: str) -> DataFrame:
     """Up to four records of each cell, for review."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("family", "query_kind").orderBy("query_id")
-    return table(spark, d, "query_records").withColumn("r", F.row_number().over(w)).where("r <= 4").select("query_id", "family", "query_kind")
+    return S.first_of_cell(table(spark, d, "query_records"), ["family", "query_kind"], ["query_id"], 4).select("query_id", "family", "query_kind")
 
 
 @query("""

@@ -30,10 +30,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a folder of this machine is set.
+    Only in a local session without one (tests) a folder of this machine is set; elsewhere that is an error, as executors of other
+    machines could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
         base = getattr(spark, "_querymill_dir", None)
         if base is None:
             base = os.path.join(tempfile.gettempdir(), f"querymill-{uuid.uuid4().hex}")

@@ -1,7 +1,11 @@
 """Operators on small fixtures, with nulls, ties, empty tables and hot groups."""
 
+import hashlib
 import json
+import random
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from querymill.operators import rewrite as R
 from querymill.operators import sampling as S
 from querymill.operators import tokenizer as T
 from querymill.operators.components import connected_components
+from querymill.operators.ranking import hash_rank, ordered_rank
+from querymill.operators.sampling import product, seeded
 from querymill.sources import readers, writers
 
 
@@ -111,8 +117,6 @@ def test_fuzzy(spark):
     assert [tuple(r)[:2] for r in Z.ngram_best(words_.where("word is not null"), dic).collect()] == [("custmer", "customer")]
     assert [tuple(r)[:2] for r in Z.levenshtein_best(words_, dic).collect()] == [("custmer", "customer")]
     assert [tuple(r)[:2] for r in Z.sequence_best(words_, dic).collect()] == [("custmer", "customer")]
-    with pytest.raises(ValueError):
-        Z.bounded(dic, 2)
     assert one(spark, Z.like_case(F.lit("ITEM"), F.lit("order"))) == "ORDER" and one(spark, Z.like_case(F.lit("Item"), F.lit("order"))) == "Order"
     assert one(spark, Z.first_change(F.lit("a"), F.lit("a"), F.lit(None).cast("string"), F.lit("b"), F.lit("c"))) == "b"
     assert one(spark, Z.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
@@ -258,8 +262,75 @@ def test_stream_windows(spark, data, tmp_path):
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
 
 
-def test_near_any_scores_all_targets(spark, monkeypatch):
-    monkeypatch.setattr(Z, "MAX_DICTIONARY", 2)
+def test_alike_words_equal_all_pairs(spark):
+    """Both ratios against every pair of random words over few letters, ties to the smaller entry."""
+    rng = random.Random(3)
+    draw = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))
+    a, b = sorted({draw() for _ in range(40)}), sorted({draw() for _ in range(40)})
+    left, right = (spark.createDataFrame([(w,) for w in x], "word string") for x in (a, b))
+    for t in (0.5, 0.7, 1.0):
+        best = {}
+        for w in a:
+            r, x = max(((SequenceMatcher(a=x, b=w).ratio(), x) for x in b), key=lambda p: (p[0], [-ord(c) for c in p[1]] + [0]))
+            if r >= t:
+                best[w] = (min(x for x in b if SequenceMatcher(a=x, b=w).ratio() == r), round(r, 6))
+        assert {r["word"]: (r["match"], r["ratio"]) for r in Z.sequence_best(left, right, t).collect()} == best
+
+        def distance(x, y):
+            row = list(range(len(y) + 1))
+            for i, c in enumerate(x, 1):
+                row = _next_row(row, c, y, i)
+            return row[-1]
+
+        lev = {w: max((round(1 - distance(w, x) / max(len(w), len(x)), 6), x) for x in b)[0] for w in a}
+        want = {w: (min(x for x in b if round(1 - distance(w, x) / max(len(w), len(x)), 6) == r), r) for w, r in lev.items() if r >= t}
+        assert {r["word"]: (r["match"], r["ratio"]) for r in Z.levenshtein_best(left, right, t).collect()} == want
+
+
+def _next_row(row, c, y, i):
+    out = [i]
+    for j, d in enumerate(y, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+    return out
+
+
+def test_vectors_in_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)).round(2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, e array<double>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 90, 10):
+        s = np.round(u @ u[q], 9)
+        want |= {(q, r + 1, int(i)) for r, i in enumerate(sorted((i for i in range(90) if i != q), key=lambda i: (-s[i], i))[:3])}
+    got = Z.nearest_vectors(rows, rows.where("vec_id % 10 = 0"), "vec_id", "e", 3, block=2).collect()
+    assert {tuple(r)[:3] for r in got} == want
+
+
+def test_ranks_of_groups_in_many_tasks(spark):
+    """A group that holds most rows, ties and null groups, by hash and by order, against plain Python."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a", None]), rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, v int").repartition(4)
+    by = {}
+    for i, g, v in rows:
+        by.setdefault(g, []).append((v, i))
+    want = {i: k for g in by for k, (_, i) in enumerate(sorted(by[g]), 1)}
+    assert {r["id"]: r["rank"] for r in ordered_rank(df, ["g"], ["v", "id"]).collect()} == want
+    want = {i: k for g in by for k, (_, i) in enumerate(sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for _, i in by[g]), 1)}
+    assert {r["id"]: r["rank"] for r in hash_rank(df, ["g"], seeded(42, "id"), ["id"]).collect()} == want
+    picked = hash_rank(df, ["g"], seeded(42, "id"), ["id"], limit=F.lit(3)).where("rank <= 3").collect()
+    assert {r["id"] for r in picked} == {i for i, k in want.items() if k <= 3}
+    assert {r["rank"] for r in ordered_rank(df.limit(0), ["g"], ["v", "id"]).collect()} == set()
+
+
+def test_product_in_blocks(spark):
+    a, b = spark.range(7).toDF("x"), spark.range(11).toDF("y")
+    assert {tuple(r) for r in product(a, b, 3).collect()} == {(x, y) for x in range(7) for y in range(11)}
+    assert product(a, b.limit(0)).count() == product(a.limit(0), b).count() == 0
+
+
+def test_near_any_scores_all_targets(spark):
     rows = spark.createDataFrame([(i, [float(i == k) for k in range(5)]) for i in range(5)], "id long, v array<double>")
     assert sorted(r[0] for r in Z.near_any(rows, rows, "id", "v", 0.9).collect()) == [0, 1, 2, 3, 4]
     assert sorted(r[0] for r in Z.near_any(rows, rows, "id", "v", 0.9, 2).collect()) == [0, 1, 2, 3, 4]
