@@ -17,10 +17,12 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,10 +114,86 @@ class RuleModel:
 
     def subject(self, key: str) -> int:
         """Index of the subject that a sentence (its terms, parted by blanks) deals with, -1 for none."""
-        ts = frozenset(key.split()) & self.vocabulary
-        p = self.probabilities(self.evidence(ts))
-        best = int(np.argmax(p[:-1])) if len(p) > 1 else -1
-        return best if best >= 0 and p[best] >= 0.5 else -1
+        return int(self.subjects_of(pa.array([" ".join(sorted(set(key.split())))]))[0])
+
+    def subjects_of(self, keys: pa.Array) -> np.ndarray:
+        """subject() of many sentences at once; the terms of each are different and sorted.
+
+        Patterns are found by position: every term that is a rule, every two terms of a sentence that are one, and every
+        term behind two that begin one of three. The rest follows evidence() and probabilities().
+        """
+        n, k = len(keys), len(self.subjects)
+        tables, scores = self.tables
+        known = pc.index_in(pc.list_flatten(split := pc.utf8_split_whitespace(keys)), value_set=pa.array(tables["terms"], pa.string()))
+        known = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        owner, term = owner[known >= 0], known[known >= 0]
+        m, size = len(term), len(tables["terms"]) + 1
+        if not m:
+            return np.full(n, -1)
+        end = np.searchsorted(owner, owner, side="right")
+
+        def look(codes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(among):
+                return np.empty(0, np.int64), np.empty(0, np.int64)
+            at = np.minimum(np.searchsorted(among, codes), len(among) - 1)
+            hit = np.flatnonzero(among[at] == codes)
+            return hit, at[hit]
+
+        def later(live: np.ndarray, after: np.ndarray):
+            """Index into live, and a position behind after of the same sentence, in steps."""
+            other, at = after + 1, np.arange(len(live))
+            while len(keep := np.flatnonzero(other < end[live[at]])):
+                other, at = other[keep], at[keep]
+                yield at, other
+                other = other + 1
+
+        pairs, begun, triples = [], [], []
+        for at, other in later(np.arange(m), np.arange(m)):
+            code = term[at] * size + term[other]
+            hit, rule = look(code, tables["pairs"])
+            pairs.append(np.c_[rule, at[hit], other[hit]])
+            hit, _ = look(code, tables["begins"])
+            begun.append(np.c_[at[hit], other[hit]])
+        pairs, begun = (np.concatenate(x) if x else np.empty((0, w), np.int64) for x, w in ((pairs, 3), (begun, 2)))
+        for at, other in later(begun[:, 0], begun[:, 1]):
+            hit, rule = look((term[begun[at, 0]] * size + term[begun[at, 1]]) * size + term[other], tables["triples"])
+            triples.append(np.c_[rule, begun[at[hit]], other[hit]])
+        triples = np.concatenate(triples) if triples else np.empty((0, 4), np.int64)
+        inside = np.zeros(m, bool)
+        inside[pairs[:, 1:].ravel()] = inside[triples[:, 1:].ravel()] = True
+        inner = np.concatenate([triples[:, i] * m + triples[:, j] for i, j in ((1, 2), (1, 3), (2, 3))])
+        pairs = pairs[~np.isin(pairs[:, 1] * m + pairs[:, 2], inner)]
+        hit, rule = look(term, tables["singles"])
+        singles = np.c_[rule, hit][~inside[hit]]
+        found = [(name, x[:, 0], x[:, 1:]) for name, x in (("singles", singles), ("pairs", pairs), ("triples", triples)) if len(x)]
+        cover = np.bincount(np.concatenate([pos.ravel() for _, _, pos in found] or [np.empty(0, np.int64)]), minlength=m)
+        evidence = np.zeros((n, k))
+        for name, rule, pos in found:
+            weight, who = (1.0 / cover[pos]).mean(axis=1), owner[pos[:, 0]]
+            for j in range(k):
+                evidence[:, j] += np.bincount(who, weights=weight * scores[name][rule, j], minlength=n)
+        z = np.c_[self.scale * evidence, np.full(n, self.none)]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        best = z[:, :k].argmax(axis=1)
+        return np.where(2 * z[np.arange(n), best] >= z.sum(axis=1), best, -1)
+
+    @cached_property
+    def tables(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Rules of one, two and three terms as sorted codes, and their log odds in the same order."""
+        terms = sorted(self.vocabulary)
+        at, size = {t: i for i, t in enumerate(terms)}, len(terms) + 1
+        coded: dict[int, list[tuple[int, np.ndarray]]] = {1: [], 2: [], 3: []}
+        for rules in self.index.values():
+            for r, v in rules:
+                code = 0
+                for t in sorted(r):
+                    code = code * size + at[t]
+                coded[len(r)].append((code, v))
+        names = {1: "singles", 2: "pairs", 3: "triples"}
+        tables = {names[i]: np.array(sorted(c for c, _ in x), np.int64) for i, x in coded.items()}
+        scores = {names[i]: np.array([v for _, v in sorted(x, key=lambda y: y[0])]).reshape(len(x), len(self.subjects)) for i, x in coded.items()}
+        return tables | {"terms": terms, "begins": np.unique(tables["triples"] // size)}, scores
 
 
 def mine(spark, runs: list[list[tuple[set[str], str]]], subjects: list[str], p: SubjectParams) -> list[dict[frozenset[str], np.ndarray]]:
@@ -241,7 +319,7 @@ def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
             n, keys = batch.num_rows, batch.column(1)
             sizes = np.diff(keys.offsets.to_numpy(zero_copy_only=False))
             coded = keys.flatten().dictionary_encode()
-            known = np.array([m.subject(x) for x in coded.dictionary.to_pylist()], np.int64)
+            known = m.subjects_of(coded.dictionary) if k else np.full(len(coded.dictionary), -1)
             about = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
             owner = np.repeat(np.arange(n), sizes)
             counts = np.bincount((owner * (k + 1) + about)[about >= 0], minlength=n * (k + 1)).reshape(n, k + 1)

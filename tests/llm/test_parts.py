@@ -3,6 +3,7 @@
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,23 @@ def test_specific_rules_overrule_general_ones():
     assert m.subject("replace the fuse") == 0 and m.subject("a deed") == 1 and m.subject("a short fuse is typical") == -1 and m.subject("nothing known") == -1
 
 
+def test_many_sentences_at_once_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(12)]
+    rules = {}
+    for _ in range(60):
+        n = int(rng.integers(1, 4))
+        counts = rng.integers(0, 30, 3).astype(float)
+        rules[frozenset(rng.choice(words, n, replace=False).tolist())] = np.r_[counts, counts.sum() + 1]
+    m = subjects.RuleModel(["a", "b", "c"], rules, 0.7, 0.5)
+    keys = [" ".join(sorted(set(rng.choice([*words, "other"], int(rng.integers(0, 9))).tolist()))) for _ in range(400)]
+    want = []
+    for key in keys:
+        p = m.probabilities(m.evidence(set(key.split()) & m.vocabulary))
+        want.append(int(np.argmax(p[:-1])) if p[:-1].max() >= 0.5 else -1)
+    assert m.subjects_of(pa.array(keys)).tolist() == want and len(set(want)) == 4
+
+
 def test_held_out_sentences(spark, data):
     """Of held-out sentences that get a subject, most get their text's."""
     p = subjects.SubjectParams()
