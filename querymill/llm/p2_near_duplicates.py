@@ -10,11 +10,14 @@ star links, in which a group of any size costs as many links as it has texts.
 close pair. All elements of bags are put into one order, rare ones first. Two bags that must have o elements in common share
 their first k common elements within the first n - o + k elements of either, so texts meet in a bucket for every
 combination of k elements of that prefix, and each close pair shares a bucket. k falls with the length, which keeps the
-combinations few. Every two texts of a bucket are compared by size and by a 64-bit odd sketch, whose Hamming distance never
+combinations few. Every two texts of a bucket are compared by size and by an odd sketch, whose Hamming distance never
 exceeds the true difference of two bags: no close pair is lost, for any order of the elements and any k. Buckets that
 a sample shows to be large are dealt to several tasks as a grid of blocks. Classes look only for links between different
 star classes this way.
 
+A row of a bucket is two numbers: the key with the size, and the node. A node is a bag's 48-bit odd sketch with 16 bits of its
+hash; bags that agree in it are told apart by 128 bits and renamed before anything is compared (with_nodes).
+
 Copies (equal bags) are one node throughout; they are expanded only where a query asks for pairs of records.
 """
 
@@ -65,11 +68,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _sketch(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Odd sketch of each set: 64 bits, each the parity of the elements that fall on it."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), np.cumsum(lengths) - lengths)
-
-
 def one_permutation_bands(values: np.ndarray, lengths: np.ndarray, p: NearDupParams) -> np.ndarray:
     """Band hashes (sets x bands, uint64) of sets given as flat int64 values and lengths >= 1.
 
@@ -104,27 +102,40 @@ def _allowed(n1: np.ndarray, n2: np.ndarray, p: NearDupParams) -> np.ndarray:
     return n1 + n2 - 2 * need
 
 
-#: meta of a row: size x 16 + block side x 4 + sides. Sides: 1 on the first side, 2 on the second, 3 both. Block side: 0 for a
+#: place of a row: 40 bits of the key, 20 of the size, 2 of the block side, 2 of the sides. Two buckets that agree in 40 bits only
+#: add candidates, and so does a size that does not fit. Sides: 1 on the first side, 2 on the second, 3 both. Block side: 0 for a
 #: whole bucket or a block on the diagonal of its grid, 1 and 2 for the two chunks that a block off the diagonal compares.
-ROW = [("bucket", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("meta", pa.int32())]
-ROW_DDL = "bucket long, node long, sketch long, meta int"
+KEY_BITS = np.uint64(0xFFFFFFFFFF000000)
+WIDE = (1 << 20) - 1
+ROW = [("place", pa.int64()), ("node", pa.int64())]
+ROW_DDL = "place long, node long"
 #: Where rows are told apart by another grp than their node, it comes last.
 GROUPED, GROUPED_DDL = [*ROW, ("grp", pa.int64())], ROW_DDL + ", grp long"
-KEY_BITS = np.uint64(0xFFFFFFFFFF000000)  # 40 bits tell buckets apart; two in one only add candidates, and zeros shrink the shuffle
 PAIR = pa.schema([("xa", pa.int64()), ("xb", pa.int64())])
 PAIR_DDL = "xa long, xb long"
 
 
+def _bucket() -> Column:
+    return F.shiftright(F.col("place"), 24)
+
+
 def _np(col) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False)
 
 
 def with_nodes(table: DataFrame) -> DataFrame:
-    """table with node, a LONG that stands for the bag: b1, or another hash where two bags agree in b1 but not in b2."""
-    clash = table.groupBy("b1").agg(F.min("b2").alias("__lo"), F.max("b2").alias("__hi")).where("__lo <> __hi").select("b1", "__lo")
-    clash = materialize(clash, "clashes")
-    node = F.when(F.col("__lo").isNull() | (F.col("b2") == F.col("__lo")), F.col("b1")).otherwise(F.xxhash64(F.lit("again"), "b2", "b1"))
-    return table.join(clash, "b1", "left").withColumn("node", node).drop("__lo")
+    """table with nodes that stand for one bag each: where several bags (b1, b2) have one node, all but one take another
+    hash beside their sketch, until no two agree. One aggregation where, as nearly always, none do."""
+    for salt in range(8):
+        clash = table.select("node", F.struct("b1", "b2").alias("b")).groupBy("node").agg(F.min("b").alias("__lo"), F.max("b").alias("__hi"))
+        clash = materialize(clash.where("__lo <> __hi").select("node", "__lo"), "clashes")
+        if clash.isEmpty():
+            return table
+        sketch = F.col("node").bitwiseAND(F.lit(~0xFFFF).cast("long"))
+        other = sketch.bitwiseOR(F.xxhash64(F.lit(salt), "b1", "b2").bitwiseAND(F.lit(0xFFFF)))
+        own = F.col("__lo").isNull() | (F.struct("b1", "b2") == F.col("__lo"))
+        table = table.join(clash, "node", "left").withColumn("__node", F.when(own, F.col("node")).otherwise(other)).drop("node", "__lo").withColumnRenamed("__node", "node")
+    raise RuntimeError("bags could not be told apart")
 
 
 def element_ranks(table: DataFrame, p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +221,12 @@ def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[
             node, els, sides = _np(batch.column(0)), batch.column(1), _np(batch.column(2)).astype(np.int64)
             own, schema = ([_np(batch.column(3))], GROUPED) if batch.num_columns > 3 else ([], ROW)
             lengths, values = np.diff(_np(els.offsets)).astype(np.int64), _np(els.flatten())
-            sketch = _sketch(_mix(values.view(np.uint64)), lengths).view(np.int64)
+            size = np.minimum(lengths, WIDE)
             for at, key in prefix_keys(values, lengths, ranks, p):
                 key = key & KEY_BITS
                 key, at, side = in_grid(key, at, node) if hot is not None and len(hot[0]) else rows_of(key, at)
-                meta = (lengths[at] * 16 + side * 4 + sides[at]).astype(np.int32)
-                yield pa.record_batch([pa.array(x) for x in (key.view(np.int64), node[at], sketch[at], meta, *[g[at] for g in own])], schema=pa.schema(schema))
+                place = key.view(np.int64) | (size[at] * 16 + side * 4 + sides[at])
+                yield pa.record_batch([pa.array(x) for x in (place, node[at], *[g[at] for g in own])], schema=pa.schema(schema))
 
     return run
 
@@ -224,34 +235,38 @@ def bucket_sizes(bags: DataFrame, ranks: tuple[np.ndarray, np.ndarray], p: NearD
     """From a sample of bags: keys, sorted, of buckets that hold about 2 x hot_rows rows or more, with the chunks to part each
     into; and about how many rows all buckets hold."""
     some = bags.select("node", "els", "sides").where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(p.sampled)) == 0)
-    counts = materialize(some.mapInArrow(map_side(p, ranks), ROW_DDL).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket-sizes")
+    rows = some.mapInArrow(map_side(p, ranks), ROW_DDL).select(_bucket().alias("bucket"))
+    counts = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket-sizes")
     total = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]) * p.sampled
     top = counts.where(F.col("c") * p.sampled >= 2 * p.hot_rows).orderBy(F.desc("c"), "bucket").limit(p.hot_keys).toArrow()
-    key = top.column("bucket").to_numpy().view(np.uint64)
+    key = (top.column("bucket").to_numpy() << 24).view(np.uint64)
     chunks = np.minimum(-(-top.column("c").to_numpy() * p.sampled // p.hot_rows), 64)
     by = np.argsort(key)
     return (key[by], chunks[by]), total
 
 
-def bucket_pairs(bucket: np.ndarray, grp: np.ndarray, sketch: np.ndarray, meta: np.ndarray, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one bucket and different grp whose sizes and sketches allow them to be close, as blocks.
+def bucket_pairs(place: np.ndarray, node: np.ndarray, grp: np.ndarray | None, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one bucket, of different nodes and grp, whose sizes and sketches allow them to be close, as blocks.
 
-    Rows are sorted by bucket and grp. Pairs of the first `seen` rows are left out. A row meets the rows behind the last one of its
-    grp, so rows of one grp are never compared.
+    Rows are sorted by bucket, and by grp if given: a row then meets the rows behind the last one of its grp, so rows of one grp
+    are never compared. Pairs of the first `seen` rows are left out.
     """
-    n = len(bucket)
-    last = np.r_[np.flatnonzero((bucket[1:] != bucket[:-1]) | (grp[1:] != grp[:-1])), n - 1]
-    first_other = last[np.searchsorted(last, np.arange(n))] + 1
+    n, bucket = len(place), place >> 24
+    behind = np.arange(1, n + 1)
+    if grp is not None:
+        last = np.r_[np.flatnonzero((bucket[1:] != bucket[:-1]) | (grp[1:] != grp[:-1])), n - 1]
+        behind = last[np.searchsorted(last, np.arange(n))] + 1
     end = np.searchsorted(bucket, bucket, side="right")
-    begin = np.maximum(first_other, seen)
+    begin = np.maximum(behind, seen)
     live = np.flatnonzero(begin < end)
     other = begin[live]
-    size, block, sides = meta >> 4, (meta >> 2) & 3, meta & 3
+    size, block, sides, sketch = (place >> 4) & WIDE, (place >> 2) & 3, place & 3, node.view(np.uint64) >> np.uint64(16)
     while len(live):
-        ok = np.bitwise_count(sketch[live] ^ sketch[other]) <= _allowed(size[live], size[other], p)
+        allowed = _allowed(size[live], size[other], p)
+        ok = (np.bitwise_count(sketch[live] ^ sketch[other]) <= allowed) | ((size[live] == WIDE) | (size[other] == WIDE))
         i, j = live[ok], other[ok]
         a, b = sides[i], sides[j]
-        ok = ((block[i] == 0) | (block[i] != block[j])) & ((a & 1) * (b & 2) + (a & 2) * (b & 1) > 0)
+        ok = (node[i] != node[j]) & ((block[i] == 0) | (block[i] != block[j])) & ((a & 1) * (b & 2) + (a & 2) * (b & 1) > 0)
         if ok.any():
             yield i[ok], j[ok]
         other = other + 1
@@ -273,9 +288,9 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.
 
 
 def reduce_side(p: NearDupParams):
-    """Pairs over rows sorted by bucket and grp. The rows of a bucket that goes on in the next batch are carried over.
+    """Pairs over rows sorted by bucket. The rows of a bucket that goes on in the next batch are carried over.
 
-    Sided pairs come as (node of side 1, node of side 2), both ways where both nodes are on both sides.
+    Sided pairs come as (node of side 1, node of side 2), others with the smaller node first.
     """
 
     def out(found: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
@@ -288,24 +303,24 @@ def reduce_side(p: NearDupParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for bucket, node, sketch, meta, *own in _gathered(batches, p.gather):
-            rows, seen = [bucket, node, sketch.view(np.uint64), meta.astype(np.int64), *own], 0
+        for rows in _gathered(batches, p.gather):
+            seen = 0
             if carry is not None:
                 seen, rows = len(carry[0]), [np.concatenate(x) for x in zip(carry, rows)]
-            bucket, node, _, meta, *own = rows
-            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]) | (meta[1:] != meta[:-1])]
-            bucket, node, sketch, meta, *own = rows = [x[new] for x in rows]
-            grp = own[0] if own else node
+            place, node = rows[:2]
+            new = np.r_[True, (place[1:] != place[:-1]) | (node[1:] != node[:-1])]
+            place, node, *own = rows = [x[new] for x in rows]
+            bucket = place >> 24
             carry = [x[np.searchsorted(bucket, bucket[-1]) :] for x in rows]
             found, n = [], 0
-            for i, j in bucket_pairs(bucket, grp, sketch, meta, seen, p):
+            for i, j in bucket_pairs(place, node, own[0] if own else None, seen, p):
                 found.append((i, j))
                 n += len(i)
                 if n >= p.keys:
-                    yield out(found, node, meta & 3)
+                    yield out(found, node, place & 3)
                     found, n = [], 0
             if n:
-                yield out(found, node, meta & 3)
+                yield out(found, node, place & 3)
 
     return run
 
@@ -321,8 +336,8 @@ def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams(), sides:
     hot, total = bucket_sizes(bags, ranks, p)
     rows = bags.mapInArrow(map_side(p, ranks, hot), GROUPED_DDL if grp else ROW_DDL)
     tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // p.task_rows))
-    by_bucket = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", *(["grp"] if grp else []), "node", "meta")
-    return by_bucket.mapInArrow(reduce_side(p), PAIR_DDL).distinct()
+    order = [_bucket(), "grp", "place", "node"] if grp else ["place", "node"]
+    return rows.repartition(tasks, _bucket()).sortWithinPartitions(*order).mapInArrow(reduce_side(p), PAIR_DDL).distinct()
 
 
 def _close(na: Column, nb: Column, common: Column, p: NearDupParams) -> Column:

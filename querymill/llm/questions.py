@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.text import bag_elements, field_signature, fold, hash_pair, words_of_folded
 from querymill.session import materialize, spread
 
 
+def odd_sketch(els: Column, bits: int = 48) -> Column:
+    """A LONG of which each bit is the parity of the elements that fall on it."""
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(e), F.lit(bits)).cast("int"))
+    return F.aggregate(els, F.lit(0).cast("long"), lambda acc, e: acc.bitwiseXOR(bit(e)))
+
+
 def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), bags: bool = True, check: bool = False) -> DataFrame:
     """One row per record that has a question (a text with a word), with hashes of what makes questions equal.
 
     Columns: id; n (words); s1, s2 (128 bits of the words in order); f1, f2 (128 bits of the sorted fields, null where the text is
     not written as fields); with check: chk, fchk, other hashes of the words and of the fields; with bags: b1, b2 (128 bits of the
-    bag of words), els (the bag as LONG hashes); and the columns of keep. Records with null text or no word are left out.
+    bag of words), els (the bag as LONG hashes), node (48 bits of odd sketch and 16 of b1, see p2_near_duplicates); and the
+    columns of keep. Records with null text or no word are left out.
 
     The table is written before that filter: pushed below the projection, it would parse every text twice.
     """
@@ -34,5 +41,7 @@ def question_table(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str
     if bags:
         seq = seq.withColumn("__b", F.array_join(F.sort_array("__w"), " "))
         cols += [h.alias(f"b{i + 1}") for i, h in enumerate(hash_pair(F.col("__b")))]
-        cols += [bag_elements(F.col("__w")).alias("els")]
+        seq = seq.withColumn("__e", bag_elements(F.col("__w")))
+        node = F.call_function("shiftleft", odd_sketch(F.col("__e")), F.lit(16)).bitwiseOR(hash_pair(F.col("__b"))[0].bitwiseAND(F.lit(0xFFFF)))
+        cols += [F.col("__e").alias("els"), node.alias("node")]
     return materialize(seq.select(*cols, *[F.col(f"`{c}`") for c in keep]), "questions").where("n > 0")

@@ -132,10 +132,13 @@ def test_large_buckets_batches_and_partitions_change_nothing(spark, data):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_bags_that_agree_in_64_bits_stay_apart(spark):
-    rows = [(1, "a b c d e"), (2, "v w x y z"), (3, "a b c d f"), (4, "v w x y q")]
-    t = question_table(spark.createDataFrame(rows, "pair_id long, question string"), "pair_id", "question").withColumn("b1", F.when(F.col("id") <= 2, F.lit(7)).otherwise(F.col("b1")))
-    assert result(near.close_records(t)) == {(1, 3), (2, 4)}
+def test_bags_that_agree_in_a_node_are_renamed(spark):
+    """Bags of one node get nodes of their own with the same sketch; copies of a bag keep one node."""
+    rows = [(i, 0x123450007, i // 2, 5) for i in range(12)] + [(20, 0x990007, 1, 1)]
+    t = spark.createDataFrame(rows, "id long, node long, b1 long, b2 long")
+    got = {r["id"]: r["node"] for r in near.with_nodes(t).collect()}
+    assert len(got) == 13 and all(got[i] == got[i + 1] for i in range(0, 12, 2))
+    assert len({got[i] for i in range(12)}) == 6 and {n >> 16 for i, n in got.items() if i < 12} == {0x12345} and got[20] == 0x990007
 
 
 def test_many_edits_of_one_text_are_all_found(spark):
