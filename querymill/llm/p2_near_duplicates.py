@@ -55,7 +55,8 @@ class NearDupParams:
     keys: int = 1 << 18  # keys, or pairs, made at once
     gather: int = 1 << 17  # rows of buckets looked at together
     hot_rows: int = 1 << 14
-    task_rows: int = 1 << 19  # rows of buckets for one task, about
+    task_rows: int = 1 << 19  # most rows of buckets for one task, about
+    least_tasks: int = 256  # where there are rows enough, so that buckets spread evenly
     hot_keys: int = 1 << 16
     sampled: int = 64
 
@@ -335,7 +336,7 @@ def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams(), sides:
     ranks = element_ranks(table, p)
     hot, total = bucket_sizes(bags, ranks, p)
     rows = bags.mapInArrow(map_side(p, ranks, hot), GROUPED_DDL if grp else ROW_DDL)
-    tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // p.task_rows))
+    tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // p.task_rows), min(p.least_tasks, total * 32 // p.task_rows))
     order = [_bucket(), "grp", "place", "node"] if grp else ["place", "node"]
     return rows.repartition(tasks, _bucket()).sortWithinPartitions(*order).mapInArrow(reduce_side(p), PAIR_DDL).distinct()
 
@@ -379,7 +380,7 @@ def star_pairs(table: DataFrame, p: NearDupParams = NearDupParams()) -> DataFram
 def reordered_classes(table: DataFrame) -> DataFrame:
     """Pairs of unequal questions with the same bag of words, as pairs of word sequences: (node, s1, s2, os1, os2)."""
     keys = ["node", "s1", "s2", "f1", "f2"]
-    mixed = table.groupBy("node").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("node")
+    mixed = materialize(table.groupBy("node").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("node"), "mixed")
     classes = table.select(*keys).join(mixed, "node", "left_semi").distinct()
     other = classes.select("node", *[F.col(c).alias(f"o{c}") for c in keys[1:]])
     same_fields = F.coalesce((F.col("f1") == F.col("of1")) & (F.col("f2") == F.col("of2")), F.lit(False))
@@ -399,7 +400,7 @@ def close_records(table: DataFrame, p: NearDupParams = NearDupParams(), first: s
     two = table if first is None else table.where(~F.col(first))
     pairs = close_bags(table, p, sides)
     by_bag = pairs.join(one.select(F.col("node").alias("xa"), F.col("id").alias("l_id")), "xa").join(two.select(F.col("node").alias("xb"), F.col("id").alias("r_id")), "xb")
-    re = reordered_classes(table)
+    re = materialize(reordered_classes(table), "reordered")
     if first is not None:  # either class may be on either side
         re = re.unionByName(re.select("node", F.col("os1").alias("s1"), F.col("os2").alias("s2"), F.col("s1").alias("os1"), F.col("s2").alias("os2")))
     left = one.select("node", "s1", "s2", F.col("id").alias("l_id"))
