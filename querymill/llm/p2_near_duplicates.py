@@ -53,7 +53,6 @@ class NearDupParams:
     classes: tuple[tuple[int, int], ...] = ((1, 1), (4, 3), (15, 2), (100, 1))
     ranked: int = 65_536  # most frequent elements whose counts order them; all others are rare and ordered by hash
     keys: int = 1 << 18  # keys, or pairs, made at once
-    gather: int = 1 << 17  # rows of buckets looked at together
     hot_rows: int = 1 << 14
     task_rows: int = 1 << 19  # most rows of buckets for one task, about
     least_tasks: int = 256  # where there are rows enough, so that buckets spread evenly
@@ -108,18 +107,12 @@ def _allowed(n1: np.ndarray, n2: np.ndarray, p: NearDupParams) -> np.ndarray:
 #: whole bucket or a block on the diagonal of its grid, 1 and 2 for the two chunks that a block off the diagonal compares.
 KEY_BITS = np.uint64(0xFFFFFFFFFF000000)
 WIDE = (1 << 20) - 1
-ROW = [("place", pa.int64()), ("node", pa.int64())]
-ROW_DDL = "place long, node long"
-#: Where rows are told apart by another grp than their node, it comes last.
-GROUPED, GROUPED_DDL = [*ROW, ("grp", pa.int64())], ROW_DDL + ", grp long"
+#: Rows travel packed: those of a batch that go to one task are one value, their places, nodes (and grps) as columns of LONG.
+PACK, PACK_DDL = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("rows", pa.binary())]), "part int, n int, rows binary"
 PAIR = pa.schema([("xa", pa.int64()), ("xb", pa.int64())])
 PAIR_DDL = "xa long, xb long"
 
 
-def _bucket() -> Column:
-    return F.shiftright(F.col("place"), 24)
-
-
 def _np(col) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False)
 
@@ -187,8 +180,9 @@ def prefix_keys(values: np.ndarray, lengths: np.ndarray, ranks: tuple[np.ndarray
                     yield np.repeat(some, len(block)), key.ravel()
 
 
-def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray] | None = None):
-    """A row for each key of each bag (node, els, sides, maybe grp); rows of a hot bucket go to every block of their chunk."""
+def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], tasks: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
+    """Packs of a row for each key of each bag (node, els, sides, maybe grp); rows of a hot bucket go to every block of their chunk.
+    With tasks 0, the buckets alone: (bucket)."""
 
     def rows_of(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return key, at, np.zeros(len(key), np.int64)
@@ -211,6 +205,18 @@ def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[
             sides.append(np.where(c == other, 0, np.where(c < other, 1, 2)))
         return np.concatenate(keys), np.concatenate(owners), np.concatenate(sides)
 
+    def packed(made: list[list[np.ndarray]]) -> pa.RecordBatch:
+        rows = [np.concatenate(x) for x in zip(*made)]
+        if not tasks:
+            return pa.record_batch([pa.array(rows[0] >> 24)], names=["bucket"])
+        part = (_mix((rows[0] >> 24).view(np.uint64)) % np.uint64(tasks)).astype(np.int32)
+        by = np.lexsort((rows[0], part))
+        part, rows = part[by], [x[by] for x in rows]
+        ends = np.r_[np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+        starts = np.r_[0, ends[:-1]]
+        values = [b"".join(x[a:b].tobytes() for x in rows) for a, b in zip(starts.tolist(), ends.tolist())]
+        return pa.record_batch([pa.array(part[starts]), pa.array((ends - starts).astype(np.int32)), pa.array(values, pa.binary())], schema=PACK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -220,14 +226,20 @@ def map_side(p: NearDupParams, ranks: tuple[np.ndarray, np.ndarray], hot: tuple[
             once = by[np.r_[True, (node[by][1:] != node[by][:-1]) | (sides[by][1:] != sides[by][:-1])]]
             batch = batch.take(pa.array(once))
             node, els, sides = _np(batch.column(0)), batch.column(1), _np(batch.column(2)).astype(np.int64)
-            own, schema = ([_np(batch.column(3))], GROUPED) if batch.num_columns > 3 else ([], ROW)
+            own, made, n = [_np(batch.column(3))] if batch.num_columns > 3 else [], [], 0
             lengths, values = np.diff(_np(els.offsets)).astype(np.int64), _np(els.flatten())
             size = np.minimum(lengths, WIDE)
             for at, key in prefix_keys(values, lengths, ranks, p):
                 key = key & KEY_BITS
                 key, at, side = in_grid(key, at, node) if hot is not None and len(hot[0]) else rows_of(key, at)
                 place = key.view(np.int64) | (size[at] * 16 + side * 4 + sides[at])
-                yield pa.record_batch([pa.array(x) for x in (place, node[at], *[g[at] for g in own])], schema=pa.schema(schema))
+                made.append([place, node[at], *[g[at] for g in own]])
+                n += len(place)
+                if n >= p.keys * 2:
+                    yield packed(made)
+                    made, n = [], 0
+            if n:
+                yield packed(made)
 
     return run
 
@@ -236,7 +248,7 @@ def bucket_sizes(bags: DataFrame, ranks: tuple[np.ndarray, np.ndarray], p: NearD
     """From a sample of bags: keys, sorted, of buckets that hold about 2 x hot_rows rows or more, with the chunks to part each
     into; and about how many rows all buckets hold."""
     some = bags.select("node", "els", "sides").where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(p.sampled)) == 0)
-    rows = some.mapInArrow(map_side(p, ranks), ROW_DDL).select(_bucket().alias("bucket"))
+    rows = some.mapInArrow(map_side(p, ranks, 0), "bucket long")
     counts = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket-sizes")
     total = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]) * p.sampled
     top = counts.where(F.col("c") * p.sampled >= 2 * p.hot_rows).orderBy(F.desc("c"), "bucket").limit(p.hot_keys).toArrow()
@@ -246,11 +258,11 @@ def bucket_sizes(bags: DataFrame, ranks: tuple[np.ndarray, np.ndarray], p: NearD
     return (key[by], chunks[by]), total
 
 
-def bucket_pairs(place: np.ndarray, node: np.ndarray, grp: np.ndarray | None, seen: int, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(place: np.ndarray, node: np.ndarray, grp: np.ndarray | None, p: NearDupParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one bucket, of different nodes and grp, whose sizes and sketches allow them to be close, as blocks.
 
     Rows are sorted by bucket, and by grp if given: a row then meets the rows behind the last one of its grp, so rows of one grp
-    are never compared. Pairs of the first `seen` rows are left out.
+    are never compared.
     """
     n, bucket = len(place), place >> 24
     behind = np.arange(1, n + 1)
@@ -258,9 +270,8 @@ def bucket_pairs(place: np.ndarray, node: np.ndarray, grp: np.ndarray | None, se
         last = np.r_[np.flatnonzero((bucket[1:] != bucket[:-1]) | (grp[1:] != grp[:-1])), n - 1]
         behind = last[np.searchsorted(last, np.arange(n))] + 1
     end = np.searchsorted(bucket, bucket, side="right")
-    begin = np.maximum(behind, seen)
-    live = np.flatnonzero(begin < end)
-    other = begin[live]
+    live = np.flatnonzero(behind < end)
+    other = behind[live]
     size, block, sides, sketch = (place >> 4) & WIDE, (place >> 2) & 3, place & 3, node.view(np.uint64) >> np.uint64(16)
     while len(live):
         allowed = _allowed(size[live], size[other], p)
@@ -275,21 +286,8 @@ def bucket_pairs(place: np.ndarray, node: np.ndarray, grp: np.ndarray | None, se
         live, other = live[keep], other[keep]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
-    """Columns of several batches at a time."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield [_np(c) for c in pa.Table.from_batches(held).columns]
-            held, n = [], 0
-    if n:
-        yield [_np(c) for c in pa.Table.from_batches(held).columns]
-
-
 def reduce_side(p: NearDupParams):
-    """Pairs over rows sorted by bucket. The rows of a bucket that goes on in the next batch are carried over.
+    """Pairs over all packs of a task, about task_rows rows.
 
     Sided pairs come as (node of side 1, node of side 2), others with the smaller node first.
     """
@@ -303,25 +301,27 @@ def reduce_side(p: NearDupParams):
         return pa.record_batch([pa.array(xa), pa.array(xb)], schema=PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for rows in _gathered(batches, p.gather):
-            seen = 0
-            if carry is not None:
-                seen, rows = len(carry[0]), [np.concatenate(x) for x in zip(carry, rows)]
-            place, node = rows[:2]
-            new = np.r_[True, (place[1:] != place[:-1]) | (node[1:] != node[:-1])]
-            place, node, *own = rows = [x[new] for x in rows]
-            bucket = place >> 24
-            carry = [x[np.searchsorted(bucket, bucket[-1]) :] for x in rows]
-            found, n = [], 0
-            for i, j in bucket_pairs(place, node, own[0] if own else None, seen, p):
-                found.append((i, j))
-                n += len(i)
-                if n >= p.keys:
-                    yield out(found, node, place & 3)
-                    found, n = [], 0
-            if n:
+        packs = []
+        for batch in batches:
+            packs += [np.frombuffer(x, np.int64).reshape(-1, n) for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        if not packs:
+            return
+        rows = list(np.concatenate(packs, axis=1))
+        packs.clear()
+        by = np.lexsort((rows[1], rows[0])) if len(rows) == 2 else np.lexsort((rows[1], rows[0], rows[2], rows[0] >> 24))
+        rows = [x[by] for x in rows]
+        place, node = rows[:2]
+        new = np.r_[True, (place[1:] != place[:-1]) | (node[1:] != node[:-1])]
+        place, node, *own = [x[new] for x in rows]
+        found, n = [], 0
+        for i, j in bucket_pairs(place, node, own[0] if own else None, p):
+            found.append((i, j))
+            n += len(i)
+            if n >= p.keys:
                 yield out(found, node, place & 3)
+                found, n = [], 0
+        if n:
+            yield out(found, node, place & 3)
 
     return run
 
@@ -335,10 +335,9 @@ def candidate_pairs(table: DataFrame, p: NearDupParams = NearDupParams(), sides:
     bags = table.select("node", "els", (F.lit(3) if sides is None else sides).cast("long").alias("sides"), *own)
     ranks = element_ranks(table, p)
     hot, total = bucket_sizes(bags, ranks, p)
-    rows = bags.mapInArrow(map_side(p, ranks, hot), GROUPED_DDL if grp else ROW_DDL)
     tasks = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // p.task_rows), min(p.least_tasks, total * 32 // p.task_rows))
-    order = [_bucket(), "grp", "place", "node"] if grp else ["place", "node"]
-    return rows.repartition(tasks, _bucket()).sortWithinPartitions(*order).mapInArrow(reduce_side(p), PAIR_DDL).distinct()
+    packs = bags.mapInArrow(map_side(p, ranks, tasks, hot), PACK_DDL)
+    return packs.repartitionById(tasks, F.col("part")).mapInArrow(reduce_side(p), PAIR_DDL).distinct()
 
 
 def _close(na: Column, nb: Column, common: Column, p: NearDupParams) -> Column:

@@ -122,7 +122,7 @@ def test_large_buckets_batches_and_partitions_change_nothing(spark, data):
     few = spark.read.parquet(f"{data}/pairs.parquet").where("question is not null")
     t = question_table(few, "pair_id", "question")
     want = result(near.close_records(t))
-    small = near.NearDupParams(hot_rows=2, sampled=1, keys=50, gather=7)
+    small = near.NearDupParams(hot_rows=2, sampled=1, keys=50, task_rows=64)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
