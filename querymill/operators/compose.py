@@ -155,6 +155,23 @@ def drop_reason(question: Column, sql: Column) -> Column:
     )
 
 
+def variants_of(df: DataFrame, sql: str, catalog: Catalog) -> DataFrame:
+    """(base, kind, text): the contrast variants of every distinct statement, in Arrow batches. Text outside the dialect has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for text in b["s"]:
+                try:
+                    s = parse(text)
+                    rows += [(text, kind, v.render(catalog)) for kind, v in contrast_variants(s, catalog)]
+                except (DialectError, KeyError):
+                    continue
+            yield pd.DataFrame(rows, columns=["base", "kind", "text"])
+
+    return df.select(F.col(sql).alias("s")).where("s is not null").distinct().mapInPandas(run, "base string, kind string, text string")
+
+
 def contrast_variants(s: Statement, catalog: Catalog) -> list[tuple[str, Statement]]:
     """Statements that differ from s in one respect: projection, comparison, ordering or LIKE mode."""
     from dataclasses import replace

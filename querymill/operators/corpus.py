@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words for small numbers, and words that name columns or operators in place of natural wording.
-NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+# Number words that stand in place of digits ("one" is everyday wording and no number word), and wordings that
+# replace a literal by another one.
+NUMBER_WORDS = [
+    "zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen",
+    "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred",
+]
+SWAPPED_WORDS = ["computer", "shoes", "sold out", "sofa"]
 SPACE = r"[ \t\r\n\f]+"
 
 
@@ -52,24 +58,17 @@ def check_reasons(question: Column, sql: Column) -> Column:
     """Hard faults of a question for its statement, as an array: empty when it passes."""
     words = F.split(F.lower(question), r"[^a-z]+")
     literals = F.filter(quoted_literals(sql), lambda x: ~x.rlike("^%|%$|^\\d{4}-"))
+    swapped = [question.rlike(rf"\b{w}\b") & ~F.contains(F.lower(sql), F.lit(f"'{w}'")) for w in SWAPPED_WORDS]
     faults = [
-        F.when(question.isNull() | (F.trim(question) == ""), "empty"),
         F.when(question != F.lower(question), "not lower case"),
         F.when(F.exists(literals, lambda x: ~F.contains(F.lower(question), x)), "literal missing"),
         F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in NUMBER_WORDS])), "number word"),
         F.when(question.rlike("[a-z]_[a-z]"), "column name"),
-        F.when(question.rlike(r"(?i)\b(select|where|group by|order by)\b"), "statement words"),
+        F.when(reduce(lambda a, b: a | b, swapped), "synonym"),
     ]
     return F.array_compact(F.array(*faults))
 
 
-def soft_flags(question: Column) -> Column:
-    """Marks that deserve a look."""
-    n = F.size(F.split(F.trim(question), r"\s+"))
-    flags = [F.when(n < 4, "short"), F.when(n > 40, "long"), F.when(question.rlike(r"[!?]{2,}|\.\.\."), "marks"), F.when(question.rlike(r"\b(\w+) \1\b"), "word repeated")]
-    return F.array_compact(F.array(*flags))
-
-
 def skeleton(question: Column, sql: Column) -> Column:
     """The question with each literal of its statement replaced by <V>."""
     literals = F.concat(F.transform(quoted_literals(sql), lambda x: F.lower(x)), F.regexp_extract_all(sql, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)))
@@ -98,10 +97,11 @@ def drop_conflicts(df: DataFrame, text: Column, label: Column) -> DataFrame:
 
 
 def template_reuse(df: DataFrame, shape: Sequence[str], key: str, skeleton_col: str) -> DataFrame:
-    """Per shape: questions, and the share whose skeleton was first seen under another key."""
-    first = df.groupBy(*shape, skeleton_col).agg(F.min(key).alias("first_key"))
-    joined = df.join(first, [*shape, skeleton_col])
-    return joined.groupBy(*shape).agg(F.count(F.lit(1)).alias("n_questions"), F.round(F.avg((F.col(key) != F.col("first_key")).cast("int")), 4).alias("reuse"))
+    """Per shape: questions, and the share whose skeleton was first seen under another key. Rows are counted by skeleton and
+    key first, so nothing is joined back to them."""
+    per = df.groupBy(*shape, skeleton_col, key).agg(F.count(F.lit(1)).alias("__n"))
+    first = per.groupBy(*shape, skeleton_col).agg(F.sum("__n").alias("__all"), F.min_by("__n", key).alias("__own"))
+    return first.groupBy(*shape).agg(F.sum("__all").alias("n_questions"), F.round(1 - F.sum("__own") / F.sum("__all"), 4).alias("reuse"))
 
 
 def contamination(df: DataFrame, key: Column, banned: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.operators.ranking import hash_rank
+from querymill.dialect.rules import is_iso_date
+from querymill.operators.ranking import hash_rank, largest_remainder
 from querymill.operators.sampling import product, seeded
 
 
@@ -21,6 +22,9 @@ class ShopConfig:
     item_ids: tuple[int, int] = (3000, 3999)
     order_ids: tuple[int, int] = (5000, 14999)
     floor: int = 20
+    zero_stock: int = 10
+    dates: tuple[str, str] = ("2025-01-01", "2026-12-31")
+    held_dates: float = 0.05
     seed: int = 42
 
     def problems(self) -> list[str]:
@@ -31,16 +35,52 @@ class ShopConfig:
                 out.append(f"{name}: {n} rows in {hi - lo + 1} ids")
         if self.orders < max(self.customers, self.items):
             out.append("orders cannot cover every customer and item")
+        kinds = {"cities": (3, self.customers), "memberships": (3, self.customers), "categories": (3, self.items), "states": (4, self.orders)}
+        out += [f"{k}: {n} x {self.floor} rows of {rows}" for k, (n, rows) in kinds.items() if n * self.floor > rows]
+        if self.zero_stock > self.items:
+            out.append("more sold-out items than items")
+        if not all(map(is_iso_date, self.dates)) or self.dates[0] > self.dates[1]:
+            out.append("dates are ISO days, the first not after the last")
+        if not 0 <= self.held_dates < 1:
+            out.append("the share of held-out dates is from 0 to below 1")
         return out
 
 
+#: Sizes of shops by name.
+PRESETS = {
+    "small": ShopConfig(80, 40, 150, (100, 399), (400, 699), (700, 999), floor=5, zero_stock=3),
+    "large": ShopConfig(),
+    "aggregate": ShopConfig(600, 400, 6000, order_ids=(5000, 14999), floor=50, zero_stock=26),
+}
+
+
+def preset(name: str, **overrides) -> ShopConfig:
+    """A preset with some values replaced."""
+    return replace(PRESETS[name], **overrides)
+
+
 def sample_ids(spark: SparkSession, lo: int, hi: int, n: int, seed: int | str, name: str) -> DataFrame:
     """n distinct ids of a range."""
     return spark.range(lo, hi + 1).withColumnRenamed("id", name).orderBy(seeded(seed, name), name).limit(n)
 
 
-def balanced(df: DataFrame, key: str, values: Sequence[str], floor: int, name: str, seed: int | str) -> DataFrame:
-    """Adds a column in which every value has at least floor rows (if they suffice); the rest falls by hash."""
+def balanced(df: DataFrame, key: str, values: Sequence[str], floor: int, name: str, seed: int | str, caps: dict[str, int] | None = None) -> DataFrame:
+    """Adds a column in which every value has at least floor rows (if they suffice) and at most its cap; the rest falls by hash.
+
+    caps: value -> most rows. What a capped value cannot take goes to the others; ValueError when the caps leave too little room.
+    """
+    if caps:
+        n = df.count()
+        room = [min(caps.get(v, n), n) for v in values]
+        if sum(room) < n or any(floor > r for r in room):
+            raise ValueError("caps leave too little room")
+        shares = largest_remainder([1.0] * len(values), n, [floor] * len(values), room)
+        ends, at = [], 0
+        for v, k in zip(values, shares):
+            at += k
+            ends.append((v, at))
+        chosen = F.coalesce(*[F.when(F.col("__r") <= end, F.lit(v)) for v, end in ends])
+        return hash_rank(df, [], seeded(seed, key), [key], "__r").withColumn(name, chosen).drop("__r")
     k = len(values)
     ranked = hash_rank(df, [], seeded(seed, key), [key], "__r").withColumn("__r", F.col("__r") - 1)
     pick = F.when(F.col("__r") < floor * k, F.col("__r") % k).otherwise(F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(k)))
@@ -79,6 +119,13 @@ def holdout(df: DataFrame, key: str, n_rows: int, n_ids: int, seed: int | str) -
     return ranked.where(F.col("r") <= n_rows + n_ids).select(key, F.when(F.col("r") <= n_rows, "row").otherwise("id_only").alias("tier"))
 
 
+def held_dates(orders: DataFrame, share: float, seed: int | str) -> DataFrame:
+    """(order_date): the share of the different dates that is held out, by seeded hash, half-even."""
+    days = orders.where("order_date is not null").select("order_date").distinct()
+    n = round(days.count() * share)
+    return hash_rank(days, [], seeded(seed, "order_date"), ["order_date"], "r", F.lit(n)).where(F.col("r") <= n).select("order_date")
+
+
 def product_pool(df: DataFrame, column: str) -> DataFrame:
     """Two-word names that do not occur yet, from the first and second words that do."""
     parts = df.where(F.col(column).isNotNull()).select(F.split_part(column, F.lit(" "), F.lit(1)).alias("a"), F.split_part(column, F.lit(" "), F.lit(2)).alias("b"))

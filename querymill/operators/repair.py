@@ -74,16 +74,16 @@ def repair_statements(df: DataFrame, key: str, sql: str, catalog: Catalog) -> Da
 
 
 def parsed_statements(df: DataFrame, key: str, sql: str, catalog: Catalog) -> DataFrame:
-    """(key, table_name, query_kind, select_cols, conn, n_conds, row_limit, skeleton, canonical, violations): nulls for text outside the dialect."""
-    ddl = "table_name string, query_kind string, select_cols string, conn string, n_conds int, row_limit int, skeleton string, canonical string, violations array<string>"
+    """(key, table_name, query_kind, select_cols, conn, n_conds, row_limit, skeleton, canonical, signature, violations): nulls for text outside the dialect."""
+    ddl = "table_name string, query_kind string, select_cols string, conn string, n_conds int, row_limit int, skeleton string, canonical string, signature string, violations array<string>"
 
     def one(t: str | None) -> tuple:
         try:
             s = parse(t or "")
             c = s.canonical(catalog)
-            return s.table, s.kind, s.output, c.conn, len(s.conds), s.limit, c.skeleton(catalog), c.render(catalog), violations(s, catalog)
+            return s.table, s.kind, s.output, c.conn, len(s.conds), s.limit, c.skeleton(catalog), c.render(catalog), c.signature(), violations(s, catalog)
         except (DialectError, KeyError):
-            return (None,) * 8 + (["outside the dialect"],)
+            return (None,) * 9 + (["outside the dialect"],)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in ddl.split(", ")]

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
@@ -60,3 +60,17 @@ def read_responses(df: DataFrame, key: str, raw: str) -> DataFrame:
 
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("k"), F.col(raw).alias("r")).mapInPandas(run, f"k {kind}, how string, id long, questions array<string>").withColumnRenamed("k", key)
+
+
+def read_response_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, errors, repeated) of a folder of answer files, in the order of their names.
+
+    answers: (id, questions), of an id that occurs in several files, or several times in one, the last one; errors: (file,
+    reason) of files without a readable answer; repeated: (id, n) of ids that were overwritten.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.col("value").alias("raw"))
+    rows = read_responses(files, "file", "raw").withColumn("n", F.monotonically_increasing_id())
+    found = rows.where("id is not null")
+    answers = found.groupBy("id").agg(F.max_by("questions", F.struct("file", "n")).alias("questions"))
+    errors = rows.where("id is null").select("file", F.col("how").alias("reason"))
+    return answers, errors, found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -9,24 +9,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Phrase rules applied in this order.
+# Phrase rules (pattern, replacement), applied in this order; comparators like max and min are left out on purpose.
+MEASURE = r"((?:ordered\s+)?(?:quantity|stock(?:\s+(?:level|units?))?|price))"
 PHRASES = (
-    ("no less than", "at least"), ("not less than", "at least"), ("no fewer than", "at least"), ("no more than", "at most"), ("not more than", "at most"),
-    ("greater than or equal to", "at least"), ("less than or equal to", "at most"), ("sold out", "out of stock"), ("nothing left", "out of stock"),
-)
-SYMBOLS = ((">=", " at least "), ("<=", " at most "), ("!=", " not "), (">", " more than "), ("<", " less than "), ("=", " equals "))
+    (r"\brecord\s+counts?\b", "row count"),
+    (r"\bnumber\s+of\s+records\b", "number of rows"),
+    (r"\barithmetic\s+mean\s+of\b", "average"),
+    (r"\bmean\s+value\s+of\b", "average"),
+    (r"\bavg\.?\s+of\b", "average"),
+    (r"\bavg\b", "average"),
+    (r"\bqty\b", "quantity"),
+    (r"\basc\b", "ascending"),
+    (r"\bdesc\b", "descending"),
+    (rf"\bcombined\s+{MEASURE}\b", "total $1"),
+    (rf"\blargest\s+{MEASURE}\b", "highest $1"),
+    (rf"\bsmallest\s+{MEASURE}\b", "lowest $1"),
+)
+# Comparison signs, read only where no other sign touches them.
+SYMBOLS = ((">=", "at least"), ("<=", "at most"), ("!=", "not equal to"), (">", "more than"), ("<", "less than"), ("=", "equal to"))
 
 
 def phrase_rules(text: Column, rules: Sequence[tuple[str, str]] = PHRASES) -> Column:
-    for a, b in rules:
-        text = F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}]){re.escape(a)}(?![\p{{L}}\p{{N}}])", b)
+    for pattern, new in rules:
+        text = F.regexp_replace(text, f"(?i){pattern}", new)
     return text
 
 
 def symbol_rules(text: Column) -> Column:
-    for a, b in SYMBOLS:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    for sign, new in SYMBOLS:
+        text = F.regexp_replace(text, rf"\s*(?<![<>=!]){re.escape(sign)}(?![<>=!])\s*", f" {new} ")
+    return text
 
 
 def replace_word(text: Column, old: Column, new: Column) -> Column:
@@ -43,13 +55,31 @@ def finish(text: Column) -> Column:
     return F.regexp_replace(t, r"\b1 (unit|item|piece|order|row)s\b", "1 $1")
 
 
+# Styles with their shares, and the openings that tell them.
+STYLE_SHARES = {"common": 0.70, "conversational": 0.20, "contextual": 0.10}
+CONTEXTUAL = r"^(?:for (?:an?|my|our) |i(?: am|'m) (?:working|reviewing|preparing|checking)|we (?:are|need)|as part of)"
+CONVERSATIONAL = r"^(?:(?:can|could|would|will) you\b|(?:hey|hi|any chance|i'd like|i would like|let's|let me)\b)"
+
+
 def style_of(text: Column) -> Column:
-    """Style from the leading words."""
+    """Style by the opening words."""
     t = F.lower(F.trim(text))
-    return (
-        F.when(t.rlike("^(show|list|give|find|get|return|name)\\b"), "command").when(t.rlike("^(what|which|who|how|when|where|is|are|do|does)\\b"), "question")
-        .when(t.rlike("^(i|we|our|my|please|could|can)\\b"), "request").otherwise("telegram")
-    )
+    return F.when(t.rlike(CONTEXTUAL), "contextual").when(t.rlike(CONVERSATIONAL), "conversational").otherwise("common")
+
+
+def styled_picks(entries: DataFrame, role: str, key: str, style: str, shares: Mapping[str, float] = STYLE_SHARES, seed: int = 42) -> DataFrame:
+    """(role, key, style): one entry for each role. A style is drawn first, by the shares of the styles the role has, scaled
+    to 1, then an entry of that style by seeded hash. Styles without share are never drawn; roles and styles must not be null."""
+    weight = F.coalesce(*[F.when(F.col(style) == s, F.lit(w)) for s, w in shares.items()], F.lit(0.0))
+    best = entries.where(F.col(role).isNotNull() & F.col(style).isNotNull()).groupBy(role, style).agg(
+        F.min(F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("h"), F.col(key).alias("k"))).alias("m")
+    )
+    rows = best.withColumn("w", weight).where("w > 0").groupBy(role).agg(F.array_sort(F.collect_list(F.struct(F.col(style).alias("s"), "w", F.col("m.k").alias("k")))).alias("a"))
+    total = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["w"])
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:style"), F.col(role).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    at = lambda i: F.aggregate(F.slice("a", F.lit(1), i + 1), F.lit(0.0), lambda acc, x: acc + x["w"])
+    chosen = F.filter("a", lambda x, i: at(i) > u * total)[0]
+    return rows.select(role, chosen["k"].alias(key), chosen["s"].alias(style))
 
 
 def merged_spans(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -68,23 +98,44 @@ def first_spans(spans: Column) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), keep)
 
 
-PROTECT = re.compile(r"'[^']*'|\"[^\"]*\"|\d[\d.,:-]*|(?:starts?|begins?|ends?|contains?|containing) (?:with )?\S+", re.I)
+# What is never rewritten; a group named value is protected alone.
+LETTERS = r"(?:(?:the\s+)?(?:letters?|characters?|text|string|substring|fragment)\s+)?"
+PROTECT = tuple(re.compile(p, re.I) for p in (
+    r"'[^']*'|\"[^\"]*\"",
+    r"\d[\d.,:-]*",
+    rf"\b(?:start|begin|end|finish)(?:s|es|ing|ning)?\s+(?:(?:with|in)\s+)?{LETTERS}(?P<value>[a-z]+)\b",
+    rf"\bcontain(?:s|ing)?\s+{LETTERS}(?P<value>[a-z]+)\b",
+    r"\b(?:prefix|suffix)\s+(?:of\s+)?(?P<value>[a-z]+)\b",
+    r"\b(?:letters?|characters?|substring)\s+(?P<value>[a-z]+)\b",
+    r"(?<!\w)(?P<value>[%*][a-z]+[%*]?|[a-z]+[%*])(?!\w)",
+    r"\b(?P<value>[a-z]+)\s+(?:anywhere|somewhere)\s+(?:in|within)\b",
+    r"\b(?P<value>[a-z]+)\s+at\s+(?:the\s+)?(?:start|end|beginning)\b",
+))
+
+
+def map_profiles(words: Mapping[str, tuple[str, int]]) -> dict[str, tuple[dict[str, tuple[str, int]], tuple[tuple[str, str], ...]]]:
+    """The four profiles of a rewriting: the word map, the phrase rules, both, and both with comparison signs."""
+    signs = tuple((rf"\s*(?<![<>=!]){re.escape(sign)}(?![<>=!])\s*", f" {new} ") for sign, new in SYMBOLS)
+    return {"domain": (dict(words), ()), "phrases": ({}, PHRASES), "combined": (dict(words), PHRASES), "combined_symbols": (dict(words), PHRASES + signs)}
 
 
 class Normaliser:
     """Rewrites words by a map word -> (target, distance), outside protected spans and catalog values."""
 
     def __init__(self, words: Mapping[str, tuple[str, int]], catalog: Sequence[str] = (), keep: Sequence[str] = (), rules: Sequence[tuple[str, str]] = PHRASES):
-        bad = [w for w, (_, dist) in words.items() if w in set(keep) or dist < 0]
+        bad = [w for w, (_, dist) in words.items() if w in set(keep) or not isinstance(dist, int) or dist < 0]
         if bad:
-            raise ValueError(f"the map rewrites kept words: {sorted(bad)[:5]}")
+            raise ValueError(f"the map rewrites kept words or has no whole distance: {sorted(bad)[:5]}")
+        lost = sorted(w for w, (target, _) in words.items() if keep and target not in set(keep))
+        if lost:
+            raise ValueError(f"targets are not among the kept words: {lost[:5]}")
         self.words, self.rules = dict(words), tuple(rules)
         self.phrases = set(c.lower() for c in catalog)
         self.longest = max((len(c.split()) for c in self.phrases), default=0)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Protected spans: quotes, numbers, pattern cues, and the longest catalog phrases."""
-        out = [m.span() for m in PROTECT.finditer(text)]
+        out = [m.span("value" if "value" in p.groupindex else 0) for p in PROTECT for m in p.finditer(text)]
         tokens = [m for m in re.finditer(r"\S+", text)]
         i = 0
         while i < len(tokens):
@@ -117,8 +168,8 @@ class Normaliser:
 
     def _free(self, part: str) -> tuple[str, int]:
         n = 0
-        for a, b in self.rules:
-            part, k = re.subn(rf"(?i)(?<!\w){re.escape(a)}(?!\w)", b, part)
+        for pattern, new in self.rules:
+            part, k = re.subn(f"(?i){pattern}", new.replace("$", "\\"), part)
             n += k
 
         def one(m: re.Match) -> str:

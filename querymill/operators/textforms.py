@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from querymill.dialect.catalog import Catalog
 from querymill.functions.text import let
 
 
+def projection_role(table: Column, select: Column, conds: Column, catalog: Catalog) -> Column:
+    """What a projection shows: *, a condition's column, the identifying column, the own id, or an attribute."""
+    of = lambda f: F.coalesce(*[F.when(table == t.name, F.lit(getattr(t, f))) for t in catalog.tables.values()])
+    cols = F.transform(F.coalesce(conds, F.array()), lambda c: c["col"])
+    return F.when(select == "*", "*").when(F.array_contains(cols, select), "cond_col").when(select == of("ident"), "ident").when(select == of("own_id"), "own_id").otherwise("attr")
+
+
 def like_mode(pattern: Column) -> Column:
     """prefix, suffix, contains or exact."""
     head, tail = pattern.startswith("%"), pattern.endswith("%")
@@ -29,10 +37,16 @@ def literal(value: Column, kind: Column) -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """A number with at most six significant digits and no trailing zeros, without exponent below a million."""
+    """A number with at most six significant digits and no trailing zeros; with an exponent from a million on and below 0.0001."""
     digits = F.greatest(5 - F.floor(F.log10(F.abs(x))), F.lit(0)).cast("int")
     text = F.format_string("%.6f", F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)))
-    return F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    plain = F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    # the exponent form: mantissa of five decimals without trailing zeros, sign and two digits or more
+    written = F.format_string("%.5e", x.cast("double"))
+    mantissa = F.rtrim(F.rtrim(F.split_part(written, F.lit("e"), F.lit(1)), F.lit("0")), F.lit("."))
+    exponent = F.split_part(written, F.lit("e"), F.lit(2))
+    far = (x != 0) & ((exponent.cast("int") >= 6) | (exponent.cast("int") < -4))
+    return F.when(x.isNull(), None).when(far, F.concat(mantissa, F.lit("e"), exponent)).otherwise(plain)
 
 
 def masked(text: Column) -> Column:

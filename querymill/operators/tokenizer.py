@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,6 +108,59 @@ def decode(ids: list[int], merges: Sequence[tuple[int, int, int]], seeds: dict[s
         return None
 
 
+def seed_problems(seeds: Sequence[str]) -> list[str]:
+    """Why seed words cannot be used: repeated, shorter than two characters, or with blanks around them."""
+    out = ["repeated seeds"] if len(set(seeds)) < len(seeds) else []
+    return out + [f"too short: {s!r}" for s in seeds if len(s) < 2] + [f"blanks around: {s!r}" for s in seeds if s != s.strip()]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where a vocabulary has its ids: bytes below 256, special ids, seeds from seed_base on, merges from merge_base on."""
+
+    pad: int
+    bos: int
+    eos: int
+    sep: int
+    seed_base: int
+    merge_base: int
+    seeds: tuple[str, ...] = ()
+
+    def problems(self, vocabulary: int) -> list[str]:
+        """What contradicts the contract; empty for a sound layout."""
+        special = {"pad": self.pad, "bos": self.bos, "eos": self.eos, "sep": self.sep}
+        ids = [*special.values(), self.seed_base, self.merge_base]
+        if any(type(i) is not int or i < BASE for i in ids):
+            return ["ids must be whole numbers from 256 on"]
+        seed_ids = range(self.seed_base, self.seed_base + len(self.seeds))
+        checks = {
+            "ranges exceed the vocabulary": not self.seed_base <= self.merge_base <= vocabulary,
+            "seeds reach into the merges": len(self.seeds) > self.merge_base - self.seed_base,
+            "seeds must be ASCII of two bytes or more without blanks around": any(not s.isascii() or "\0" in s for s in self.seeds) or bool([x for x in seed_problems(self.seeds) if x != "repeated seeds"]),
+            "repeated seeds": len(set(self.seeds)) < len(self.seeds),
+            "special ids are not different": len(set(special.values())) < len(special),
+            "special ids lie in other ranges": any(i >= self.merge_base or i in seed_ids for i in special.values()),
+        }
+        return [reason for reason, broken in checks.items() if broken]
+
+
+def round_trip_report(df: DataFrame, key: str, text: str, merges: Sequence[tuple[int, int, int]], seeds: dict[str, int], wanted: int) -> DataFrame:
+    """One row: texts, texts that encoding and decoding change, mean and most tokens, merges, and whether pairs ran out before
+    the wanted number of merges. Null texts are left out; an empty text has 0 tokens."""
+    given = df.where(F.col(text).isNotNull()).select(key, text)
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = [list(x) if x is not None else [] for x in b["ids"]]
+            yield pd.DataFrame({"n": [len(x) for x in ids], "bad": [decode([int(i) for i in x], merges, seeds) != t for x, t in zip(ids, b["t"])]})
+
+    coded = given.join(encode(given, key, text, merges, seeds), key, "left").select(F.col(text).alias("t"), "ids").mapInPandas(check, "n long, bad boolean")
+    return coded.agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_if("bad").alias("n_errors"), F.round(F.avg("n"), 4).alias("mean_tokens"), F.max("n").alias("most_tokens"),
+        F.lit(len(merges)).alias("n_merges"), F.lit(len(merges) < wanted).alias("exhausted"),
+    )
+
+
 def framed(question: Column, statement: Column, bos: int, sep: int, eos: int) -> tuple[Column, Column]:
     """[bos] question [sep] statement [eos], and where the statement begins (from 0)."""
     one = lambda i: F.array(F.lit(i))

@@ -75,7 +75,7 @@ def literal_in_text(spark: SparkSession, d: str) -> DataFrame:
     return p.join(names, "item_name").where(C.word_literal(F.col("question"), F.col("item_name"))).groupBy("item_name").agg(F.count(F.lit(1)).alias("n_questions"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x IN ('one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve'))) AS n_number_words FROM documents")
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x IN ('zero','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety','hundred'))) AS n_number_words FROM documents")
 def number_word_flags(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x.isin(C.NUMBER_WORDS))
     return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_number_words"))
@@ -87,18 +87,20 @@ def missing_numerals(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pair_id", C.missing_numerals(F.col("question"), F.col("sql")).alias("missing")).where(F.size("missing") > 0)
 
 
-@query()
+HARD = f"""
+WITH p AS (SELECT question AS q, sql AS s, string_split_regex(lower(question), '[^a-z]+') AS ws, list_filter(regexp_extract_all(sql, '\'\'([^\'\']*)\'\'', 1), lambda x: NOT regexp_matches(x, '^%|%$|^[0-9]{{4}}-')) AS ls FROM pairs),
+r AS (SELECT CASE WHEN q <> lower(q) THEN 'not lower case' END AS reason FROM p UNION ALL SELECT CASE WHEN len(list_filter(ls, lambda x: strpos(lower(q), x) = 0)) > 0 THEN 'literal missing' END FROM p WHERE q IS NOT NULL
+ UNION ALL SELECT CASE WHEN list_has_any(ws, [{", ".join("'" + w + "'" for w in C.NUMBER_WORDS)}]) THEN 'number word' END FROM p UNION ALL SELECT CASE WHEN regexp_matches(q, '[a-z]_[a-z]') THEN 'column name' END FROM p
+ UNION ALL SELECT CASE WHEN {" OR ".join(f"(regexp_matches(q, '{chr(92)}b{w}{chr(92)}b') AND strpos(lower(s), {chr(39) * 3}{w}{chr(39) * 3}) = 0)" for w in C.SWAPPED_WORDS)} THEN 'synonym' END FROM p)
+SELECT reason, count(*) AS n_rows FROM r WHERE reason IS NOT NULL GROUP BY 1"""
+
+
+@query(HARD)
 def hard_check_reasons(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pairs")
     return C.reason_histogram(p.select(C.check_reasons(F.col("question"), F.col("sql")).alias("reasons")), "reasons")
 
 
-@query()
-def soft_flag_counts(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pairs").where("question is not null")
-    return C.reason_histogram(p.select(C.soft_flags(F.col("question")).alias("reasons")), "reasons")
-
-
 @query("""
 SELECT platform, persona, count(*) AS n_rows, round(avg(CASE WHEN question = lower(question) THEN 1 ELSE 0 END), 4) AS pass_rate
 FROM pairs WHERE question IS NOT NULL GROUP BY 1, 2""")

@@ -14,7 +14,9 @@ from querymill.operators import generate as G
 from querymill.operators import profile as P
 from querymill.operators import repair as R
 from querymill.operators import textforms as T
+from querymill.operators.execute import statement_results
 from querymill.plans.base import query, table
+from querymill.session import materialize
 
 
 @query("SELECT query_id, table_name, conn, row_limit, len(conds) AS n_conds FROM query_records WHERE table_name IS NOT NULL AND query_kind IS NOT NULL AND query_kind NOT IN ('subquery') AND sql IS NOT NULL")
@@ -54,17 +56,17 @@ def like_modes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT query_id, CASE WHEN select_cols = '*' THEN '*' WHEN list_contains(list_transform(coalesce(conds, []), lambda c: c.col), select_cols) THEN 'cond_col' WHEN select_cols = CASE table_name WHEN 'customers' THEN 'name' WHEN 'items' THEN 'item_name' ELSE 'order_id' END THEN 'ident' WHEN select_cols = CASE table_name WHEN 'customers' THEN 'customer_id' WHEN 'items' THEN 'item_id' ELSE '' END THEN 'own_id' ELSE 'attr' END AS role FROM query_records WHERE select_cols IS NOT NULL AND table_name IS NOT NULL")
 def projection_roles(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_records").where("select_cols is not null and table_name is not null")
-    ident = F.coalesce(*[F.when(F.col("table_name") == t.name, F.lit(t.ident)) for t in SHOP.tables.values()])
-    own = F.coalesce(*[F.when(F.col("table_name") == t.name, F.lit(t.own_id)) for t in SHOP.tables.values()])
-    s, cols = F.col("select_cols"), F.transform(F.coalesce("conds", F.array()), lambda c: c["col"])
-    return q.select("query_id", F.when(s == "*", "*").when(F.array_contains(cols, s), "cond_col").when(s == ident, "ident").when(s == own, "own_id").otherwise("attr").alias("role"))
+    return q.select("query_id", T.projection_role(F.col("table_name"), F.col("select_cols"), F.col("conds"), SHOP).alias("role"))
 
 
-@query("SELECT count(*) AS n_changed FROM query_records WHERE FALSE")
+BARE = "regexp_replace(sql, '''[^'']*''', chr(1), 'g')"
+
+
+@query(f"SELECT query_id, sql AS restored, len(regexp_extract_all({BARE}, chr(1))) + len(regexp_extract_all(regexp_replace({BARE}, '[A-Za-z_][A-Za-z0-9_]*', '', 'g'), '[0-9]+(?:[.][0-9]+)?')) AS n_slots FROM query_records WHERE sql IS NOT NULL")
 def masks_restored(spark: SparkSession, d: str) -> DataFrame:
-    """Statements that masking and restoring their literals would change: none."""
+    """Statements masked and restored, with the number of their literals."""
     q = table(spark, d, "query_records").where("sql is not null").withColumn("m", T.masked(F.col("sql")))
-    return q.where(T.unmasked(F.col("m.mask"), F.col("m.literals")) != F.col("sql")).agg(F.count(F.lit(1)).alias("n_changed"))
+    return q.select("query_id", T.unmasked(F.col("m.mask"), F.col("m.literals")).alias("restored"), F.size("m.literals").cast("long").alias("n_slots"))
 
 
 @query("""
@@ -129,8 +131,7 @@ def replacement_pool(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round(sum(value * (event_type = 'purchase')::INT) / nullif(sum((event_type = 'purchase')::INT), 0), 4) AS masked_mean FROM events")
 def masked_mean(spark: SparkSession, d: str) -> DataFrame:
-    m = (F.col("event_type") == "purchase").cast("int")
-    return table(spark, d, "events").agg(F.round(F.sum(F.col("value") * m) / F.nullif(F.sum(m), F.lit(0)), 4).alias("masked_mean"))
+    return table(spark, d, "events").agg(F.round(E.masked_mean(F.col("value"), F.col("event_type") == "purchase"), 4).alias("masked_mean"))
 
 
 @query("""
@@ -161,14 +162,10 @@ def generated_holdout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contrast_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of some sorted and compared statements that differ observably from their base."""
-    bases = ("SELECT item_name FROM items WHERE price < 20.00 ORDER BY price ASC, item_id ASC LIMIT 5", "SELECT item_name FROM items WHERE item_name LIKE '%oo%'", "SELECT city FROM customers WHERE membership = 'plus'")
-    rows = []
-    for b in bases:
-        s = parse(b)
-        rows += [(b, "base", b)] + [(b, kind, v.render(SHOP)) for kind, v in K.contrast_variants(s, SHOP)]
-    variants = spark.createDataFrame(rows, "base string, kind string, text string")
-    digests = E.statement_digests(spark, [r[2] for r in rows], SHOP, d)
+    """Variants of every record's statement that differ observably from it."""
+    variants = materialize(K.variants_of(table(spark, d, "query_records"), "sql", SHOP), "variants")
+    results = statement_results(variants.select("text").unionByName(variants.select(F.col("base").alias("text"))), SHOP, d)
+    digests = results.select("text", "digest").where("digest is not null")
     own = digests.select(F.col("text").alias("base"), F.col("digest").alias("base_digest"))
     return variants.join(digests, "text").join(own, "base").where("digest <> base_digest").select("base", "kind", "text")
 

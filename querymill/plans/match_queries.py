@@ -10,6 +10,7 @@ from querymill.functions.labels import label_key
 from querymill.operators import evaluate as E
 from querymill.operators import fuzzy as Z
 from querymill.operators import graph as G
+from querymill.operators.execute import execution_match, statement_results
 from querymill.plans.base import query, table
 
 WILSON = """round(greatest((hits / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt((hits / n) * (1 - hits / n) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n), 0), 6) AS low,
@@ -38,11 +39,16 @@ def summary_by_dimension(spark: SparkSession, d: str) -> DataFrame:
     return E.rates_by_dimensions(_scored(spark, d), ["split", "style", "persona"], "em")
 
 
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the statement they should have: of their group, else the original one, else their own."""
+    group = F.when(F.trim("sql_group") != "", F.col("sql_group"))
+    return table(spark, d, "pairs").withColumn("gold", F.coalesce(group, F.col("orig_sql"), F.col("sql"))).where("gold is not null")
+
+
 @query()
 def error_part_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Parts in which the statements of name-swapped records differ from their originals."""
-    p = table(spark, d, "pairs").where("orig_sql is not null")
-    return E.part_histogram(E.score_statements(p, "orig_sql", "sql", SHOP), "error_parts")
+    """Parts in which the statements of the records differ from those of their group, or else from their originals."""
+    return E.part_histogram(E.score_statements(_gold(spark, d), "gold", "sql", SHOP), "error_parts")
 
 
 @query()
@@ -54,11 +60,11 @@ def statement_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def execution_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Exact and execution match of name-swapped records; every distinct statement runs once."""
-    p = table(spark, d, "pairs").where("orig_sql is not null").select("pair_id", "orig_sql", "sql")
-    s = E.score_statements(p, "orig_sql", "sql", SHOP)
-    texts = [r[0] for r in p.select(F.col("sql").alias("t")).unionByName(p.select(F.col("orig_sql").alias("t"))).where("t is not null").distinct().orderBy("t").collect()]
-    return E.execution_match(s, "orig_sql", "sql", "em", E.statement_digests(spark, texts, SHOP, d)).select("pair_id", "em", "exec_match")
+    """Exact and execution match of every record's statement with that of its group; every distinct statement runs once."""
+    p = _gold(spark, d).select("pair_id", "gold", "sql")
+    s = E.score_statements(p, "gold", "sql", SHOP)
+    texts = p.select(F.col("sql").alias("text")).unionByName(p.select(F.col("gold").alias("text")))
+    return execution_match(s, "gold", "sql", "em", statement_results(texts, SHOP, d)).select("pair_id", "em", "exec_match")
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from querymill.plans.base import ORACLES, QUERIES
 
-MODULES = ("dialect_queries", "profile_queries", "corpus_queries", "sampling_queries", "match_queries", "workload_queries", "text_queries", "form_queries")
+MODULES = ("dialect_queries", "profile_queries", "corpus_queries", "sampling_queries", "match_queries", "workload_queries", "text_queries", "form_queries", "wording_queries", "draw_queries")
 for _m in MODULES:
     importlib.import_module(f"querymill.plans.{_m}")
 

@@ -92,15 +92,32 @@ def first_span_selection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(R.first_spans(spans)).alias("n_spans"))
 
 
-@query("SELECT pair_id, CASE WHEN regexp_matches(lower(trim(question)), '^(show|list|give|find|get|return|name)\\b') THEN 'command' WHEN regexp_matches(lower(trim(question)), '^(what|which|who|how|when|where|is|are|do|does)\\b') THEN 'question' WHEN regexp_matches(lower(trim(question)), '^(i|we|our|my|please|could|can)\\b') THEN 'request' ELSE 'telegram' END AS style FROM pairs WHERE question IS NOT NULL")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(f"SELECT pair_id, CASE WHEN regexp_matches(lower(trim(question)), {_sql(R.CONTEXTUAL)}) THEN 'contextual' WHEN regexp_matches(lower(trim(question)), {_sql(R.CONVERSATIONAL)}) THEN 'conversational' ELSE 'common' END AS style FROM pairs WHERE question IS NOT NULL")
 def style_inference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pairs").where("question is not null").select("pair_id", R.style_of(F.col("question")).alias("style"))
 
 
-@query()
+def _phrases(column: str) -> str:
+    for pattern, new in R.PHRASES:
+        column = f"regexp_replace({column}, {_sql(pattern)}, {_sql(new.replace('$1', chr(92) + '1'))}, 'gi')"
+    return column
+
+
+@query(f"SELECT pair_id, {_phrases('question')} AS rewritten FROM pairs WHERE question IS NOT NULL AND {_phrases('question')} <> question")
 def phrase_rewrites(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pairs").where("question is not null").select("pair_id", "question", R.finish(R.phrase_rules(F.col("question"))).alias("rewritten"))
-    return p.where("rewritten <> lower(question)").select("pair_id", "rewritten")
+    p = table(spark, d, "pairs").where("question is not null").select("pair_id", "question", R.phrase_rules(F.col("question")).alias("rewritten"))
+    return p.where("rewritten <> question").select("pair_id", "rewritten")
+
+
+@query()
+def finished_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions cleaned up after their phrases and signs are rewritten."""
+    p = table(spark, d, "pairs").where("question is not null").select("pair_id", "question", R.finish(R.symbol_rules(R.phrase_rules(F.col("question")))).alias("finished"))
+    return p.where("finished <> lower(question)").select("pair_id", "finished")
 
 
 WORDS = {"clients": ("customers", 1), "buyers": ("customers", 1), "goods": ("items", 1), "purchases": ("orders", 1), "pieces": ("quantity", 2), "cost": ("price", 1)}
@@ -174,9 +191,3 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """An extension: the stream operator over the batch table."""
     w = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return w.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", F.round("total", 4).alias("total"))
-
-
-@query()
-def label_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Records per family under one spelling of its label."""
-    return table(spark, d, "pairs").groupBy(label_key(F.col("family")).alias("family")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querymill.dialect.catalog import SHOP
-from querymill.operators import evaluate as E
 from querymill.operators import workload as W
+from querymill.operators.execute import statement_results
 from querymill.plans.base import query, table
 
 
@@ -144,8 +144,7 @@ def candidate_statements(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def candidates_that_run(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with the digest of their result: null where one is outside the dialect."""
-    texts = sorted(r["text"] for r in candidate_statements(spark, d).collect())
-    return E.statement_digests(spark, texts, SHOP, d)
+    return statement_results(candidate_statements(spark, d), SHOP, d).select("text", "digest")
 
 
 @query("""

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import gzip
+import hashlib
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +20,38 @@ style int, persona string, platform string, split string, `set` string, eval_slo
 def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
     """Files that hold one JSON array of objects each, plain or gzip, with or without byte order mark. Missing keys are null.
 
-    A row's file is in `file_name`; rows of unreadable files have all nulls in permissive mode and are dropped.
+    A row's file is in `file_name`, and `file_no` is its place in the order of names; rows of unreadable files have all nulls in
+    permissive mode and are dropped.
     """
     reader = spark.read.option("multiLine", True)
     df = (reader.schema(schema) if schema else reader).json(list(path) if not isinstance(path, str) else path)
     names = df.columns
-    return df.withColumn("file_name", F.col("_metadata.file_path")).dropna(how="all", subset=names)
+    named = df.withColumn("file_name", F.col("_metadata.file_path")).dropna(how="all", subset=names)
+    bare = lambda n: re.sub("^file:/+", "file:/", n)
+    order = spark.createDataFrame([(bare(n), i) for i, n in enumerate(sorted(df.inputFiles()))], "__f string, file_no int")
+    return named.join(order, F.regexp_replace("file_name", "^file:/+", "file:/") == F.col("__f"), "left").select(*names, "file_name", "file_no")
+
+
+def read_evaluation_set(spark: SparkSession, name: str, folder: str, combined: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """The pairs of one evaluation set: from folder/name where that folder exists, else the rows of combined with this `set`.
+
+    metadata (sql): every statement of the set must be in it (by sql_group, else sql); ValueError names one that is not, or
+    the set if nothing has it.
+    """
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        rows = read_json_array(spark, f"{folder}/{name}/*.json*", PAIR_SCHEMA)
+    elif combined is not None:
+        rows = combined.where(F.col("set") == name)
+    else:
+        raise ValueError(f"no evaluation set {name}")
+    if metadata is not None:
+        used = rows.select(F.coalesce("sql_group", "sql").alias("sql")).distinct()
+        lost = used.join(metadata.select("sql"), "sql", "left_anti").first()
+        if lost is not None:
+            raise ValueError(f"no metadata for {lost['sql']}")
+    return rows
 
 
 def read_pairs(spark: SparkSession, folders: Sequence[str], glob: str = "*.json*") -> DataFrame:
@@ -39,8 +71,27 @@ def read_csv_answers(spark: SparkSession, path: str, preferred: DataFrame | None
     return own if preferred is None else preferred.select("id", "question").unionByName(own.join(preferred.select("id"), "id", "left_anti"))
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """(word): distinct lower-case words of a text file, one or more a line, comments (#) aside."""
+def _zipped_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """(value): lines of the members of a zip archive whose name matches a pattern."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    for name in sorted(n for n in z.namelist() if re.search(member, n)):
+                        yield pd.DataFrame({"value": z.read(name).decode("utf-8", "replace").splitlines()})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
+
+
+def read_words(spark: SparkSession, path: str, member: str = r"index\.\w+$") -> DataFrame:
+    """(word): distinct lower-case words of a text file, one or more a line, comments (#) aside.
+
+    Of a zip archive, the first word of every line of the index members is taken, underscores as blanks; indented lines are its notice.
+    """
+    if path.endswith(".zip"):
+        lines = _zipped_lines(spark, path, member).where(~F.col("value").startswith(" "))
+        return lines.select(F.lower(F.replace(F.split_part("value", F.lit(" "), F.lit(1)), F.lit("_"), F.lit(" "))).alias("word")).where("word <> ''").distinct()
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     return lines.select(F.explode(F.split(F.lower(F.trim("value")), r"\s+")).alias("word")).where("word <> ''").distinct()
 
@@ -87,6 +138,19 @@ def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFra
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n_bytes, sha256) of every file below path."""
+    """(name, n_bytes, sha256, content_sha256) of every file below path; content_sha256 is of the decompressed content of a gzip file,
+    null for other files and for one that cannot be read."""
+
+    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, content in zip(b["name"], b["content"]):
+                try:
+                    out.append(hashlib.sha256(gzip.decompress(bytes(content))).hexdigest() if name.endswith(".gz") else None)
+                except (OSError, EOFError):
+                    out.append(None)
+            yield b[["name", "n_bytes", "sha256"]].assign(content_sha256=out)
+
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    named = df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    return named.mapInPandas(inner, "name string, n_bytes long, sha256 string, content_sha256 string")
