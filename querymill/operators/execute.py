@@ -2,23 +2,21 @@
 
 Statements come from a table of texts, a block at a time; equal canonical statements run once. Per block and table, unsorted
 projections are conditional sums of row hashes, plain aggregates are conditional aggregates, groups of one key are one
-grouping, and limited projections are one ranking. No statement has a plan of its own.
+grouping, and limited projections are one ranking. No statement has a plan of its own. Only literals that the parser has read become text of these passes, quoted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
-from functools import reduce
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.dialect.catalog import Catalog, Table
-from querymill.dialect.compiler import COMPARE, conjunction, predicate
 from querymill.dialect.rules import MAX_LIMIT, violations
-from querymill.dialect.statement import DialectError, Predicate, Statement, parse
+from querymill.dialect.statement import DialectError, Predicate, Statement, like_mode, parse
 from querymill.operators.ranking import ordered_rank
 from querymill.session import materialize
 
@@ -26,38 +24,57 @@ NUMERIC = ("int", "bigint", "double", "float")
 DDL = "text string, digest string, n_rows long, result_kind string"
 
 
-def _hashes(cells: Sequence[Column]) -> tuple[Column, Column]:
-    return F.xxhash64(*cells).cast("decimal(38,0)"), F.xxhash64(F.lit("b"), *cells).cast("decimal(38,0)")
+def _text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _cells(columns: Sequence[tuple[str, str]]) -> list[Column]:
-    """Cells as text, 1 and 1.0 alike, null apart from every text."""
-    return [F.coalesce((F.col(f"`{c}`").cast("double") if t in NUMERIC else F.col(f"`{c}`")).cast("string"), F.lit("\x00")) for c, t in columns]
+def _literal(v, column: str, t: Table) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return f"TIMESTAMP {_text(v)}" if column in t.timestamps else _text(v)
+    return f"{float(v)!r}D" if isinstance(v, float) or column in t.floats else str(v)
 
 
-def _digest(width: int, n: Column, a: Column, b: Column) -> Column:
-    return F.concat_ws(":", F.lit(str(width)), n.cast("string"), F.coalesce(a.cast("string"), F.lit("-")), F.coalesce(b.cast("string"), F.lit("-")))
+def _condition(p: Predicate, t: Table) -> str:
+    lit = [_literal(v, p.column, t) for v in p.values]
+    if p.op == "IN":
+        return f"`{p.column}` IN ({', '.join(lit)})"
+    if p.op == "BETWEEN":
+        return f"`{p.column}` BETWEEN {lit[0]} AND {lit[1]}"
+    if p.op == "LIKE":
+        mode, fragment = like_mode(p.values[0])
+        return f"{ {'prefix': 'startswith', 'suffix': 'endswith', 'contains': 'contains'}[mode] }(`{p.column}`, {_text(fragment)})"
+    return f"`{p.column}` {p.op} {lit[0]}"
 
 
-def result_digest(df: DataFrame) -> DataFrame:
-    """One row (digest, n_rows) that is the same for equal bags of rows, names of columns and 1 against 1.0 aside."""
-    a, b = _hashes(_cells(df.dtypes))
-    return df.select(a.alias("a"), b.alias("b")).agg(_digest(len(df.columns), F.count(F.lit(1)), F.sum("a"), F.sum("b")).alias("digest"), F.count(F.lit(1)).alias("n_rows"))
+def _where(conds: Sequence[Predicate], conn: str | None, t: Table) -> str:
+    return f"coalesce({f' {conn or "AND"} '.join(f'({_condition(p, t)})' for p in conds)}, false)" if conds else "true"
 
 
-def _where(s: Statement, t: Table, source: DataFrame) -> Column:
-    return F.coalesce(conjunction(s.conds, s.conn, t, source), F.lit(False)) if s.conds else F.lit(True)
+def _cells(columns: Sequence[tuple[str, str]]) -> str:
+    """Cells as text, 1 and 1.0 alike, null apart from every text."""
+    return ", ".join(f"coalesce(cast({f'cast(`{c}` as double)' if k in NUMERIC else f'`{c}`'} as string), '\\0')" for c, k in columns)
 
 
-def _kind(s: Statement, n: Column, value: Column | None = None) -> Column:
-    if value is None or s.group:
-        return F.when(n == 0, "empty").otherwise("nonempty")
-    return F.when(value.isNull(), "null").when((value == 0) & F.lit(s.aggregate.function == "COUNT"), "zero_count").otherwise("nonempty")
+def _hashes(cells: str) -> tuple[str, str]:
+    return f"cast(xxhash64({cells}) as decimal(38,0))", f"cast(xxhash64('b', {cells}) as decimal(38,0))"
 
 
-def _explode(row: DataFrame, items: Sequence[tuple[str, Column, Column, Column]]) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(t).alias("text"), d.alias("digest"), n.cast("long").alias("n_rows"), k.alias("result_kind")) for t, d, n, k in items])
-    return row.select(F.explode(each).alias("s")).select("s.*")
+def _digest(width: int | str, n: str, a: str, b: str) -> str:
+    return f"concat_ws(':', cast({width} as string), cast({n} as string), coalesce(cast({a} as string), '-'), coalesce(cast({b} as string), '-'))"
+
+
+def result_digest(df: DataFrame) -> DataFrame:
+    """One row (digest, n_rows) that is the same for equal bags of rows, names of columns and 1 against 1.0 aside."""
+    a, b = _hashes(_cells(df.dtypes))
+    return df.selectExpr(f"{a} a", f"{b} b").selectExpr(f"{_digest(len(df.columns), 'count(1)', 'sum(a)', 'sum(b)')} digest", "count(1) n_rows")
+
+
+def _explode(row: DataFrame, items: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """(text, digest, n_rows, result_kind) from one row; items hold expressions."""
+    each = ", ".join(f"named_struct('text', {_text(t)}, 'digest', {d}, 'n_rows', cast({n} as bigint), 'result_kind', {k})" for t, d, n, k in items)
+    return row.selectExpr(f"explode(array({each})) s").select("s.*")
 
 
 def _resolved(items: list[tuple[str, Statement]], t: Table, source: DataFrame) -> list[tuple[str, Statement]]:
@@ -65,11 +82,8 @@ def _resolved(items: list[tuple[str, Statement]], t: Table, source: DataFrame) -
     subs = [(i, c) for i, (_, s) in enumerate(items) for c in s.conds if c.sub]
     if not subs:
         return items
-    inner = []
-    for k, (_, c) in enumerate(subs):
-        where = _where(Statement(t.name, conds=c.sub.conds, conn="AND"), t, source)
-        inner.append(getattr(F, c.sub.aggregate.function.lower())(F.when(where, F.col(c.sub.aggregate.column))).alias(f"v{k}"))
-    row = source.agg(*inner).first()
+    inner = [f"{c.sub.aggregate.function}(if({_where(c.sub.conds, 'AND', t)}, `{c.sub.aggregate.column}`, NULL)) v{k}" for k, (_, c) in enumerate(subs)]
+    row = source.selectExpr(*inner).first()
     out = list(items)
     for k, (i, c) in enumerate(subs):
         text, s = out[i]
@@ -77,96 +91,82 @@ def _resolved(items: list[tuple[str, Statement]], t: Table, source: DataFrame) -
     return out
 
 
-def _plain_where(s: Statement, t: Table, source: DataFrame) -> Column:
-    """_where for statements whose subqueries are values, which may be floats of any column."""
-    if not s.conds:
-        return F.lit(True)
-    one = lambda c: COMPARE[c.op](F.col(c.column), F.lit(c.values[0])) if c.op in COMPARE and isinstance(c.values[0], float | None) else predicate(c, t, source)
-    return F.coalesce(reduce((lambda a, b: a | b) if s.conn == "OR" else (lambda a, b: a & b), [one(c) for c in s.conds]), F.lit(False))
-
-
 def _projections(items: list[tuple[str, Statement]], t: Table, source: DataFrame) -> DataFrame:
     """Unsorted statements."""
     shapes = sorted({s.select for _, s in items})
     shown = {x: [c for c in source.dtypes if x in ("*", c[0])] for x in shapes}
-    hashed = source.select("*", *[h.alias(f"__{k}_{i}") for i, x in enumerate(shapes) for k, h in zip("ab", _hashes(_cells(shown[x])))])
+    hashed = source.selectExpr("*", *[f"{h} __{k}_{i}" for i, x in enumerate(shapes) for k, h in zip("ab", _hashes(_cells(shown[x])))])
     cols, out = [], []
     for i, (text, s) in enumerate(items):
-        where, at = _plain_where(s, t, source), shapes.index(s.select)
-        cols += [F.count_if(where).alias(f"n{i}"), *[F.sum(F.when(where, F.col(f"__{k}_{at}"))).alias(f"{k}{i}") for k in "ab"]]
-        n = F.col(f"n{i}")
-        out.append((text, _digest(len(shown[s.select]), n, F.col(f"a{i}"), F.col(f"b{i}")), n, _kind(s, n)))
-    return _explode(hashed.agg(*cols), out)
+        where, at = _where(s.conds, s.conn, t), shapes.index(s.select)
+        cols += [f"count_if({where}) n{i}", *[f"sum(if({where}, __{k}_{at}, NULL)) {k}{i}" for k in "ab"]]
+        out.append((text, _digest(len(shown[s.select]), f"n{i}", f"a{i}", f"b{i}"), f"n{i}", f"if(n{i} = 0, 'empty', 'nonempty')"))
+    return _explode(hashed.selectExpr(*cols), out)
+
+
+def _joined(spark: SparkSession, items: list[tuple[str, Statement]], per: DataFrame, width) -> DataFrame:
+    names = spark.createDataFrame([(i, text, width(s), bool(s.order)) for i, (text, s) in enumerate(items)], "i int, text string, w int, ordered boolean")
+    digest = _digest("w", "coalesce(n, 0)", "a", "b")
+    return names.join(per, "i", "left").selectExpr(
+        "text", f"if(ordered and coalesce(n, 0) > 1, concat({digest}, ':ordered'), {digest}) digest", "coalesce(n, 0) n_rows", "if(coalesce(n, 0) = 0, 'empty', 'nonempty') result_kind"
+    )
+
+
+def _summed(placed: DataFrame, place: str) -> DataFrame:
+    a, b = _hashes(f"{place}, a, b")
+    return placed.groupBy("i").agg(F.expr("count(1) n"), F.expr(f"sum({a}) a"), F.expr(f"sum({b}) b"))
 
 
 def _sorted(items: list[tuple[str, Statement]], t: Table, source: DataFrame) -> DataFrame:
     """Statements sorted by one column in one direction: the rows each one matches, by their place."""
     order, tie = items[0][1].order, items[0][1].tie
     by = [F.col("o").asc() if order[1] == "ASC" else F.col("o").desc(), F.col("t").desc() if tie and tie[1] == "DESC" else F.col("t").asc(), F.col("a").asc()]
+    shown = lambda s: [c for c in source.dtypes if s.select in ("*", c[0])]
     marks = []
     for i, (_, s) in enumerate(items):
-        a, b = _hashes(_cells([c for c in source.dtypes if s.select in ("*", c[0])]))
-        marks.append(F.when(_plain_where(s, t, source), F.struct(F.lit(i).alias("i"), F.lit(s.limit).cast("int").alias("k"), a.alias("a"), b.alias("b"))))
-    rows = source.select(F.col(order[0]).alias("o"), F.col(tie[0] if tie else t.key).alias("t"), F.explode(F.array_compact(F.array(*marks))).alias("m")).select("o", "t", "m.*")
+        a, b = _hashes(_cells(shown(s)))
+        marks.append(f"if({_where(s.conds, s.conn, t)}, named_struct('i', {i}, 'k', cast({'NULL' if s.limit is None else s.limit} as int), 'a', {a}, 'b', {b}), NULL)")
+    rows = source.selectExpr(f"`{order[0]}` o", f"`{tie[0] if tie else t.key}` t", f"explode(array_compact(array({', '.join(marks)}))) m").select("o", "t", "m.*")
     if all(s.limit is not None for _, s in items):
         placed = rows.withColumn("p", F.row_number().over(Window.partitionBy("i").orderBy(*by))).where(F.col("p") <= MAX_LIMIT).where("p <= k")
     else:
         placed = ordered_rank(rows, ["i"], by, "p").where("k is null or p <= k")
-    pa, pb = _hashes([F.col("p"), F.col("a"), F.col("b")])
-    per = placed.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum(pa).alias("a"), F.sum(pb).alias("b"))
-    return _joined(source.sparkSession, items, per, lambda s: len([c for c in source.dtypes if s.select in ("*", c[0])]))
+    return _joined(source.sparkSession, items, _summed(placed, "p"), lambda s: len(shown(s)))
 
 
-def _joined(spark: SparkSession, items: list[tuple[str, Statement]], per: DataFrame, width) -> DataFrame:
-    names = spark.createDataFrame([(i, text, width(s), bool(s.order)) for i, (text, s) in enumerate(items)], "i int, text string, w int, ordered boolean")
-    n = F.coalesce("n", F.lit(0))
-    digest = F.concat_ws(":", F.col("w").cast("string"), n.cast("string"), F.coalesce(F.col("a").cast("string"), F.lit("-")), F.coalesce(F.col("b").cast("string"), F.lit("-")))
-    ordered = F.when(F.col("ordered") & (n > 1), F.concat(digest, F.lit(":ordered"))).otherwise(digest)
-    return names.join(per, "i", "left").select("text", ordered.alias("digest"), n.alias("n_rows"), F.when(n == 0, "empty").otherwise("nonempty").alias("result_kind"))
-
-
-def _measure(s: Statement, where: Column) -> Column:
+def _measure(s: Statement, where: str) -> str:
     a = s.aggregate
-    return F.count_if(where) if a.function == "COUNT" else getattr(F, a.function.lower())(F.when(where, F.col(a.column)))
+    return f"count_if({where})" if a.function == "COUNT" else f"{a.function}(if({where}, `{a.column}`, NULL))"
 
 
 def _aggregates(items: list[tuple[str, Statement]], t: Table, source: DataFrame) -> DataFrame:
-    cols, out = [], []
-    for i, (text, s) in enumerate(items):
-        cols.append(_measure(s, _where(s, t, source)).alias(f"v{i}"))
-    row = source.agg(*cols)
-    kinds = dict(row.dtypes)
+    row = source.selectExpr(*[f"{_measure(s, _where(s.conds, s.conn, t))} v{i}" for i, (_, s) in enumerate(items)])
+    kinds, out = dict(row.dtypes), []
     for i, (text, s) in enumerate(items):
         a, b = _hashes(_cells([(f"v{i}", kinds[f"v{i}"])]))
-        out.append((text, _digest(1, F.lit(1), a, b), F.lit(1), _kind(s, F.lit(1), F.col(f"v{i}"))))
+        zero = f"v{i} = 0" if s.aggregate.function == "COUNT" else "false"
+        out.append((text, _digest(1, "1", a, b), "1", f"case when v{i} is null then 'null' when {zero} then 'zero_count' else 'nonempty' end"))
     return _explode(row, out)
 
 
 def _groups(items: list[tuple[str, Statement]], t: Table, source: DataFrame, key: str) -> DataFrame:
-    """Statements that group by one key: one grouping, then HAVING, order and LIMIT per statement over its groups."""
+    """Statements that group by one key and sort one way: one grouping, then HAVING, order and LIMIT per statement over its groups."""
     cols = []
     for i, (_, s) in enumerate(items):
-        where = _where(s, t, source)
-        cols += [_measure(s, where).alias(f"v{i}"), F.count_if(where).alias(f"n{i}")]
-    wide = source.groupBy(F.col(key).alias("__key")).agg(*cols)
-    kinds = dict(wide.dtypes)
-    rows = []
-    order = items[0][1].order
+        where = _where(s.conds, s.conn, t)
+        cols += [f"{_measure(s, where)} v{i}", f"count_if({where}) n{i}"]
+    wide = source.groupBy(F.col(key).alias("__key")).agg(*map(F.expr, cols))
+    kinds, order, marks = dict(wide.dtypes), items[0][1].order, []
     for i, (_, s) in enumerate(items):
-        v = F.col(f"v{i}")
-        keep = F.col(f"n{i}") > 0
-        if s.having:
-            keep = keep & F.coalesce(COMPARE[s.having[0]](v, F.lit(s.having[1])), F.lit(False))
+        keep = f"n{i} > 0" + (f" and coalesce(v{i} {s.having[0]} {float(s.having[1])!r}D, false)" if s.having else "")
         a, b = _hashes(_cells([("__key", kinds["__key"]), (f"v{i}", kinds[f"v{i}"])]))
-        o = v.cast("double") if kinds[f"v{i}"] in NUMERIC else v
-        rows.append(F.when(keep, F.struct(F.lit(i).alias("i"), F.lit(s.limit).cast("int").alias("k"), o.alias("o"), a.alias("a"), b.alias("b"))))
-    placed = wide.select("__key", F.explode(F.array_compact(F.array(*rows))).alias("m")).select("__key", "m.*")
+        o = f"cast(v{i} as double)" if kinds[f"v{i}"] in NUMERIC else f"v{i}"
+        marks.append(f"if({keep}, named_struct('i', {i}, 'k', cast({'NULL' if s.limit is None else s.limit} as int), 'o', {o}, 'a', {a}, 'b', {b}), NULL)")
+    placed = wide.selectExpr("__key", f"explode(array_compact(array({', '.join(marks)}))) m").select("__key", "m.*")
     if order:
         by = [F.col("o").desc() if order[1] == "DESC" else F.col("o").asc(), F.col("__key").asc()]
         placed = placed.withColumn("p", F.row_number().over(Window.partitionBy("i").orderBy(*by))).where("k is null or p <= k")
-    pa, pb = _hashes([F.col("p") if order else F.lit(0), F.col("a"), F.col("b")])
-    per = placed.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum(pa).alias("a"), F.sum(pb).alias("b"))
-    return _joined(source.sparkSession, items, per, lambda s: 2)
+    return _joined(source.sparkSession, items, _summed(placed, "p" if order else "0"), lambda s: 2)
 
 
 def _block(spark: SparkSession, items: Sequence[tuple[str, Statement]], catalog: Catalog, directory: str) -> list[DataFrame]:
