@@ -120,15 +120,17 @@ def map_profiles(words: Mapping[str, tuple[str, int]]) -> dict[str, tuple[dict[s
 
 
 class Normaliser:
-    """Rewrites words by a map word -> (target, distance), outside protected spans and catalog values."""
+    """Rewrites words by a map word -> (target, distance), outside protected spans and catalog values.
 
-    def __init__(self, words: Mapping[str, tuple[str, int]], catalog: Sequence[str] = (), keep: Sequence[str] = (), rules: Sequence[tuple[str, str]] = PHRASES):
-        bad = [w for w, (_, dist) in words.items() if w in set(keep) or not isinstance(dist, int) or dist < 0]
+    Words of keep and trained must not be rewritten; where trained is given, every target must be one of its words."""
+
+    def __init__(self, words: Mapping[str, tuple[str, int]], catalog: Sequence[str] = (), keep: Sequence[str] = (), rules: Sequence[tuple[str, str]] = PHRASES, trained: Sequence[str] = ()):
+        bad = [w for w, (_, dist) in words.items() if w in {*keep, *trained} or not isinstance(dist, int) or dist < 0]
         if bad:
             raise ValueError(f"the map rewrites kept words or has no whole distance: {sorted(bad)[:5]}")
-        lost = sorted(w for w, (target, _) in words.items() if keep and target not in set(keep))
+        lost = sorted(w for w, (target, _) in words.items() if trained and target not in set(trained))
         if lost:
-            raise ValueError(f"targets are not among the kept words: {lost[:5]}")
+            raise ValueError(f"targets are not among the trained words: {lost[:5]}")
         self.words, self.rules = dict(words), tuple(rules)
         self.phrases = set(c.lower() for c in catalog)
         self.longest = max((len(c.split()) for c in self.phrases), default=0)

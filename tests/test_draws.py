@@ -160,10 +160,10 @@ def test_phrases_signs_and_map(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(R.phrase_rules(F.lit("avg of qty, largest ordered quantity desc"))) == "average quantity, highest ordered quantity descending"
     assert one(R.symbol_rules(F.lit("price>=5 and a<>b"))) == "price at least 5 and a<>b"
-    n = R.Normaliser({"clients": ("customers", 1)}, ["red chair"], keep=("customers",))
+    n = R.Normaliser({"clients": ("customers", 1)}, ["red chair"], trained=("customers",))
     assert n("clients starting with clients, avg price of the Red Chair") == ("customers starting with clients, average price of the Red Chair", 2)
     with pytest.raises(ValueError):
-        R.Normaliser({"clients": ("buyers", 1)}, keep=("customers",))
+        R.Normaliser({"clients": ("buyers", 1)}, trained=("customers",))
     assert set(R.map_profiles({"a": ("b", 1)})) == {"domain", "phrases", "combined", "combined_symbols"}
 
 

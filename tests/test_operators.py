@@ -104,7 +104,8 @@ def test_error_parts():
     assert parts(base, "SELECT COUNT(*) FROM customers") == ["structure"]
     assert parts("SELECT COUNT(*) FROM items", "SELECT SUM(stock) FROM items") == ["aggregate"]
     assert E._judge(base, "nonsense", SHOP, False) == (False, False, False, ["malformed"])
-    assert E._judge("SELECT name FROM customers", "SELECT * FROM customers", SHOP, False)[1]
+    assert E._judge("SELECT name FROM customers", "SELECT * FROM customers", SHOP, False, open_=True)[:2] == (False, True)
+    assert E._judge("SELECT name FROM customers", "SELECT * FROM customers", SHOP, False)[:2] == (False, False)  # the question says which
 
 
 def test_scores_keep_every_row(spark):
