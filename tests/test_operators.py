@@ -196,7 +196,7 @@ def test_spans_and_rewrites(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 3, 5), ("a", 7, 9), ("b", 1, 2), ("a", 2, 4)], "k string, s int, e int")
     assert sorted(tuple(r) for r in R.merged_spans(df, "k", "s", "e").collect()) == [("a", 1, 5), ("a", 7, 9), ("b", 1, 2)]
     n = R.Normaliser({"clients": ("customers", 1), "gold": ("x", 1)}, ["gold lamp"], keep=("stock",))
-    assert n("Clients with 'clients' and gold lamp no less than 5") == ("customers with 'clients' and gold lamp at least 5", 2)
+    assert n("Clients with 'clients' and gold lamp avg over 5") == ("customers with 'clients' and gold lamp average over 5", 2)
     assert n(None) == (None, 0)
     with pytest.raises(ValueError):
         R.Normaliser({"stock": ("x", 1)}, keep=("stock",))
