@@ -7,7 +7,7 @@ import pytest
 from querymill.operators import execute as X
 from querymill.plans import registry
 
-QUERIES = ["contrast_groups"]
+QUERIES = ["contrast_groups", "execution_scores"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
