@@ -7,7 +7,7 @@ import pytest
 from querymill.operators import execute as X
 from querymill.plans import registry
 
-QUERIES = ["contrast_groups", "execution_scores", "meaningless_statements"]
+QUERIES = ["contrast_groups", "execution_scores", "meaningless_statements", "statement_kinds"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
