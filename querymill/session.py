@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run in this block go when their query ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, loss of an executor costs nothing,
-    and the next plan gets true sizes. A fresh folder each time, so that no result of another run is reused."""
+    and the next plan gets true sizes. A fresh folder each time, so that no result of another run is reused.
+    Nothing reads the shuffles behind it again, so they are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/querymill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._querymill_path = path
     return out
