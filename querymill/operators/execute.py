@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.dialect.catalog import Catalog, Table
-from querymill.dialect.rules import MAX_LIMIT, violations
+from querymill.dialect.rules import MAX_CONDITIONS, MAX_LIMIT, MAX_ROW_CONDITIONS, violations
 from querymill.dialect.statement import DialectError, Predicate, Statement, parse
 from querymill.operators.index import PARTS, Rows, part_rows
 from querymill.operators.ranking import ordered_rank
@@ -31,6 +31,8 @@ DDL = "text string, digest string, n_rows long, result_kind string"
 PLAN = "tbl string, way string, shown string, func string, k int, down boolean, tie_down boolean, having_op string, having_value double, sub string, spec string"
 # Statements in a pack, packs in a job, rows of a table in a task.
 PACK, PACKS, BLOCK_ROWS = 8192, 12, 1 << 18
+#: Broken rules of statements that run like any other.
+RUNNABLE = {f"more than {n} conditions" for n in (MAX_CONDITIONS, MAX_ROW_CONDITIONS)}
 
 
 def _cells(columns: list[tuple[str, str]]) -> str:
@@ -74,13 +76,14 @@ def _planned(s: Statement, catalog: Catalog) -> tuple:
     return s.table, way, "" if s.aggregate else s.select, s.aggregate and s.aggregate.function, s.limit, down if s.order else None, tie_down, *(s.having or (None, None)), sub, text
 
 
-def _read(texts: DataFrame, catalog: Catalog) -> DataFrame:
-    """(text, the fields of PLAN) in Arrow batches; all null but the text where it is outside the dialect or against its rules."""
+def _read(texts: DataFrame, catalog: Catalog, allowed: set[str]) -> DataFrame:
+    """(text, the fields of PLAN) in Arrow batches; all null but the text where it is outside the dialect or against its rules, those
+    of allowed aside."""
 
     def one(text: str) -> tuple:
         try:
             s = parse(text)
-            return (None,) * 11 if violations(s, catalog) else _planned(s, catalog)
+            return (None,) * 11 if set(violations(s, catalog)) - allowed else _planned(s, catalog)
         except (DialectError, KeyError):
             return (None,) * 11
 
@@ -256,15 +259,15 @@ def _numbered(jobs: DataFrame, name: str) -> DataFrame:
     return materialize(jobs.withColumn("i", F.monotonically_increasing_id()), name)
 
 
-def statement_results(texts: DataFrame, catalog: Catalog, directory: str) -> DataFrame:
+def statement_results(texts: DataFrame, catalog: Catalog, directory: str, any_length: bool = False) -> DataFrame:
     """(text, digest, n_rows, result_kind) for every distinct text of a table with a column text; all null but the text where it is
-    outside the dialect or against its rules.
+    outside the dialect or against its rules. With any_length, statements with more conditions than the rules allow run too.
 
     digest is the same for equal results: equal lists of rows where a statement sorts, equal bags elsewhere; names of columns and 1
     against 1.0 aside. result_kind: empty, null (an aggregate of nothing), zero_count or nonempty.
     """
     spark = texts.sparkSession
-    read = materialize(_read(texts.select("text").where("text is not null").distinct(), catalog), "statements")
+    read = materialize(_read(texts.select("text").where("text is not null").distinct(), catalog, RUNNABLE if any_length else set()), "statements")
     inner = _numbered(_subqueries(read).withColumn("value", F.lit(None).cast("double")), "subqueries")
     found = _values(inner, _parts(inner, catalog, directory)).select(F.col("spec").alias("sub"), F.col("v").alias("value"))
     distinct = read.where("spec is not null").drop("text").dropDuplicates(["spec"])

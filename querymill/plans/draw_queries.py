@@ -139,7 +139,7 @@ def lookup_workload(spark: SparkSession, d: str) -> DataFrame:
 def statement_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Every record's statement run: rows and kind of its result."""
     q = _q(spark, d).where("sql is not null").select("query_id", F.col("sql").alias("text"))
-    return q.join(statement_results(q, SHOP, d), "text").select("query_id", "n_rows", "result_kind")
+    return q.join(statement_results(q, SHOP, d, any_length=True), "text").select("query_id", "n_rows", "result_kind")
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 
@@ -29,6 +31,23 @@ def shop(data):
     return c
 
 
+def _kind(sql: str, rows: list[tuple]) -> str:
+    if not rows:
+        return "empty"
+    if re.match(r"SELECT (COUNT|SUM|AVG|MIN|MAX)\(", sql):
+        return "null" if rows[0][0] is None else "zero_count" if sql.startswith("SELECT COUNT(") and rows[0][0] == 0 else "nonempty"
+    return "nonempty"
+
+
+def test_statement_kinds(spark, data, shop, in_small_parts):
+    got = {r["query_id"]: (r["n_rows"], r["result_kind"]) for r in registry.queries()["statement_kinds"](spark, data).collect()}
+    want = {}
+    for i, sql in shop.execute("SELECT query_id, sql FROM records WHERE sql IS NOT NULL").fetchall():
+        rows = shop.execute(sql).fetchall()
+        want[i] = (len(rows), _kind(sql, rows))
+    assert got == want
+
+
 def test_meaningless_statements(spark, data, shop, in_small_parts):
     got = {r["query_id"]: r["reason"] for r in registry.queries()["meaningless_statements"](spark, data).collect()}
     want = {}
