@@ -59,31 +59,32 @@ def _conditions(conds: tuple[Predicate, ...], t: Table) -> list:
     return [[c.column, c.op, None if c.sub else [f"{v} 00:00:00" if c.column in t.timestamps else v for v in c.values]] for c in conds]
 
 
-def _planned(s: Statement, catalog: Catalog) -> tuple:
-    """The fields of PLAN. spec is all that a task needs, and the same for equal statements; sub the spec of the subquery's aggregate."""
+def _planned(s: Statement, catalog: Catalog, counted: bool = False) -> tuple:
+    """The fields of PLAN. spec is all that a task needs, and the same for equal statements; sub the spec of the subquery's aggregate.
+    counted: of unsorted projections only the rows are counted, so that those with the same conditions are equal."""
     s = s.canonical(catalog).with_default_tie(catalog)
     t = catalog.tables[s.table]
-    way = "group" if s.group else "aggregate" if s.aggregate else "flat" if not s.order else "sorted" if s.limit is None else "first"
+    way = "group" if s.group else "aggregate" if s.aggregate else ("count" if counted else "flat") if not s.order else "sorted" if s.limit is None else "first"
     down = bool(s.order and s.order[1] == "DESC")
     tie, tie_down = (s.tie[0], s.tie[1] == "DESC") if s.tie else (t.key, False)
     spec = {"t": s.table, "way": way, "where": _conditions(s.conds, t), "or": s.conn == "OR"}
     if s.aggregate:
         spec |= {"f": s.aggregate.function, "of": s.aggregate.column, "by": s.group, "order": bool(s.order), "down": down, "k": s.limit, "having": s.having}
-    else:
+    elif way != "count":
         spec |= {"show": s.select} | ({"order": s.order[0], "down": down, "tie": tie, "tie_down": tie_down, "k": s.limit} if s.order else {})
     sub = next((_planned(Statement(s.table, aggregate=c.sub.aggregate, conds=c.sub.conds, conn="AND"), catalog)[-1] for c in s.conds if c.sub), None)
     text = json.dumps(spec | ({"sub": sub} if sub else {}))
-    return s.table, way, "" if s.aggregate else s.select, s.aggregate and s.aggregate.function, s.limit, down if s.order else None, tie_down, *(s.having or (None, None)), sub, text
+    return s.table, way, "" if s.aggregate or way == "count" else s.select, s.aggregate and s.aggregate.function, s.limit, down if s.order else None, tie_down, *(s.having or (None, None)), sub, text
 
 
-def _read(texts: DataFrame, catalog: Catalog, allowed: set[str]) -> DataFrame:
+def _read(texts: DataFrame, catalog: Catalog, allowed: set[str], counted: bool) -> DataFrame:
     """(text, the fields of PLAN) in Arrow batches; all null but the text where it is outside the dialect or against its rules, those
     of allowed aside."""
 
     def one(text: str) -> tuple:
         try:
             s = parse(text)
-            return (None,) * 11 if set(violations(s, catalog)) - allowed else _planned(s, catalog)
+            return (None,) * 11 if set(violations(s, catalog)) - allowed else _planned(s, catalog, counted)
         except (DialectError, KeyError):
             return (None,) * 11
 
@@ -205,6 +206,11 @@ def _flat(jobs: DataFrame, parts: DataFrame, width: str) -> DataFrame:
     return jobs.where("way = 'flat'").join(merged, "i", "left").selectExpr("i", f"{digest} digest", "coalesce(n, 0) n_rows", "if(coalesce(n, 0) = 0, 'empty', 'nonempty') result_kind")
 
 
+def _counted(jobs: DataFrame, parts: DataFrame) -> DataFrame:
+    merged = parts.where("way = 'count'").groupBy("i").agg(F.expr("sum(n) n"))
+    return jobs.where("way = 'count'").join(merged, "i", "left").selectExpr("i", "cast(null as string) digest", "coalesce(n, 0) n_rows", "if(coalesce(n, 0) = 0, 'empty', 'nonempty') result_kind")
+
+
 def _summed(jobs: DataFrame, placed: DataFrame, place: str, width: str) -> DataFrame:
     """Rows, by their place where the statement sorts, as one digest for each of jobs."""
     a, b = _hashes(f"{place}, a, b")
@@ -259,15 +265,16 @@ def _numbered(jobs: DataFrame, name: str) -> DataFrame:
     return materialize(jobs.withColumn("i", F.monotonically_increasing_id()), name)
 
 
-def statement_results(texts: DataFrame, catalog: Catalog, directory: str, any_length: bool = False) -> DataFrame:
+def statement_results(texts: DataFrame, catalog: Catalog, directory: str, any_length: bool = False, counted: bool = False) -> DataFrame:
     """(text, digest, n_rows, result_kind) for every distinct text of a table with a column text; all null but the text where it is
-    outside the dialect or against its rules. With any_length, statements with more conditions than the rules allow run too.
+    outside the dialect or against its rules. With any_length, statements with more conditions than the rules allow run too. With
+    counted, projections that do not sort have no digest: their rows are counted, once for all with the same conditions.
 
     digest is the same for equal results: equal lists of rows where a statement sorts, equal bags elsewhere; names of columns and 1
     against 1.0 aside. result_kind: empty, null (an aggregate of nothing), zero_count or nonempty.
     """
     spark = texts.sparkSession
-    read = materialize(_read(texts.select("text").where("text is not null").distinct(), catalog, RUNNABLE if any_length else set()), "statements")
+    read = materialize(_read(texts.select("text").where("text is not null").distinct(), catalog, RUNNABLE if any_length else set(), counted), "statements")
     inner = _numbered(_subqueries(read).withColumn("value", F.lit(None).cast("double")), "subqueries")
     found = _values(inner, _parts(inner, catalog, directory)).select(F.col("spec").alias("sub"), F.col("v").alias("value"))
     distinct = read.where("spec is not null").drop("text").dropDuplicates(["spec"])
@@ -275,7 +282,7 @@ def statement_results(texts: DataFrame, catalog: Catalog, directory: str, any_le
     parts = _parts(jobs, catalog, directory)
     sizes = {name: len(catalog.load(spark, directory, name).columns) for name in [r[0] for r in jobs.select("tbl").distinct().collect()]}
     width = "case " + " ".join(f"when shown = '*' and tbl = '{name}' then {n}" for name, n in sizes.items()) + " else 1 end" if sizes else "1"
-    results = _flat(jobs, parts, width).unionByName(_aggregated(jobs, parts))
+    results = (_counted(jobs, parts) if counted else _flat(jobs, parts, width)).unionByName(_aggregated(jobs, parts))
     for part in [*_sorted(jobs, parts, width), *_grouped(jobs, parts)]:
         results = results.unionByName(part)
     by_spec = jobs.select("i", "spec").join(results, "i").drop("i")

@@ -116,14 +116,42 @@ class Rows:
             self.hashes[name] = self.table.column(name).to_numpy()
         return self.hashes[name][rows]
 
-    def matching(self, s: dict, value: float | None) -> np.ndarray:
-        """Rows that meet a statement's conditions, in their order; value is its subquery's, null meets nothing."""
+    def conditions(self, s: dict, value: float | None) -> list[tuple[int, IndexedColumn, Ranges]]:
+        """(rows that meet it, column, ranges) of each condition; value is the subquery's, null meets nothing."""
         conds = []
         for name, op, values in s["where"]:
             c = self.column(name)
             values = [value] if values is None else values
             ranges = [] if None in values else c.ranges(op, values)
             conds.append((c.count(ranges), c, ranges))
+        return conds
+
+    def number(self, s: dict, value: float | None) -> int:
+        """How many rows meet a statement's conditions. Those that all or no rows meet are not looked at."""
+        conds = self.conditions(s, value)
+        some = [x for x in conds if 0 < x[0] < self.n]
+        if s["or"] and len(conds) > 1:
+            if any(n == self.n for n, _, _ in conds):
+                return self.n
+            if len(some) < 2:
+                return some[0][0] if some else 0
+            met = np.zeros(self.n, bool)
+            for _, c, ranges in some:
+                met[c.rows(ranges)] = True
+            return int(np.count_nonzero(met))
+        if any(n == 0 for n, _, _ in conds):
+            return 0
+        if len(some) < 2:
+            return some[0][0] if some else self.n
+        some.sort(key=lambda x: x[0])
+        rows = some[0][1].rows(some[0][2])
+        for _, c, ranges in some[1:-1]:
+            rows = rows[c.within(rows, ranges)]
+        return int(np.count_nonzero(some[-1][1].within(rows, some[-1][2])))
+
+    def matching(self, s: dict, value: float | None) -> np.ndarray:
+        """Rows that meet a statement's conditions, in their order."""
+        conds = self.conditions(s, value)
         if not conds:
             return np.arange(self.n)
         if s["or"] and len(conds) > 1:
@@ -200,7 +228,7 @@ def part_rows(t: Rows, items: list[tuple[int, dict, float | None]]) -> Iterator[
     """PARTS of the rows for every statement: (number, spec, value of the subquery)."""
     held: dict[str, list] = {f.name: [] for f in SCHEMA}
     for i, s, value in items:
-        part = WAYS[s["way"]](t, s, t.matching(s, value))
+        part = {"n": [t.number(s, value)]} if s["way"] == "count" else WAYS[s["way"]](t, s, t.matching(s, value))
         n = max(map(len, part.values()))
         part |= {"i": [i] * n, "way": [s["way"]] * n}
         for name, column in held.items():

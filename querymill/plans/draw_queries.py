@@ -146,7 +146,7 @@ def statement_kinds(spark: SparkSession, d: str) -> DataFrame:
 def meaningless_statements(spark: SparkSession, d: str) -> DataFrame:
     """Projections that ask nothing: their conditions select all rows or none, or their order or LIMIT has no effect."""
     q = _q(spark, d).where("query_kind is null and sql is not null").withColumn("text", F.regexp_replace("sql", r" ORDER BY .*$", ""))
-    base = statement_results(q.select("text"), SHOP, d).select("text", F.col("n_rows").alias("base_rows"))
+    base = statement_results(q.select("text"), SHOP, d, counted=True).select("text", F.col("n_rows").alias("base_rows"))
     sizes = None
     for t in SHOP.tables.values():
         one = SHOP.load(spark, d, t.name).agg(F.lit(t.name).alias("table_name"), F.count(F.lit(1)).alias("table_rows"))

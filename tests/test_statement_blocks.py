@@ -7,6 +7,7 @@ import re
 import duckdb
 import pytest
 
+from querymill.dialect.catalog import SHOP
 from querymill.operators import execute as X
 from querymill.plans import registry
 
@@ -60,3 +61,33 @@ def test_meaningless_statements(spark, data, shop, in_small_parts):
         if reason:
             want[i] = reason
     assert got == want and want
+
+
+def test_meaningless_statements_are_only_counted(spark, data, in_small_parts, monkeypatch):
+    """Hashes of rows were made for every statement, and statements that differ only in what they show were asked apart."""
+    seen, kept = {}, X.materialize
+
+    def noted(df, to):
+        seen.setdefault(to, []).append(out := kept(df, to))
+        return out
+
+    monkeypatch.setattr(X, "materialize", noted)
+    registry.queries()["meaningless_statements"](spark, data).count()
+    (jobs,) = seen["jobs"]
+    asked = spark.read.parquet(f"{data}/query_records.parquet").where("query_kind is null and sql is not null").selectExpr(r"regexp_replace(regexp_replace(sql, ' ORDER BY .*$', ''), '^SELECT .*? FROM ', '') asked").distinct()
+    assert 0 < jobs.count() <= asked.count()
+    assert {(r["way"], r["shown"]) for r in jobs.select("way", "shown").distinct().collect()} == {("count", "")}
+    for parts in seen["parts"]:
+        assert parts.where("a1 is not null or b1 is not null").isEmpty()
+
+
+def test_counts_equal_the_rows_of_results(spark, data, in_small_parts):
+    """Conditions that all or no rows meet, OR, nulls, wrong texts, and statements that are more than counted."""
+    where = ["", " WHERE stock >= 0", " WHERE stock < 0", " WHERE stock < 0 OR price > 20.00", " WHERE stock >= 0 OR price > 20.00", " WHERE stock >= 0 AND price > 20.00", " WHERE stock > 9 AND price BETWEEN 90.00 AND 20.00",
+             " WHERE stock > 9 OR price < 50.00 OR category = 'lighting'", " WHERE stock > 9 AND price < 150.00 AND category != 'lighting'", " WHERE category IN ('lighting', 'outerwear')", " WHERE item_name LIKE '%a%' AND stock < 50"]
+    texts = [f"SELECT {x} FROM items{w}" for x in ("*", "stock", "item_name") for w in where]
+    texts += [f"SELECT * FROM orders WHERE {w}" for w in ("quantity >= 1", "quantity > 5 AND status != 'void'", "quantity > 5 OR order_date < '2025-06-01'")]
+    texts += ["SELECT stock FROM items WHERE stock > (SELECT AVG(stock) FROM items)", "SELECT COUNT(*) FROM items WHERE stock < 0", "SELECT stock FROM items ORDER BY stock DESC LIMIT 3", "SELECT nothing FROM items", "no statement"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    told = lambda **how: {r["text"]: (r["n_rows"], r["result_kind"]) for r in X.statement_results(df, SHOP, data, **how).collect()}
+    assert told(counted=True) == told() and len(told()) == len(set(texts))
